@@ -52,7 +52,9 @@ def fit_relu_regression(
     assembled = VectorAssembler(inputCols=list(features), outputCol="_x").transform(
         df.select(*features, F.col(label).cast("double").alias("_y"))
     )
-    model = LinearRegression(featuresCol="_x", labelCol="_y", regParam=l2, standardization=False).fit(assembled)
+    # the trainer scales the label first, which divides its penalty by the label's deviation
+    penalty = l2 * (assembled.agg(F.stddev_pop("_y")).first()[0] or 0.0) if l2 else 0.0
+    model = LinearRegression(featuresCol="_x", labelCol="_y", regParam=penalty, standardization=False).fit(assembled)
     return ClippedLinear(tuple(features), tuple(map(float, model.coefficients)), float(model.intercept), upper)
 
 
