@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+# a Key=value segment with its closing dot, so never the last segment
+PAIR = r"([^.=]+)=([^.]*)\."
+
+
 def metric_path(name: Column) -> Column:
     """Struct ``(prefix, tags, leaf)`` of a dotted metric name.
 
@@ -12,16 +16,14 @@ def metric_path(name: Column) -> Column:
     winning; ``leaf`` is the last segment; ``prefix`` joins the plain segments
     before it.
     """
-    segments = F.split(name, r"\.")
-    body = F.slice(segments, 1, F.size(segments) - 1)
-    pairs = F.transform(
-        F.filter(body, lambda s: s.contains("=")),
-        lambda s: F.struct(F.substring_index(s, "=", 1).alias("key"), F.regexp_extract(s, "=(.*)", 1).alias("value")),
-    )
-    keys = F.transform(pairs, lambda p: p["key"])
-    first_only = F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
+    keys, values = (F.regexp_extract_all(name, F.lit(PAIR), F.lit(group)) for group in (1, 2))
+    plain = F.regexp_replace(name, PAIR, "")
+    # a map takes each key once; names that repeat one are rare and go the longer way
+    first_only = F.filter(F.arrays_zip(keys.alias("key"), values.alias("value")),
+                          lambda pair, i: F.array_position(keys, pair["key"]) == i + 1)
+    distinct = F.size(F.array_distinct(keys)) == F.size(keys)
     return F.struct(
-        F.array_join(F.filter(body, lambda s: ~s.contains("=")), ".").alias("prefix"),
-        F.map_from_entries(first_only).alias("tags"),
-        F.element_at(segments, -1).alias("leaf"),
+        F.regexp_replace(plain, r"\.?[^.]*$", "").alias("prefix"),
+        F.when(distinct, F.map_from_arrays(keys, values)).otherwise(F.map_from_entries(first_only)).alias("tags"),
+        F.substring_index(name, ".", -1).alias("leaf"),
     )

@@ -14,9 +14,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from metricweave.session import shared_dir
+from metricweave.session import store
 
-ROWS_PER_BUCKET = 1_000_000
+ROWS_PER_BUCKET = 250_000
 MAX_BUCKETS = 16_384
 SAMPLES_PER_BUCKET = 16
 COPIES_PER_TASK = 1_000_000
@@ -48,12 +48,11 @@ def number_rows(
         return _number(df, list(order), name, None, bucket, rows_per_bucket)
 
     columns = df.columns
-    shared_dir(df.sparkSession)
-    # read three times below, so the folded rows are stored once
-    folded = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies")).checkpoint()
-    folded = folded.withColumn("_tie", F.xxhash64(*columns))
-    last = _number(folded, [*order, "_tie"], "_last", "_copies", bucket, rows_per_bucket)
+    # read several times below, so the folded rows are stored once
+    folded = store(df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies")), "folded")
     most = folded.agg(F.max("_copies")).first()[0] or 0
+    tied = folded.withColumn("_tie", F.xxhash64(*columns))
+    last = _number(tied, [*order, "_tie"], "_last", "_copies", bucket, rows_per_bucket)
 
     first = F.col("_last") - F.col("_copies") + 1
     pieces = last.select(

@@ -36,19 +36,12 @@ def shuffle_rows(
     return number_rows(hashed, ["_hash"], name, unique, bucket).drop("_hash")
 
 
-def split_half(
-    df: DataFrame, key: Sequence[str], seed: int, name: str = "half", unique: bool = True
-) -> DataFrame:
-    """First ⌊n/2⌋ rows of the permutation are ``train``, the rest ``test``.
+def half_cut(df: DataFrame, key: Sequence[str], seed: int) -> DataFrame:
+    """One row: the hash of the last row of the first half; null for fewer than two rows.
 
-    For a unique key the table itself is never shuffled: hash counts find the
-    bucket holding the middle, only that bucket is sorted, and the hash found
-    there splits all rows by a comparison.
+    Counts per hash bucket find the bucket that holds the middle, and only the
+    rows of that bucket are sorted.
     """
-    if not unique:
-        placed = shuffle_rows(df, key, seed, "_position", unique=False)
-        return placed.withColumn(name, half_of(F.col("_position"), row_total(df))).drop("_position")
-
     hashed = df.select(shuffle_key(key, seed).alias("_hash")).withColumn("_bucket", hash_bucket("_hash"))
     sizes = rows_before(hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows")), "_bucket")
     wanted = F.call_function("div", F.col("_total"), F.lit(2).cast("bigint")) - F.col("_before")
@@ -57,7 +50,27 @@ def split_half(
     ranked = hashed.join(F.broadcast(middle.drop("_rows")), "_bucket").withColumn(
         "_rank", F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash"))
     )
-    cut = ranked.where(F.col("_rank") == F.col("_wanted")).agg(F.max("_hash")).scalar()
+    return ranked.where(F.col("_rank") == F.col("_wanted")).agg(F.max("_hash").alias("cut"))
+
+
+def split_half(
+    df: DataFrame,
+    key: Sequence[str],
+    seed: int,
+    name: str = "half",
+    unique: bool = True,
+    cut: Column | None = None,
+) -> DataFrame:
+    """First ⌊n/2⌋ rows of the permutation are ``train``, the rest ``test``.
+
+    For a unique key the table is not shuffled: every row is compared with one
+    hash, that of :func:`half_cut`, which a caller may have taken already.
+    """
+    if not unique:
+        placed = shuffle_rows(df, key, seed, "_position", unique=False)
+        return placed.withColumn(name, half_of(F.col("_position"), row_total(df))).drop("_position")
+    if cut is None:
+        cut = half_cut(df, key, seed).scalar()
     return df.withColumn(name, F.when(shuffle_key(key, seed) <= cut, TRAIN).otherwise(TEST))
 
 

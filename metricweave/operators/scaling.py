@@ -4,43 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from metricweave.operators.sampling import TEST, TRAIN
 
 
+def part_deviations(
+    df: DataFrame, columns: Sequence[str], part: str = "half", parts: Sequence[str] = (TRAIN, TEST)
+) -> DataFrame:
+    """One row holding a struct: the population deviation of every column in every part."""
+    return df.agg(
+        F.struct(
+            *[
+                F.stddev_pop(F.when(F.col(part) == p, F.col(c))).alias(f"{c}_{i}")
+                for i, p in enumerate(parts)
+                for c in columns
+            ]
+        ).alias("deviations")
+    )
+
+
 def scale_by_std(
     df: DataFrame,
     columns: Sequence[str],
     part: str = "half",
     parts: Sequence[str] = (TRAIN, TEST),
     fit_on: str = "self",
+    deviations: Column | None = None,
 ) -> DataFrame:
     """Each column over the population deviation of its part.
 
     ``fit_on='self'`` scales a part by its own deviation, any other value names
     the part whose deviation scales all of them. A deviation of zero gives
-    null. The deviations of all columns and parts come from one aggregation and
-    reach the scan as a single scalar row, so the table is not shuffled.
+    null. The deviations are one scalar row, that of :func:`part_deviations`,
+    so the table is not shuffled; a caller may have taken them already.
     """
-    fitted = parts if fit_on == "self" else [fit_on]
-    names = {(p, c): f"{c}_{i}" for i, p in enumerate(fitted) for c in columns}
-    deviations = df.agg(
-        F.struct(
-            *[
-                F.stddev_pop(F.when(F.col(part) == p, F.col(c))).alias(alias)
-                for (p, c), alias in names.items()
-            ]
-        )
-    ).scalar()
+    if deviations is None:
+        deviations = part_deviations(df, columns, part, parts).scalar()
 
-    def divisor(column: str):
+    def divisor(column: str) -> Column:
         if fit_on != "self":
-            return deviations[names[fit_on, column]]
+            return deviations[f"{column}_{list(parts).index(fit_on)}"]
         chosen = F.lit(None).cast("double")
-        for p in parts:
-            chosen = F.when(F.col(part) == p, deviations[names[p, column]]).otherwise(chosen)
+        for i, p in enumerate(parts):
+            chosen = F.when(F.col(part) == p, deviations[f"{column}_{i}"]).otherwise(chosen)
         return chosen
 
-    scaled = {c: F.col(c) / F.nullif(divisor(c), F.lit(0.0)) for c in columns}
-    return df.withColumns(scaled)
+    return df.withColumns({c: F.col(c) / F.nullif(divisor(c), F.lit(0.0)) for c in columns})

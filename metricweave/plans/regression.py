@@ -7,12 +7,14 @@ from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from metricweave.functions.numeric import clamp
 from metricweave.operators.batches import assign_batches, batch_metrics
-from metricweave.operators.sampling import TEST, TRAIN, half_of, row_total, shuffle_rows
-from metricweave.operators.scaling import scale_by_std
+from metricweave.operators.projection import split_label
+from metricweave.operators.sampling import TEST, TRAIN, half_cut, shuffle_rows, split_half
+from metricweave.operators.scaling import part_deviations, scale_by_std
+from metricweave.sources.csv import read_rows_csv
 
 
 @dataclass(frozen=True)
@@ -77,6 +79,26 @@ def train_in_batches(
     return model, batch_metrics(batches, "prediction", label)
 
 
+def train_from_csv(
+    spark: SparkSession,
+    path: str,
+    columns: Sequence[str],
+    order: Sequence[str] = ("time",),
+    label: str = "label",
+    batch: int = 5,
+) -> tuple[ClippedLinear, DataFrame]:
+    """The same from a headerless file whose positions are ``columns``.
+
+    Every column but the label is a feature; those in ``order`` are integers.
+    The label is addressed by name, so it is the column written as such. Rows
+    of one instant may be alike, hence the numbering that allows for copies.
+    """
+    features = [c for c in columns if c != label]
+    text = read_rows_csv(spark, path, len(columns)).toDF(*columns)
+    numbers = text.withColumns({c: F.col(c).try_cast("bigint" if c in order else "double") for c in features})
+    return train_in_batches(split_label(numbers, label, features), features, order, batch=batch, unique=False)
+
+
 def evaluate_split(
     df: DataFrame,
     features: Sequence[str],
@@ -92,28 +114,32 @@ def evaluate_split(
     Result: ``half, batch, cost, match``. Each half is measured on its own
     features and labels.
     """
-    total = row_total(df)
-    placed = shuffle_rows(df.select(*dict.fromkeys([*key, *features, label])), key, seed)
-    halved = placed.withColumn("half", half_of(F.col("position"), total))
-    scaled = scale_by_std(halved, features, fit_on=fit_on)
+    rows = df.select(*dict.fromkeys([*key, *features, label]))
+    # Three scalars are taken once and used as constants by all later passes.
+    total = F.lit(rows.count()).cast("bigint")
+    cut = F.lit(half_cut(rows, key, seed).first()["cut"])
+    halved = split_half(rows, key, seed, cut=cut)
+    found = part_deviations(halved, features).first()["deviations"].asDict()
+    deviations = F.struct(*[F.lit(v).cast("double").alias(n) for n, v in found.items()])
+    scaled = scale_by_std(halved, features, fit_on=fit_on, deviations=deviations)
     model = fit_relu_regression(scaled.where(F.col("half") == TRAIN), features, label, l2)
 
+    # Only the batches need each row's place, so only this pass shuffles.
     size = F.lit(batch).cast("bigint")
     in_train = F.call_function("div", total, F.lit(2).cast("bigint"))
     is_test = F.col("half") == TEST
     at = F.col("position") - 1 - F.when(is_test, in_train).otherwise(0)
-    rows = F.when(is_test, total - in_train).otherwise(in_train)
-    batches = model.transform(scaled).select(
+    length = F.when(is_test, total - in_train).otherwise(in_train)
+    predicted = model.transform(scaled).select(*key, "half", "prediction", F.col(label).alias("label"))
+    batches = shuffle_rows(predicted, key, seed).select(
         "half",
         F.call_function("div", at, size).alias("batch"),
         F.pmod(at, size).alias("batch_row"),
         "prediction",
-        F.col(label).alias("label"),
-        F.call_function("div", rows, size).alias("_full"),
+        "label",
+        F.call_function("div", length, size).alias("_full"),
     )
     return batch_metrics(
         batches.where(F.col("batch") < F.col("_full")), "prediction", "label", by=("half", "batch")
     ).select("half", "batch", "cost", "match")
 
-
-__all__ = ["ClippedLinear", "TRAIN", "TEST", "evaluate_split", "fit_relu_regression", "train_in_batches"]

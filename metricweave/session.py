@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "metricweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -47,3 +47,14 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder, for a table written and read back."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def store(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it from there.
+
+    For results that several jobs read: they are computed once, later readers
+    prune columns, and a lost executor costs a re-read instead of a re-run.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
