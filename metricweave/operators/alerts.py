@@ -44,12 +44,13 @@ def deadman(
 
     step = F.lit(interval).cast("bigint")
     along = Window.partitionBy(*group).orderBy("slot")
-    # the group's first row also covers the silence before it
+    # the group's first row also covers the silence before it; no stretch is
+    # empty, and the outer explode spares building each one twice to check that
     begin = F.when(F.lag("slot").over(along).isNull(), first).otherwise(F.col("slot"))
     end = F.coalesce(F.lead("slot").over(along) - step, last)
     slots = counted.select(
         *group, F.col("slot").alias("_seen"), F.col("emitted").alias("_count"), F.sequence(begin, end, step).alias("_slots")
-    ).select(*group, "_seen", "_count", F.explode("_slots").alias("slot"))
+    ).select(*group, "_seen", "_count", F.explode_outer("_slots").alias("slot"))
     emitted = F.when(F.col("slot") == F.col("_seen"), F.col("_count")).otherwise(0)
     return slots.select(*group, "slot", emitted.alias("emitted"), level_of(emitted, threshold).alias("level"))
 

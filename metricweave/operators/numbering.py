@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 from metricweave.session import store
 
@@ -55,13 +55,13 @@ def number_rows(
     last = _number(tied, [*order, "_tie"], "_last", "_copies", bucket, rows_per_bucket)
 
     first = F.col("_last") - F.col("_copies") + 1
-    pieces = last.select(
-        *columns, "_last", F.explode(F.sequence(first, F.col("_last"), F.lit(copies_per_task))).alias("_from")
-    )
+    # the outer form spares the emptiness check that would build each sequence twice
+    starts = F.sequence(first, F.col("_last"), F.lit(copies_per_task))
+    pieces = last.select(*columns, "_last", F.explode_outer(starts).alias("_from"))
     if most > copies_per_task:
         pieces = pieces.repartition("_from")
     upto = F.least(F.col("_last"), F.col("_from") + (copies_per_task - 1))
-    return pieces.select(*columns, F.explode(F.sequence("_from", upto)).alias(name))
+    return pieces.select(*columns, F.explode_outer(F.sequence("_from", upto)).alias(name))
 
 
 def _number(
@@ -74,22 +74,25 @@ def _number(
 ) -> DataFrame:
     if bucket is None:
         bucket = range_bucket(df, order, rows_per_bucket)
+    if bucket is None:
+        # the table was counted and fits one bucket, so one task may sort it
+        return df.withColumn(name, _running(Window.orderBy(*order), weight))
     placed = df.withColumn("_bucket", bucket)
     size = F.sum(weight) if weight else F.count(F.lit(1))
-    within = Window.partitionBy("_bucket").orderBy(*order)
-    local = (
-        F.sum(weight).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        if weight
-        else F.row_number().over(within).cast("bigint")
-    )
     offsets = rows_before(placed.groupBy("_bucket").agg(size.alias("_rows")), "_bucket")
     return (
-        placed.withColumn("_local", local)
+        placed.withColumn("_local", _running(Window.partitionBy("_bucket").orderBy(*order), weight))
         .join(F.broadcast(offsets.select("_bucket", "_before")), "_bucket")
         .select(*df.columns, (F.col("_local") + F.col("_before")).alias(name))
     )
 
 
+def _running(window: WindowSpec, weight: str | None) -> Column:
+    if weight is None:
+        return F.row_number().over(window).cast("bigint")
+    return F.sum(weight).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+
 def rows_before(sizes: DataFrame, bucket: str) -> DataFrame:
     """Add ``_before``, the rows in earlier buckets, and ``_total``.
 
@@ -107,16 +110,17 @@ def rows_before(sizes: DataFrame, bucket: str) -> DataFrame:
     )
 
 
-def range_bucket(df: DataFrame, order: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> Column:
-    """A bucket number that rises with ``order``, from bounds taken from a sample.
+def range_bucket(df: DataFrame, order: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> Column | None:
+    """A bucket number that rises with ``order``; None for a table that fits one bucket.
 
-    The sample holds a fixed number of keys per bucket whatever the table size.
-    Any sorted bounds give right numbers; good ones also give even buckets.
+    Its bounds are taken from a sample that holds a fixed number of keys per
+    bucket whatever the table size. Any sorted bounds give right numbers; good
+    ones also give even buckets.
     """
     rows = df.count()
     buckets = min(MAX_BUCKETS, math.ceil(rows / rows_per_bucket))
     if buckets <= 1:
-        return F.lit(0)
+        return None
     key = F.struct(*order)
     share = min(1.0, SAMPLES_PER_BUCKET * buckets / rows)
     sampled = (
@@ -129,6 +133,7 @@ def range_bucket(df: DataFrame, order: Sequence[str], rows_per_bucket: int = ROW
     texts = [row["key"] for row in sampled]
     cuts = [texts[len(texts) * i // buckets] for i in range(1, buckets)] if texts else []
     cuts = list(dict.fromkeys(cuts))
+    # an empty sample of a small table leaves one bucket
     if not cuts:
         return F.lit(0)
     key_type = df.select(*order).schema

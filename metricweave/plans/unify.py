@@ -9,7 +9,9 @@ from metricweave.functions.numeric import int_label
 from metricweave.operators.joins import join_jobs, join_metrics
 from metricweave.operators.projection import fill_missing, flatten_unified
 from metricweave.schemas import CPU, MEM, MISSING, NODE_MANAGER, UNIFIED_LABEL
+from metricweave.sources.series import feed_rows
 
+MEASUREMENTS = {"cpu": CPU, "mem": MEM, "nodemanager": NODE_MANAGER}
 SOURCE = NODE_MANAGER.label_names()[0]
 HOST_METRICS = [*CPU.metric_names(), *MEM.metric_names()]
 CONTAINER_METRICS = [c for c in NODE_MANAGER.metric_names() if c != UNIFIED_LABEL]
@@ -43,3 +45,14 @@ def unify(cpu: DataFrame, mem: DataFrame, nm: DataFrame, jobs: DataFrame, fill:
         "job_value",
         int_label(F.col(UNIFIED_LABEL)).alias("label"),
     )
+
+
+def unify_series(points: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The same from one frame of positional points, as :func:`read_series_json` gives them.
+
+    All series of a measurement count as one feed. The frame is scanned once
+    per feed, and each scan reads only its measurement where the table is
+    partitioned by name.
+    """
+    cpu, mem, nm = (feed_rows(points, name, feed) for name, feed in MEASUREMENTS.items())
+    return unify(cpu, mem, nm, jobs)

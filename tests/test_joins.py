@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
+from metricweave.functions.ids import app_id_number
 from metricweave.functions.times import UNIT_NS
 from metricweave.operators.grouping import column_std, group_series, row_count
 from metricweave.operators.joins import align_feed, join_jobs, join_metrics, join_optional, union_series
@@ -17,7 +20,9 @@ from metricweave.operators.projection import (
     split_label,
     with_key,
 )
-from metricweave.plans.unify import FEATURES, unify
+from metricweave.plans.unify import FEATURES, unify, unify_series
+from metricweave.schemas import SPARK_DRIVER
+from metricweave.sources.series import feed_rows, read_series_json
 
 CONTAINER = "ContainerResource_container_e17_1489_%s_01_%s"
 
@@ -161,3 +166,34 @@ def test_unify_partitions_hosts_once(spark, feeds):
     assert plan.count("Exchange hashpartitioning(time") == 3
     assert plan.count("Exchange hashpartitioning(app_id") == 2
     assert "Python" not in plan
+
+
+def test_unify_from_query_results(spark, tmp_path, feeds):
+    """Positional rows of all three measurements, as the database exports them."""
+    def positional(width, cells):
+        return [cells.get(i) for i in range(width)]
+
+    series = {
+        "cpu": [positional(15, {0: r[0], 3: r[1], 8: r[2], 13: r[3], 14: r[4]}) for r in feeds[0].collect()],
+        "mem": [positional(13, {0: r[0], 8: r[1], 2: r[2], 7: r[3], 12: r[4]}) for r in feeds[1].collect()],
+        "nodemanager": [
+            positional(103, {0: r[0], 97: r[1], 39: r[2], 44: r[3], 51: r[4], 58: r[5], 100: r[6]})
+            for r in feeds[2].collect()
+        ],
+    }
+    lines = [
+        json.dumps({"results": [{"series": [{"name": name, "columns": [], "values": [row]} for row in rows_]}]})
+        for name, rows_ in series.items()
+    ]
+    (tmp_path / "results.json").write_text("\n".join(lines))
+    points = read_series_json(spark, str(tmp_path / "results.json"))
+    assert rows(unify_series(points, feeds[3])) == rows(unify(*feeds))
+
+
+def test_driver_feed(spark):
+    row = [str(i) for i in range(63)]
+    row[5] = "application_1489_0012"
+    points = spark.createDataFrame([("spark", row)], "name string, values array<string>")
+    got = feed_rows(points, "spark", SPARK_DRIVER).withColumn("app_number", app_id_number(F.col("host"))).first()
+    assert got["time"] == 0 and got["app_number"] == 14890012.0
+    assert [got[f"spark_{p}"] for p in (8, 17, 27, 29, 52, 56, 58, 62)] == [8.0, 17.0, 27.0, 29.0, 52.0, 56.0, 58.0, 62.0]

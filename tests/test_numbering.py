@@ -142,3 +142,10 @@ def test_drop_last(spark):
     assert sorted(r["n"] for r in drop_last(df, ["n"]).collect()) == [1, 2]
     tied = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (2, "b")], "n int, s string")
     assert sorted(r["n"] for r in drop_last(tied, ["n"], unique=False).collect()) == [1, 2, 2]
+
+
+def test_large_table_is_never_sorted_in_one_task(spark):
+    df = spark.range(1000).select("id", (F.col("id") * 7 % 1000).alias("key"))
+    plan = number_rows(df, ["key"], rows_per_bucket=100)._jdf.queryExecution().executedPlan().toString()
+    main = plan[: plan.index("BroadcastExchange")]
+    assert "SinglePartition" not in main and "NestedLoop" not in plan and "hashpartitioning(_bucket" in main
