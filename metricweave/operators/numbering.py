@@ -1,30 +1,24 @@
 """Consecutive row numbers over a whole table without a single-task sort.
 
-Rows are cut into key ranges ("buckets") that follow the requested order. A row
-finds its bucket by a binary search over a fixed list of bounds, so the bucket
-depends on nothing but the row: a task that runs again after a lost executor
-puts the same rows into the same buckets. Numbers are then local to a bucket
-plus the count of rows in the buckets before it.
+The table is range-partitioned and sorted by Spark, and each row's place inside
+its partition is written with it to the shared folder. The partitions are then
+fixed: counting them and reading them back see the same rows, also after an
+executor is lost. A row's number is its place plus the rows of all partitions
+before its own.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
 from metricweave.session import store
 
-ROWS_PER_BUCKET = 250_000
-MAX_BUCKETS = 16_384
-SAMPLES_PER_BUCKET = 16
-COPIES_PER_TASK = 1_000_000
+ROWS_PER_TASK = 250_000
 
-_MICROS = {
-    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
-    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-}
+# monotonically_increasing_id: partition number above 33 bits of place
+PLACE_BITS = 33
 
 
 def number_rows(
@@ -32,72 +26,46 @@ def number_rows(
     order: Sequence[str],
     name: str = "row_number",
     unique: bool = True,
-    bucket: Column | None = None,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-    copies_per_task: int = COPIES_PER_TASK,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Append ``name`` = 1, 2, 3 … in ascending ``order``, nulls first.
 
-    ``unique`` states that ``order`` identifies a row. Without that promise,
-    equal rows are first folded into one row with a count, and ties in
-    ``order`` are broken by a hash of the row: neither a hot key nor a mass of
-    copies then sits in one bucket. ``bucket`` may supply a column that already
-    follows ``order`` in evenly filled, bounded steps.
+    ``unique`` states that ``order`` identifies a row. Without that promise the
+    rows are written down once as they come and their place in that table
+    breaks the ties, so neither a hot key nor a mass of equal rows has to sit
+    in one partition. A table of at most ``rows_per_task`` rows is numbered by
+    one task; every larger one takes one sort and one written table.
     """
-    if unique:
-        return _number(df, list(order), name, None, bucket, rows_per_bucket)
-
-    columns = df.columns
-    # read several times below, so the folded rows are stored once
-    folded = store(df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies")), "folded")
-    most = folded.agg(F.max("_copies")).first()[0] or 0
-    tied = folded.withColumn("_tie", F.xxhash64(*columns))
-    last = _number(tied, [*order, "_tie"], "_last", "_copies", bucket, rows_per_bucket)
-
-    first = F.col("_last") - F.col("_copies") + 1
-    # the outer form spares the emptiness check that would build each sequence twice
-    starts = F.sequence(first, F.col("_last"), F.lit(copies_per_task))
-    pieces = last.select(*columns, "_last", F.explode_outer(starts).alias("_from"))
-    if most > copies_per_task:
-        pieces = pieces.repartition("_from")
-    upto = F.least(F.col("_last"), F.col("_from") + (copies_per_task - 1))
-    return pieces.select(*columns, F.explode_outer(F.sequence("_from", upto)).alias(name))
-
-
-def _number(
-    df: DataFrame,
-    order: list[str],
-    name: str,
-    weight: str | None,
-    bucket: Column | None,
-    rows_per_bucket: int,
-) -> DataFrame:
-    if bucket is None:
-        bucket = range_bucket(df, order, rows_per_bucket)
-    if bucket is None:
-        # the table was counted and fits one bucket, so one task may sort it
-        return df.withColumn(name, _running(Window.orderBy(*order), weight))
-    placed = df.withColumn("_bucket", bucket)
-    size = F.sum(weight) if weight else F.count(F.lit(1))
-    offsets = rows_before(placed.groupBy("_bucket").agg(size.alias("_rows")), "_bucket")
-    return (
-        placed.withColumn("_local", _running(Window.partitionBy("_bucket").orderBy(*order), weight))
-        .join(F.broadcast(offsets.select("_bucket", "_before")), "_bucket")
-        .select(*df.columns, (F.col("_local") + F.col("_before")).alias(name))
+    columns, keys = df.columns, list(order)
+    if not unique:
+        df = store(df, "rows").withColumn("_tie", F.monotonically_increasing_id())
+        keys.append("_tie")
+    if df.count() <= rows_per_task:
+        number = F.row_number().over(Window.orderBy(*keys)).cast("bigint")
+        return df.select(*columns, number.alias(name))
+
+    placed = store(
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys).select(
+            *columns, F.monotonically_increasing_id().alias("_place")
+        ),
+        "ordered",
+    )
+    part = F.shiftright("_place", PLACE_BITS).cast("int").alias("_bucket")
+    local = F.col("_place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)) + 1
+    numbered = placed.select(*columns, part, local.alias("_local"))
+    counts = placed.select(part).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    offsets = rows_before(counts, "_bucket").select("_bucket", "_before")
+    return numbered.join(F.broadcast(offsets), "_bucket").select(
+        *columns, (F.col("_local") + F.col("_before")).alias(name)
     )
-
-
-def _running(window: WindowSpec, weight: str | None) -> Column:
-    if weight is None:
-        return F.row_number().over(window).cast("bigint")
-    return F.sum(weight).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
 def rows_before(sizes: DataFrame, bucket: str) -> DataFrame:
     """Add ``_before``, the rows in earlier buckets, and ``_total``.
 
-    One row per bucket goes in, and the number of buckets has a fixed limit, so
-    the un-partitioned window and the broadcast of its result stay small.
+    One row per bucket goes in. Buckets are sort partitions or hash prefixes,
+    whose number is set by configuration and not by the data, so the
+    un-partitioned window and the broadcast of its result stay small.
     """
     in_order = Window.orderBy(bucket)
     running = F.sum("_rows").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -108,45 +76,3 @@ def rows_before(sizes: DataFrame, bucket: str) -> DataFrame:
         (running - F.col("_rows")).alias("_before"),
         F.sum("_rows").over(everything).alias("_total"),
     )
-
-
-def range_bucket(df: DataFrame, order: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> Column | None:
-    """A bucket number that rises with ``order``; None for a table that fits one bucket.
-
-    Its bounds are taken from a sample that holds a fixed number of keys per
-    bucket whatever the table size. Any sorted bounds give right numbers; good
-    ones also give even buckets.
-    """
-    rows = df.count()
-    buckets = min(MAX_BUCKETS, math.ceil(rows / rows_per_bucket))
-    if buckets <= 1:
-        return None
-    key = F.struct(*order)
-    share = min(1.0, SAMPLES_PER_BUCKET * buckets / rows)
-    sampled = (
-        df.select(key.alias("key"))
-        .sample(share, seed=17)
-        .sort("key")
-        .select(F.to_json("key", _MICROS).alias("key"))
-        .collect()
-    )
-    texts = [row["key"] for row in sampled]
-    cuts = [texts[len(texts) * i // buckets] for i in range(1, buckets)] if texts else []
-    cuts = list(dict.fromkeys(cuts))
-    # an empty sample of a small table leaves one bucket
-    if not cuts:
-        return F.lit(0)
-    key_type = df.select(*order).schema
-    bounds = F.from_json(F.lit(f"[{','.join(cuts)}]"), T.ArrayType(key_type), _MICROS)
-    return _bounds_up_to(key, bounds, len(cuts))
-
-
-def _bounds_up_to(key: Column, bounds: Column, length: int) -> Column:
-    """How many of the sorted ``bounds`` are ≤ ``key``, by halving steps."""
-    steps = [1 << i for i in reversed(range(length.bit_length()))]
-
-    def advance(found: Column, step: Column) -> Column:
-        # get() is null past the end, and a null condition keeps ``found``
-        return F.when(F.get(bounds, found + step - 1) <= key, found + step).otherwise(found)
-
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)

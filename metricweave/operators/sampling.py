@@ -18,11 +18,6 @@ def shuffle_key(key: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws(":", *parts, F.lit(str(seed))))
 
 
-def hash_bucket(hashed: str) -> Column:
-    """The leading hex digits: even buckets, in hash order, without sampling."""
-    return F.conv(F.substring(hashed, 1, HEX_DIGITS), 16, 10).cast("int")
-
-
 def shuffle_rows(
     df: DataFrame, key: Sequence[str], seed: int, name: str = "position", unique: bool = True
 ) -> DataFrame:
@@ -32,17 +27,18 @@ def shuffle_rows(
     places rows by key and the rows of one key side by side.
     """
     hashed = df.withColumn("_hash", shuffle_key(key, seed))
-    bucket = hash_bucket("_hash") if unique else None
-    return number_rows(hashed, ["_hash"], name, unique, bucket).drop("_hash")
+    return number_rows(hashed, ["_hash"], name, unique).drop("_hash")
 
 
 def half_cut(df: DataFrame, key: Sequence[str], seed: int) -> DataFrame:
     """One row: the hash of the last row of the first half; null for fewer than two rows.
 
-    Counts per hash bucket find the bucket that holds the middle, and only the
-    rows of that bucket are sorted.
+    The leading hex digits cut the hashes into even buckets, in hash order.
+    Counts per bucket find the one that holds the middle, and only its rows are
+    sorted.
     """
-    hashed = df.select(shuffle_key(key, seed).alias("_hash")).withColumn("_bucket", hash_bucket("_hash"))
+    hashed = df.select(shuffle_key(key, seed).alias("_hash"))
+    hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, HEX_DIGITS))
     sizes = rows_before(hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows")), "_bucket")
     wanted = F.call_function("div", F.col("_total"), F.lit(2).cast("bigint")) - F.col("_before")
     middle = sizes.select("_bucket", wanted.alias("_wanted"), "_rows").where("_wanted between 1 and _rows")

@@ -1,4 +1,4 @@
-"""Row numbers over ranges: many buckets, hot keys, copies, nulls."""
+"""Row numbers over many partitions: hot keys, copies, nulls."""
 
 from __future__ import annotations
 
@@ -6,22 +6,32 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from metricweave.operators import numbering
+from metricweave.operators.numbering import number_rows
 from metricweave.operators.batches import assign_batches
-from metricweave.operators.numbering import number_rows, range_bucket
 from metricweave.operators.projection import drop_last
 from metricweave.operators.sampling import half_of, row_total, shuffle_rows, split_half
+from metricweave.session import store
+
+
+@pytest.fixture(autouse=True)
+def many_partitions(spark):
+    """Keep the small test tables from being merged into one partition."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
 def numbers(df, name="row_number"):
     return sorted(r[name] for r in df.select(name).collect())
 
 
-@pytest.mark.parametrize("rows_per_bucket", [1, 7, 100, 10_000])
-def test_follows_composite_order_across_buckets(spark, rows_per_bucket):
+@pytest.mark.parametrize("rows_per_task", [1, 100, 10_000])
+def test_follows_composite_order_across_partitions(spark, rows_per_task):
     df = spark.range(1000).select(
         (F.col("id") % 7).cast("string").alias("a"), (1000 - F.col("id")).alias("b")
     ).repartition(5)
-    got = number_rows(df, ["a", "b"], rows_per_bucket=rows_per_bucket).collect()
+    got = number_rows(df, ["a", "b"], rows_per_task=rows_per_task).collect()
     want = {(r["a"], r["b"]): i for i, r in enumerate(sorted(df.collect()), 1)}
     assert {(r["a"], r["b"]): r["row_number"] for r in got} == want
 
@@ -29,7 +39,7 @@ def test_follows_composite_order_across_buckets(spark, rows_per_bucket):
 def test_nulls_come_first_in_every_column(spark):
     rows = [(None, 2), (None, None), ("a", None), ("a", 1), ("b", 0)]
     df = spark.createDataFrame(rows, "a string, b int")
-    got = {(r["a"], r["b"]): r["row_number"] for r in number_rows(df, ["a", "b"], rows_per_bucket=1).collect()}
+    got = {(r["a"], r["b"]): r["row_number"] for r in number_rows(df, ["a", "b"], rows_per_task=1).collect()}
     assert got == {(None, None): 1, (None, 2): 2, ("a", None): 3, ("a", 1): 4, ("b", 0): 5}
 
 
@@ -40,18 +50,39 @@ def test_timestamps_doubles_and_decimals_are_ordered(spark):
         ((F.col("id") - 150) / 7).alias("x"),
         F.col("id").cast("decimal(20,3)").alias("d"),
     )
-    got = number_rows(df, ["ts", "ntz", "x", "d"], rows_per_bucket=10).orderBy("row_number").collect()
+    got = number_rows(df, ["ts", "ntz", "x", "d"], rows_per_task=10).orderBy("row_number").collect()
     keys = [tuple(r)[:4] for r in got]
     assert keys == sorted(keys) and [r["row_number"] for r in got] == list(range(1, 301))
 
 
-def test_hot_key_is_spread_over_buckets(spark):
+def partition_sizes(df):
+    """Rows per file behind a numbered table; one file is one sorted partition."""
+    return [r["count"] for r in df.groupBy(F.input_file_name()).count().collect()]
+
+
+def stored_partitions(spark, monkeypatch, *args, **options):
+    kept = []
+    keep = lambda df, label: kept.append((label, store(df, label))) or kept[-1][1]
+    monkeypatch.setattr(numbering, "store", keep)
+    got = number_rows(*args, rows_per_task=100, **options)
+    return got, partition_sizes(dict(kept)["ordered"])
+
+
+def test_hot_key_is_spread_over_partitions(spark, monkeypatch):
     # a third of the rows share the leading key
-    df = spark.range(3000).select(
+    df = spark.range(30_000).select(
         F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 100).alias("key"), "id"
     )
-    sizes = df.groupBy(range_bucket(df, ["key", "id"], 100).alias("bucket")).count().collect()
-    assert len(sizes) >= 25 and max(r["count"] for r in sizes) < 600
+    got, sizes = stored_partitions(spark, monkeypatch, df, ["key", "id"])
+    assert len(sizes) == 8 and max(sizes) < 30_000 / 4
+    assert got.agg(F.countDistinct("row_number")).first()[0] == 30_000
+
+
+def test_equal_rows_are_spread_over_partitions(spark, monkeypatch):
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 100).alias("key"))
+    got, sizes = stored_partitions(spark, monkeypatch, df, ["key"], unique=False)
+    assert len(sizes) == 8 and max(sizes) < 30_000 / 4
+    assert got.agg(F.countDistinct("row_number")).first()[0] == 30_000
 
 
 def test_copies_get_distinct_consecutive_numbers(spark):
@@ -59,7 +90,7 @@ def test_copies_get_distinct_consecutive_numbers(spark):
     df = spark.range(900).select(
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("key"), F.lit("x").alias("text")
     )
-    got = number_rows(df, ["key"], unique=False, rows_per_bucket=50, copies_per_task=20)
+    got = number_rows(df, ["key"], unique=False, rows_per_task=50)
     assert numbers(got) == list(range(1, 901))
     ordered = [r["key"] for r in got.orderBy("row_number").collect()]
     assert ordered == sorted(ordered) and ordered.count(0) == 300
@@ -67,7 +98,7 @@ def test_copies_get_distinct_consecutive_numbers(spark):
 
 def test_ties_on_the_order_key_keep_every_row(spark):
     df = spark.range(500).select(F.lit(1).alias("key"), "id")
-    got = number_rows(df, ["key"], unique=False, rows_per_bucket=20)
+    got = number_rows(df, ["key"], unique=False, rows_per_task=20)
     assert numbers(got) == list(range(1, 501))
     assert got.select("id").distinct().count() == 500
 
@@ -84,18 +115,16 @@ def test_empty_table(spark):
 @given(st.lists(st.tuples(st.integers(-3, 3), st.integers(-2, 2)), max_size=40))
 def test_any_bag_of_rows_is_numbered_in_order(spark, rows):
     df = spark.createDataFrame(rows, "a int, b int")
-    got = number_rows(df, ["a", "b"], unique=False, rows_per_bucket=3, copies_per_task=2).orderBy("row_number").collect()
+    got = number_rows(df, ["a", "b"], unique=False, rows_per_task=3).orderBy("row_number").collect()
     assert [(r["a"], r["b"]) for r in got] == sorted(rows)
     assert [r["row_number"] for r in got] == list(range(1, len(rows) + 1))
 
 
-def test_recomputed_buckets_agree(spark):
-    """The bucket of a row does not depend on the partition it is read in."""
-    df = spark.range(2000).select("id")
-    bucket = range_bucket(df, ["id"], 100)
-    one = dict(df.coalesce(1).select("id", bucket.alias("b")).collect())
-    many = dict(df.repartition(13).select("id", bucket.alias("b")).collect())
-    assert one == many
+def test_numbers_stay_the_same_when_read_again(spark):
+    df = spark.range(2000).select((F.col("id") % 3).alias("key"), "id")
+    got = number_rows(df, ["key"], unique=False, rows_per_task=100)
+    first, again = (dict(d.select("id", "row_number").collect()) for d in (got, got.repartition(5)))
+    assert first == again
 
 
 @pytest.mark.parametrize("rows, size, tail, batches", [
@@ -146,6 +175,7 @@ def test_drop_last(spark):
 
 def test_large_table_is_never_sorted_in_one_task(spark):
     df = spark.range(1000).select("id", (F.col("id") * 7 % 1000).alias("key"))
-    plan = number_rows(df, ["key"], rows_per_bucket=100)._jdf.queryExecution().executedPlan().toString()
+    plan = number_rows(df, ["key"], rows_per_task=100)._jdf.queryExecution().executedPlan().toString()
     main = plan[: plan.index("BroadcastExchange")]
-    assert "SinglePartition" not in main and "NestedLoop" not in plan and "hashpartitioning(_bucket" in main
+    # what is left to do is read the sorted table and add the offsets
+    assert "Exchange" not in main and "Sort" not in main and "NestedLoop" not in plan
