@@ -52,6 +52,16 @@ def _latest(t: Tables):
     return found.select("event_id", "time", "host", "measurement", "value")
 
 
+@query(
+    "latest_many",
+    with_points("SELECT event_id, time, value FROM points ORDER BY time DESC, event_id DESC LIMIT 1500"),
+)
+def _latest_many(t: Tables):
+    """A limit large enough to be bounded by hourly counts first."""
+    found = scan_measurement(t.points, newest_first=True, limit=1500, ties=["event_id"])
+    return found.select("event_id", "time", "value")
+
+
 @query(
     "scan_measurements_limit",
     with_points(

@@ -31,17 +31,19 @@ def build_session(app: str = "metricweave", master: str | None = None, **conf: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder every executor can reach.
+    """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Taken from ``spark.checkpoint.dir``; only where a session names none (a
-    local test run) a temporary folder is set instead.
+    Only a local session may go without: it is given a temporary folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="metricweave-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return configured or current
+    if configured:
+        return configured
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="metricweave-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -113,6 +113,17 @@ def test_scan_measurement(stored):
     assert scan_measurement(stored, "none").count() == 0
 
 
+@pytest.mark.parametrize("rows, limit", [(5000, 1200), (5000, 4999), (1300, 1300), (1300, 2000)])
+def test_large_newest_limit(spark, rows, limit):
+    hour = 3_600_000_000_000
+    # 700 points an hour, and ten without a time
+    stored = spark.range(rows).select("id", (F.col("id") * (hour // 700)).alias("time")).union(
+        spark.range(10).select(F.col("id") - 10, F.lit(None).cast("long")))
+    got = [r["id"] for r in scan_measurement(stored, newest_first=True, limit=limit, ties=["id"]).collect()]
+    assert got[: min(rows, limit)] == list(range(rows - 1, max(rows - limit, 0) - 1, -1))
+    assert len(got) == min(limit, rows + 10)
+
+
 def test_scan_prunes_a_partitioned_table(spark, stored):
     path = scratch_path(spark, "stored")
     stored.write.partitionBy("measurement").parquet(path)
