@@ -31,7 +31,7 @@ def deadman(
     """Points per group and interval, silent intervals included: ``group, slot, emitted, level``.
 
     ``start`` and ``stop`` are the first and last slot; by default those of the
-    whole table. Points are counted per (group, slot) before anything else, and
+    whole table. A group that is silent all through is reported as well. Points are counted per (group, slot) before anything else, and
     silence is filled in from the gap to the group's next slot, so the grid of
     groups and slots is produced in place and never joined.
     """
@@ -40,19 +40,24 @@ def deadman(
     )
     first = counted.agg(F.min("slot")).scalar() if start is None else start
     last = counted.agg(F.max("slot")).scalar() if stop is None else stop
-    counted = counted.where(F.col("slot").between(first, last))
 
     step = F.lit(interval).cast("bigint")
     along = Window.partitionBy(*group).orderBy("slot")
-    # the group's first row also covers the silence before it; no stretch is
-    # empty, and the outer explode spares building each one twice to check that
+    # A row covers the silence up to the group's next row, the first row also
+    # that before it; points outside the range still make their group known.
     begin = F.when(F.lag("slot").over(along).isNull(), first).otherwise(F.col("slot"))
     end = F.coalesce(F.lead("slot").over(along) - step, last)
-    slots = counted.select(
-        *group, F.col("slot").alias("_seen"), F.col("emitted").alias("_count"), F.sequence(begin, end, step).alias("_slots")
-    ).select(*group, "_seen", "_count", F.explode_outer("_slots").alias("slot"))
-    emitted = F.when(F.col("slot") == F.col("_seen"), F.col("_count")).otherwise(0)
-    return slots.select(*group, "slot", emitted.alias("emitted"), level_of(emitted, threshold).alias("level"))
+    stretches = counted.select(
+        *group, "slot", "emitted", F.greatest(begin, first).alias("_begin"), F.least(end, last).alias("_end")
+    ).where(F.col("_begin") <= F.col("_end"))
+    # no stretch is empty: the outer explode spares building each twice to check
+    slots = stretches.select(
+        *group, "slot", "emitted", F.explode_outer(F.sequence("_begin", "_end", step)).alias("_slot")
+    )
+    emitted = F.when(F.col("_slot") == F.col("slot"), F.col("emitted")).otherwise(0)
+    return slots.select(
+        *group, F.col("_slot").alias("slot"), emitted.alias("emitted"), level_of(emitted, threshold).alias("level")
+    )
 
 
 def state_changes_only(

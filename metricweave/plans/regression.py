@@ -75,7 +75,8 @@ def train_in_batches(
     in a loop that stops one batch early.
     """
     model = fit_relu_regression(df, features, label)
-    batches = assign_batches(model.transform(df), order, batch, tail, unique)
+    measured = model.transform(df).select(*dict.fromkeys([*order, "prediction", label]))
+    batches = assign_batches(measured, order, batch, tail, unique)
     return model, batch_metrics(batches, "prediction", label)
 
 

@@ -14,6 +14,9 @@ from metricweave.operators.alerts import ALIVE, DEAD, THRESHOLD
 # Fixed value: default interval of the heartbeat rule.
 INTERVAL = "10 seconds"
 
+# a long silence is reported in frames of this size
+ROWS_PER_FRAME = 50_000
+
 _STATE = "reported bigint, level string, slots array<bigint>, counts array<bigint>"
 
 
@@ -78,6 +81,8 @@ def _count_batches(group: str):
 
 
 def _close_slots(group: str, step: int, threshold: float, changes_only: bool):
+    names = [group, "slot", "emitted", "level"]
+
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         # reported: end of the last reported slot, null before the first report
         reported, level, slots, counts = state.get if state.exists else (None, None, [], [])
@@ -99,10 +104,13 @@ def _close_slots(group: str, step: int, threshold: float, changes_only: bool):
                 closed.append((key[0], slot, emitted, now))
             level, slot = now, slot + step
             reported = slot
+            if len(closed) == ROWS_PER_FRAME:
+                yield pd.DataFrame(closed, columns=names)
+                closed = []
         state.update((reported, level, list(waiting), list(waiting.values())))
         # fires once the watermark passes the end of the open slot
         state.setTimeoutTimestamp((slot + step) // 1000)
         if closed:
-            yield pd.DataFrame(closed, columns=[group, "slot", "emitted", "level"])
+            yield pd.DataFrame(closed, columns=names)
 
     return run

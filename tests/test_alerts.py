@@ -38,6 +38,14 @@ def test_deadman_threshold_and_bounds(spark):
         ("a", -10 * S, 0, DEAD), ("a", 0, 1, DEAD), ("a", 10 * S, 2, ALIVE), ("a", 20 * S, 0, DEAD)], key=repr)
 
 
+def test_deadman_reports_groups_silent_all_through(spark):
+    df = spark.createDataFrame([("before", 5 * S), ("after", 95 * S), ("in", 45 * S), ("in", 5 * S)], "host string, time long")
+    got = deadman(df, ["host"], start=F.lit(30 * S), stop=F.lit(50 * S))
+    assert rows(got) == sorted(
+        [(h, s * S, 0, DEAD) for h in ("before", "after") for s in (30, 40, 50)]
+        + [("in", 30 * S, 0, DEAD), ("in", 40 * S, 1, ALIVE), ("in", 50 * S, 0, DEAD)], key=repr)
+
+
 def test_deadman_of_nothing(spark):
     assert deadman(spark.createDataFrame([], "host string, time long"), ["host"]).count() == 0
 
@@ -119,6 +127,13 @@ def test_delay_admits_earlier_points_of_a_new_group(spark):
     assert feed.seen() == [("a", 0, 1, ALIVE), ("a", 10, 1, ALIVE), ("a", 20, 1, ALIVE)]
 
 
+def test_long_silence_comes_in_frames(spark):
+    feed = Feed(spark, lambda df: deadman_stream(df, "host", "ts"))
+    feed.send(("a", 1))
+    feed.send(("b", 600_000))
+    assert [r[1] for r in feed.seen() if r[0] == "a"] == list(range(0, 600_000, 10))
+
+
 def test_only_changes_are_reported(spark):
     feed = Feed(spark, lambda df: deadman_stream(df, "host", "ts", threshold=1, changes_only=True))
     feed.send(("a", 1), ("a", 2), ("a", 13), ("b", 1))

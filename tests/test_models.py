@@ -7,7 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from metricweave.plans.classifier import accuracy, as_vector, fit_layered_classifier
-from metricweave.plans.regression import ClippedLinear, evaluate_split, fit_relu_regression, train_in_batches
+from metricweave.plans.regression import (
+    ClippedLinear,
+    evaluate_split,
+    fit_relu_regression,
+    train_from_csv,
+    train_in_batches,
+)
+from metricweave.sources.csv import write_rows_csv
 
 
 @pytest.fixture(scope="module")
@@ -51,6 +58,21 @@ def test_training_skips_the_closing_batch(table):
     assert got[7] == pytest.approx(np.mean((predicted[35:40] - y[35:40]) ** 2) / 2)
 
 
+def test_training_from_csv(spark, table, tmp_path):
+    df, x, y = table
+    stored = df.select("id", "a", "b", "c", (F.col("y") * 100).alias("y"))
+    write_rows_csv(stored, str(tmp_path / "rows"))
+    model, costs = train_from_csv(spark, str(tmp_path / "rows"), ["id", "a", "b", "c", "y"], ["id"], "y")
+    label = np.trunc(y * 100)
+    design = np.c_[np.arange(203), x, np.ones(203)]
+    solution, *_ = np.linalg.lstsq(design, label, rcond=None)
+    assert np.allclose([*model.weights, model.intercept], solution, atol=1e-6)
+    predicted = np.maximum(design @ solution, 0)
+    got = dict(costs.select("batch", "cost").collect())
+    assert sorted(got) == list(range(39))
+    assert got[3] == pytest.approx(np.mean((predicted[15:20] - label[15:20]) ** 2) / 2)
+
+
 @pytest.mark.parametrize("fit_on", ["self", "train"])
 def test_evaluate_split(table, fit_on):
     df, x, y = table
