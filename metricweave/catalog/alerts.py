@@ -101,7 +101,7 @@ levels AS (
 
 @query("deadman_stream", with_points(CLOSED + " SELECT event_type, slot, emitted, level FROM levels"))
 def _stream(t: Tables):
-    return streamed(t, lambda feed: deadman_stream(feed, "event_type", "ts", "1 hour"), "deadman")
+    return streamed(t, lambda feed: deadman_stream(feed, ["event_type"], "ts", "1 hour"), "deadman")
 
 
 @query(
@@ -114,10 +114,10 @@ def _stream(t: Tables):
 )
 def _stream_changes(t: Tables):
     return streamed(
-        t, lambda feed: deadman_stream(feed, "event_type", "ts", "1 hour", changes_only=True), "deadman-changes"
+        t, lambda feed: deadman_stream(feed, ["event_type"], "ts", "1 hour", changes_only=True), "deadman-changes"
     )
 
 
 @query("emitted_stream", with_points(CLOSED + " SELECT event_type, slot, emitted FROM levels WHERE emitted > 0"))
 def _emitted(t: Tables):
-    return streamed(t, lambda feed: emitted_stream(feed, "event_type", "ts", "1 hour"), "emitted")
+    return streamed(t, lambda feed: emitted_stream(feed, ["event_type"], "ts", "1 hour"), "emitted")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -20,26 +20,28 @@ ROWS_PER_FRAME = 50_000
 _STATE = "reported bigint, level string, slots array<bigint>, counts array<bigint>"
 
 
-def emitted_stream(df: DataFrame, group: str, ts: str, interval: str = INTERVAL, delay: str = "0 seconds") -> DataFrame:
+def emitted_stream(
+    df: DataFrame, group: Sequence[str], ts: str, interval: str = INTERVAL, delay: str = "0 seconds"
+) -> DataFrame:
     """Points per group and closed interval; a silent interval gives no row."""
     return (
         df.withWatermark(ts, delay)
-        .groupBy(group, F.window(ts, interval))
+        .groupBy(*group, F.window(ts, interval))
         .agg(F.count(F.lit(1)).alias("emitted"))
-        .select(group, F.col("window.start").alias("slot"), "emitted")
+        .select(*group, F.col("window.start").alias("slot"), "emitted")
     )
 
 
 def deadman_stream(
     df: DataFrame,
-    group: str,
+    group: Sequence[str],
     ts: str,
     interval: str = INTERVAL,
     threshold: float = THRESHOLD,
     delay: str = "0 seconds",
     changes_only: bool = False,
 ) -> DataFrame:
-    """``group, slot, emitted, level`` for each interval the watermark has closed.
+    """The group columns, ``slot, emitted, level`` for each interval the watermark has closed.
 
     A group is known from its first point on, and a group that falls silent
     keeps reporting zero. ``changes_only`` reports a slot only when the level
@@ -51,18 +53,19 @@ def deadman_stream(
     reports end, its last level and the counts of its open slots.
     """
     step = pd.Timedelta(interval) // pd.Timedelta("1us")
-    kind = df.schema[group].dataType.simpleString()
+    group = list(group)
+    keys = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group)
 
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    points = df.select(group, floor_to(micros, step).alias("slot"), micros.alias("newest"))
+    points = df.select(*group, floor_to(micros, step).alias("slot"), micros.alias("newest"))
     partial = (
-        points.mapInPandas(_count_batches(group), f"`{group}` {kind}, slot bigint, newest bigint, points bigint")
+        points.mapInPandas(_count_batches(group), f"{keys}, slot bigint, newest bigint, points bigint")
         .withColumn("newest", F.timestamp_micros("newest"))
         .withWatermark("newest", delay)
     )
-    reported = partial.groupBy(group).applyInPandasWithState(
+    reported = partial.groupBy(*group).applyInPandasWithState(
         _close_slots(group, step, threshold, changes_only),
-        f"`{group}` {kind}, slot bigint, emitted bigint, level string",
+        f"{keys}, slot bigint, emitted bigint, level string",
         _STATE,
         "append",
         GroupStateTimeout.EventTimeTimeout,
@@ -70,18 +73,18 @@ def deadman_stream(
     return reported.withColumn("slot", F.timestamp_micros("slot"))
 
 
-def _count_batches(group: str):
+def _count_batches(group: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.groupby([group, "slot"], as_index=False, dropna=False).agg(
+            yield batch.groupby([*group, "slot"], as_index=False, dropna=False).agg(
                 newest=("newest", "max"), points=("newest", "size")
             )
 
     return run
 
 
-def _close_slots(group: str, step: int, threshold: float, changes_only: bool):
-    names = [group, "slot", "emitted", "level"]
+def _close_slots(group: list[str], step: int, threshold: float, changes_only: bool):
+    names = [*group, "slot", "emitted", "level"]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         # reported: end of the last reported slot, null before the first report
@@ -101,7 +104,7 @@ def _close_slots(group: str, step: int, threshold: float, changes_only: bool):
             emitted = waiting.pop(slot, 0)
             now = DEAD if emitted <= threshold else ALIVE
             if not changes_only or now != level:
-                closed.append((key[0], slot, emitted, now))
+                closed.append((*key, slot, emitted, now))
             level, slot = now, slot + step
             reported = slot
             if len(closed) == ROWS_PER_FRAME:

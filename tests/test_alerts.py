@@ -104,7 +104,7 @@ class Feed:
 
 
 def test_silent_group_keeps_reporting(spark):
-    feed = Feed(spark, lambda df: deadman_stream(df, "host", "ts"))
+    feed = Feed(spark, lambda df: deadman_stream(df, ["host"], "ts"))
     feed.send(("a", 1), ("a", 2), ("b", 5))
     feed.send(("a", 12))
     feed.send(("a", 41))
@@ -120,7 +120,7 @@ def test_silent_group_keeps_reporting(spark):
 
 
 def test_delay_admits_earlier_points_of_a_new_group(spark):
-    feed = Feed(spark, lambda df: deadman_stream(df, "host", "ts", delay="30 seconds"))
+    feed = Feed(spark, lambda df: deadman_stream(df, ["host"], "ts", delay="30 seconds"))
     feed.send(("a", 25))
     feed.send(("a", 3), ("a", 14))
     feed.send(("a", 66))
@@ -128,14 +128,14 @@ def test_delay_admits_earlier_points_of_a_new_group(spark):
 
 
 def test_long_silence_comes_in_frames(spark):
-    feed = Feed(spark, lambda df: deadman_stream(df, "host", "ts"))
+    feed = Feed(spark, lambda df: deadman_stream(df, ["host"], "ts"))
     feed.send(("a", 1))
     feed.send(("b", 600_000))
     assert [r[1] for r in feed.seen() if r[0] == "a"] == list(range(0, 600_000, 10))
 
 
 def test_only_changes_are_reported(spark):
-    feed = Feed(spark, lambda df: deadman_stream(df, "host", "ts", threshold=1, changes_only=True))
+    feed = Feed(spark, lambda df: deadman_stream(df, ["host"], "ts", threshold=1, changes_only=True))
     feed.send(("a", 1), ("a", 2), ("a", 13), ("b", 1))
     feed.send(("a", 35), ("a", 36), ("a", 71))
     assert feed.seen() == [
@@ -144,7 +144,7 @@ def test_only_changes_are_reported(spark):
 
 def test_stream_agrees_with_stored_points(spark):
     points = [(h, (i * 37 + 11 * n) % 300) for n, h in enumerate("abc") for i in range(12 + n)]
-    feed = Feed(spark, lambda df: deadman_stream(df, "host", "ts", "20 seconds"))
+    feed = Feed(spark, lambda df: deadman_stream(df, ["host"], "ts", "20 seconds"))
     feed.send(*points)
     feed.send(("a", 400))
     df = spark.createDataFrame([(h, s * S) for h, s in [*points, ("a", 400)]], "host string, time long")
@@ -154,8 +154,18 @@ def test_stream_agrees_with_stored_points(spark):
     assert feed.seen() == sorted((r["host"], r["slot"] // S, r["emitted"], r["level"]) for r in closed.collect())
 
 
+def test_groups_of_two_columns(spark):
+    def alerts(df):
+        found = deadman_stream(df.withColumn("port", F.length("host")), ["host", "port"], "ts")
+        return found.select(F.concat("host", F.col("port").cast("string")).alias("host"), "slot", "emitted", "level")
+
+    feed = Feed(spark, alerts)
+    feed.send(("a", 1), ("bb", 2), ("a", 21))
+    assert feed.seen() == [("a1", 0, 1, ALIVE), ("a1", 10, 0, DEAD), ("bb2", 0, 1, ALIVE), ("bb2", 10, 0, DEAD)]
+
+
 def test_window_counts(spark):
-    feed = Feed(spark, lambda df: emitted_stream(df, "host", "ts"))
+    feed = Feed(spark, lambda df: emitted_stream(df, ["host"], "ts"))
     feed.send(("a", 1), ("a", 2), ("b", 5), ("a", 13))
     feed.send(("b", 29))
     assert feed.seen() == [("a", 0, 2), ("a", 10, 1), ("b", 0, 1)]
@@ -164,6 +174,6 @@ def test_window_counts(spark):
 def test_points_are_counted_before_the_shuffle(spark):
     path = scratch_path(spark, "plain")
     os.makedirs(path)
-    alerts = deadman_stream(spark.readStream.schema(SCHEMA).parquet(path), "host", "ts")
+    alerts = deadman_stream(spark.readStream.schema(SCHEMA).parquet(path), ["host"], "ts")
     plan = alerts._jdf.queryExecution().analyzed().toString()
     assert plan.index("FlatMapGroupsInPandasWithState") < plan.index("MapInPandas")

@@ -74,14 +74,14 @@ def test_hot_key_is_spread_over_partitions(spark, monkeypatch):
         F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 100).alias("key"), "id"
     )
     got, sizes = stored_partitions(spark, monkeypatch, df, ["key", "id"])
-    assert len(sizes) == 8 and max(sizes) < 30_000 / 4
+    assert len(sizes) == 4 and max(sizes) < 30_000 / 3
     assert got.agg(F.countDistinct("row_number")).first()[0] == 30_000
 
 
 def test_equal_rows_are_spread_over_partitions(spark, monkeypatch):
     df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 100).alias("key"))
     got, sizes = stored_partitions(spark, monkeypatch, df, ["key"], unique=False)
-    assert len(sizes) == 8 and max(sizes) < 30_000 / 4
+    assert len(sizes) == 4 and max(sizes) < 30_000 / 3
     assert got.agg(F.countDistinct("row_number")).first()[0] == 30_000
 
 
