@@ -50,29 +50,14 @@ def number_rows(
         ),
         "ordered",
     )
-    part = F.shiftright("_place", PLACE_BITS).cast("int").alias("_bucket")
+    part = F.shiftright("_place", PLACE_BITS).cast("int").alias("_part")
     local = F.col("_place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)) + 1
-    numbered = placed.select(*columns, part, local.alias("_local"))
-    counts = placed.select(part).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    offsets = rows_before(counts, "_bucket").select("_bucket", "_before")
-    return numbered.join(F.broadcast(offsets), "_bucket").select(
-        *columns, (F.col("_local") + F.col("_before")).alias(name)
-    )
-
-
-def rows_before(sizes: DataFrame, bucket: str) -> DataFrame:
-    """Add ``_before``, the rows in earlier buckets, and ``_total``.
-
-    One row per bucket goes in. Buckets are sort partitions or hash prefixes,
-    whose number is set by configuration and not by the data, so the
-    un-partitioned window and the broadcast of its result stay small.
-    """
-    in_order = Window.orderBy(bucket)
-    running = F.sum("_rows").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    everything = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return sizes.select(
-        bucket,
-        "_rows",
-        (running - F.col("_rows")).alias("_before"),
-        F.sum("_rows").over(everything).alias("_total"),
+    # one row per sort partition, whose number is a setting and not the data's
+    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    return (
+        placed.select(*columns, part, local.alias("_local"))
+        .join(F.broadcast(offsets), "_part")
+        .select(*columns, (F.col("_local") + F.col("_before")).alias(name))
     )

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from metricweave.operators.numbering import number_rows, rows_before
+from metricweave.operators.numbering import ROWS_PER_TASK, number_rows
 
 TRAIN, TEST = "train", "test"
-HEX_DIGITS = 4
+HEX_DIGITS, HASH_DIGITS = 3, 32
 
 
 def shuffle_key(key: Sequence[str], seed: int) -> Column:
@@ -30,43 +30,45 @@ def shuffle_rows(
     return number_rows(hashed, ["_hash"], name, unique).drop("_hash")
 
 
-def half_cut(df: DataFrame, key: Sequence[str], seed: int) -> DataFrame:
-    """One row: the hash of the last row of the first half; null for fewer than two rows.
+def half_cut(df: DataFrame, key: Sequence[str], seed: int, rows_per_task: int = ROWS_PER_TASK) -> str | None:
+    """The hash of the last row of the first half; None for fewer than two rows.
 
-    The leading hex digits cut the hashes into even buckets, in hash order.
-    Counts per bucket find the one that holds the middle, and only its rows are
-    sorted.
+    Hash prefixes cut the rows into even buckets, in hash order. Counts per
+    bucket, at most 16^HEX_DIGITS of them, find the one that holds the middle;
+    it is cut again until one task may sort it, which takes one more round for
+    a thousand times the rows.
     """
-    hashed = df.select(shuffle_key(key, seed).alias("_hash"))
-    hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, HEX_DIGITS))
-    sizes = rows_before(hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows")), "_bucket")
-    wanted = F.call_function("div", F.col("_total"), F.lit(2).cast("bigint")) - F.col("_before")
-    middle = sizes.select("_bucket", wanted.alias("_wanted"), "_rows").where("_wanted between 1 and _rows")
-    # one row at most
-    ranked = hashed.join(F.broadcast(middle.drop("_rows")), "_bucket").withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash"))
-    )
-    return ranked.where(F.col("_rank") == F.col("_wanted")).agg(F.max("_hash").alias("cut"))
+    hashed = df.select(shuffle_key(key, seed).alias("hash"))
+    prefix, before, wanted, inside = "", 0, None, hashed
+    while True:
+        bucket = F.substring("hash", 1, len(prefix) + HEX_DIGITS)
+        sizes = sorted(inside.groupBy(bucket.alias("bucket")).count().collect())
+        if wanted is None:
+            wanted = sum(rows for _, rows in sizes) // 2
+            if wanted == 0:
+                return None
+        for prefix, rows in sizes:
+            if before + rows >= wanted:
+                break
+            before += rows
+        inside = hashed.where(F.col("hash").startswith(prefix))
+        if rows <= rows_per_task or len(prefix) >= HASH_DIGITS:
+            break
+    return inside.orderBy("hash").limit(wanted - before).agg(F.max("hash").alias("cut")).first()["cut"]
 
 
 def split_half(
-    df: DataFrame,
-    key: Sequence[str],
-    seed: int,
-    name: str = "half",
-    unique: bool = True,
-    cut: Column | None = None,
+    df: DataFrame, key: Sequence[str], seed: int, name: str = "half", unique: bool = True
 ) -> DataFrame:
     """First ⌊n/2⌋ rows of the permutation are ``train``, the rest ``test``.
 
     For a unique key the table is not shuffled: every row is compared with one
-    hash, that of :func:`half_cut`, which a caller may have taken already.
+    hash, which is looked up beforehand.
     """
     if not unique:
         placed = shuffle_rows(df, key, seed, "_position", unique=False)
         return placed.withColumn(name, half_of(F.col("_position"), row_total(df))).drop("_position")
-    if cut is None:
-        cut = half_cut(df, key, seed).scalar()
+    cut = F.lit(half_cut(df, key, seed))
     return df.withColumn(name, F.when(shuffle_key(key, seed) <= cut, TRAIN).otherwise(TEST))
 
 

@@ -11,17 +11,11 @@ from metricweave.operators.sampling import TEST, TRAIN
 
 def part_deviations(
     df: DataFrame, columns: Sequence[str], part: str = "half", parts: Sequence[str] = (TRAIN, TEST)
-) -> DataFrame:
-    """One row holding a struct: the population deviation of every column in every part."""
-    return df.agg(
-        F.struct(
-            *[
-                F.stddev_pop(F.when(F.col(part) == p, F.col(c))).alias(f"{c}_{i}")
-                for i, p in enumerate(parts)
-                for c in columns
-            ]
-        ).alias("deviations")
-    )
+) -> dict[tuple[str, str], float | None]:
+    """Population deviation of every column in every part, from one aggregation."""
+    wanted = [(p, c) for p in parts for c in columns]
+    found = df.agg(*[F.stddev_pop(F.when(F.col(part) == p, F.col(c))).alias(f"_{i}") for i, (p, c) in enumerate(wanted)])
+    return dict(zip(wanted, found.first()))
 
 
 def scale_by_std(
@@ -30,24 +24,21 @@ def scale_by_std(
     part: str = "half",
     parts: Sequence[str] = (TRAIN, TEST),
     fit_on: str = "self",
-    deviations: Column | None = None,
 ) -> DataFrame:
     """Each column over the population deviation of its part.
 
     ``fit_on='self'`` scales a part by its own deviation, any other value names
     the part whose deviation scales all of them. A deviation of zero gives
-    null. The deviations are one scalar row, that of :func:`part_deviations`,
-    so the table is not shuffled; a caller may have taken them already.
+    null. The deviations are looked up beforehand and enter as constants, so
+    the table is not shuffled.
     """
-    if deviations is None:
-        deviations = part_deviations(df, columns, part, parts).scalar()
+    deviations = part_deviations(df, columns, part, parts if fit_on == "self" else [fit_on])
 
     def divisor(column: str) -> Column:
-        if fit_on != "self":
-            return deviations[f"{column}_{list(parts).index(fit_on)}"]
         chosen = F.lit(None).cast("double")
-        for i, p in enumerate(parts):
-            chosen = F.when(F.col(part) == p, deviations[f"{column}_{i}"]).otherwise(chosen)
+        for p in parts:
+            deviation = deviations[p if fit_on == "self" else fit_on, column]
+            chosen = F.when(F.col(part) == p, F.lit(deviation or None).cast("double")).otherwise(chosen)
         return chosen
 
-    return df.withColumns({c: F.col(c) / F.nullif(divisor(c), F.lit(0.0)) for c in columns})
+    return df.withColumns({c: F.col(c) / divisor(c) for c in columns})

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from metricweave.functions.numeric import clamp
 from metricweave.operators.batches import assign_batches, batch_metrics
 from metricweave.operators.projection import split_label
-from metricweave.operators.sampling import TEST, TRAIN, half_cut, shuffle_rows, split_half
-from metricweave.operators.scaling import part_deviations, scale_by_std
+from metricweave.operators.sampling import TEST, TRAIN, shuffle_rows, split_half
+from metricweave.operators.scaling import scale_by_std
 from metricweave.sources.csv import read_rows_csv
 
 
@@ -116,13 +116,8 @@ def evaluate_split(
     features and labels.
     """
     rows = df.select(*dict.fromkeys([*key, *features, label]))
-    # Three scalars are taken once and used as constants by all later passes.
     total = F.lit(rows.count()).cast("bigint")
-    cut = F.lit(half_cut(rows, key, seed).first()["cut"])
-    halved = split_half(rows, key, seed, cut=cut)
-    found = part_deviations(halved, features).first()["deviations"].asDict()
-    deviations = F.struct(*[F.lit(v).cast("double").alias(n) for n, v in found.items()])
-    scaled = scale_by_std(halved, features, fit_on=fit_on, deviations=deviations)
+    scaled = scale_by_std(split_half(rows, key, seed), features, fit_on=fit_on)
     model = fit_relu_regression(scaled.where(F.col("half") == TRAIN), features, label, l2)
 
     # Only the batches need each row's place, so only this pass shuffles.

@@ -10,7 +10,7 @@ from metricweave.operators import numbering
 from metricweave.operators.numbering import number_rows
 from metricweave.operators.batches import assign_batches
 from metricweave.operators.projection import drop_last
-from metricweave.operators.sampling import half_of, row_total, shuffle_rows, split_half
+from metricweave.operators.sampling import half_cut, half_of, row_total, shuffle_key, shuffle_rows, split_half
 from metricweave.session import store
 
 
@@ -152,6 +152,13 @@ def test_halves_follow_the_permutation(spark, rows):
     assert sum(h == "train" for h in by_cut.values()) == rows // 2
 
 
+@pytest.mark.parametrize("rows_per_task", [1, 3, 50])
+def test_the_middle_is_found_in_rounds(spark, rows_per_task):
+    df = spark.range(4001)
+    hashes = sorted(r[0] for r in df.select(shuffle_key(["id"], 9)).collect())
+    assert half_cut(df, ["id"], 9, rows_per_task) == hashes[1999]
+
+
 def test_permutation_depends_on_the_seed(spark):
     df = spark.range(200)
     first, again, other = (
