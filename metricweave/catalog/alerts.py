@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from metricweave.catalog.registry import Tables, query, with_points
 from metricweave.functions.times import DAY_NS, UNIT_NS, floor_to, timestamp_to_epoch
-from metricweave.operators.alerts import deadman, state_changes_only
+from metricweave.operators.alerts import deadman, state_changes_only, with_message
 from metricweave.session import scratch_path
 from metricweave.streaming.deadman import deadman_stream, emitted_stream
 
@@ -38,6 +38,19 @@ def _threshold(t: Tables):
     return hourly(t, 1).where(F.col("level") == "CRITICAL")
 
 
+@query(
+    "deadman_messages",
+    with_points(
+        _levels(0)
+        + """, named AS (SELECT *, 'measurement=' || measurement || ':NODE_NAME for task ''events''' AS id FROM levels)
+        SELECT id, slot, level, printf('%s is %s: %.3f points/INTERVAL.', id,
+            CASE WHEN level = 'OK' THEN 'alive' ELSE 'dead' END, CAST(emitted AS DOUBLE)) AS message FROM named"""
+    ),
+)
+def _messages(t: Tables):
+    return with_message(hourly(t, 0), ["measurement"], "events").select("id", "slot", "level", "message")
+
+
 CHANGED = """ SELECT measurement, slot, emitted, level FROM levels
 QUALIFY level IS DISTINCT FROM lag(level) OVER (PARTITION BY measurement ORDER BY slot)"""
 

@@ -1,4 +1,4 @@
-"""Epoch keys, timestamps and time predicates.
+"""Epoch keys and timestamps.
 
 Keys are 64-bit epoch nanoseconds. Spark timestamps hold microseconds, so a
 timestamp is only ever derived from a key, never joined on.
@@ -42,22 +42,3 @@ def timestamp_to_epoch(ts: Column, unit: str = "ns") -> Column:
     if scale < 1000:
         return micros * F.lit(1000 // scale).cast("bigint")
     return _floor_div(micros, scale // 1000)
-
-
-def time_between(time: Column, after=None, before=None) -> Column:
-    """Both bounds exclusive; either may be left out or be an expression such as
-    ``F.current_timestamp() - F.expr("interval 4 hours")``."""
-    keep = F.lit(True)
-    if after is not None:
-        keep = keep & (time > after)
-    if before is not None:
-        keep = keep & (time < before)
-    return keep
-
-
-def tag_matches(tag: Column, *patterns: str) -> Column:
-    """Every pattern is found somewhere in the tag (no anchoring)."""
-    keep = F.lit(True)
-    for pattern in patterns:
-        keep = keep & tag.rlike(pattern)
-    return keep

@@ -12,6 +12,9 @@ from metricweave.functions.times import floor_to
 INTERVAL = 10_000_000_000
 THRESHOLD = 0.0
 ALIVE, DEAD = "OK", "CRITICAL"
+# Texts of the heartbeat rule.
+ID_TEXT = "%s:NODE_NAME for task '%s'"
+MESSAGE_TEXT = "%s is %s: %.3f points/INTERVAL."
 
 
 def level_of(emitted: Column, threshold: float = THRESHOLD) -> Column:
@@ -60,6 +63,14 @@ def deadman(
     )
 
 
+def with_message(df: DataFrame, group: Sequence[str], task: str) -> DataFrame:
+    """Add the alert's ``id`` and ``message``; a group reads ``tag=value,tag=value``."""
+    tags = F.concat_ws(",", *[F.concat(F.lit(f"{g}="), F.col(g).cast("string")) for g in group])
+    state = F.when(F.col("level") == ALIVE, "alive").otherwise("dead")
+    named = df.withColumn("id", F.format_string(ID_TEXT, tags, F.lit(task)))
+    return named.withColumn("message", F.format_string(MESSAGE_TEXT, "id", state, F.col("emitted").cast("double")))
+
+
 def state_changes_only(
     df: DataFrame, group: Sequence[str], order: Sequence[str], level: str = "level", chunk: Column | None = None
 ) -> DataFrame:

@@ -6,7 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from metricweave.functions.times import UNIT_NS, floor_to, tag_matches, time_between
+from metricweave.functions.predicates import tag_matches, time_between
+from metricweave.functions.times import UNIT_NS, floor_to
 from metricweave.schemas import POINT, SERIES_RESULT, Feed
 
 # a sorted limit up to this size is merged directly

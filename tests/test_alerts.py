@@ -11,7 +11,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from metricweave.functions.times import UNIT_NS
-from metricweave.operators.alerts import ALIVE, DEAD, deadman, state_changes_only
+from metricweave.operators.alerts import ALIVE, DEAD, deadman, state_changes_only, with_message
 from metricweave.session import scratch_path
 from metricweave.streaming.deadman import deadman_stream, emitted_stream
 
@@ -46,6 +46,14 @@ def test_deadman_reports_groups_silent_all_through(spark):
         + [("in", 30 * S, 0, DEAD), ("in", 40 * S, 1, ALIVE), ("in", 50 * S, 0, DEAD)], key=repr)
 
 
+def test_messages(spark):
+    df = spark.createDataFrame([("n1", 7, 0, 0, DEAD), ("n2", 8, 0, 3, ALIVE)], "host string, port int, slot long, emitted long, level string")
+    got = [(r["id"], r["message"]) for r in with_message(df, ["host", "port"], "beat").orderBy("host").collect()]
+    assert got[0] == ("host=n1,port=7:NODE_NAME for task 'beat'",
+                      "host=n1,port=7:NODE_NAME for task 'beat' is dead: 0.000 points/INTERVAL.")
+    assert got[1][1].endswith("is alive: 3.000 points/INTERVAL.")
+
+
 def test_deadman_of_nothing(spark):
     assert deadman(spark.createDataFrame([], "host string, time long"), ["host"]).count() == 0
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from metricweave.functions import ids
 from metricweave.functions.numeric import clamp_allocation, int_label, relu, sigmoid
 from metricweave.functions.paths import metric_path
-from metricweave.functions.times import epoch_to_timestamp, floor_to, tag_matches, time_between, timestamp_to_epoch
+from metricweave.functions.predicates import tag_matches, time_between
+from metricweave.functions.times import epoch_to_timestamp, floor_to, timestamp_to_epoch
 
 
 def values(spark, kind, rows, expression):
