@@ -79,6 +79,8 @@ def state_changes_only(
     ``chunk`` is a column that rises with ``order``, such as the day. With it a
     group is compared piece by piece, each opened by a row that carries the
     last level of the piece before, so no task holds the whole of a hot group.
+    Without it a group is one piece, which suits tables such as that of
+    :func:`deadman`, whose groups have one row per slot.
     """
     pieces = df.withColumns({"_chunk": F.lit(0) if chunk is None else chunk, "_opening": F.lit(False)})
     if chunk is not None:
