@@ -34,11 +34,14 @@ def deadman(
     """Points per group and interval, silent intervals included: ``group, slot, emitted, level``.
 
     ``start`` and ``stop`` are the first and last slot; by default those of the
-    whole table. A group that is silent all through is reported as well. Points are counted per (group, slot) before anything else, and
-    silence is filled in from the gap to the group's next slot, so the grid of
-    groups and slots is produced in place and never joined.
+    whole table. A group that is silent all through is reported as well. Points
+    without a time count nowhere.
+
+    Points are counted per (group, slot) before anything else, and silence is
+    filled in from the gap to the group's next slot, so the grid of groups and
+    slots is produced in place and never joined.
     """
-    counted = df.groupBy(*group, floor_to(F.col(time), interval).alias("slot")).agg(
+    counted = df.where(F.col(time).isNotNull()).groupBy(*group, floor_to(F.col(time), interval).alias("slot")).agg(
         F.count(F.lit(1)).alias("emitted")
     )
     first = counted.agg(F.min("slot")).scalar() if start is None else start

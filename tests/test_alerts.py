@@ -46,6 +46,12 @@ def test_deadman_reports_groups_silent_all_through(spark):
         + [("in", 30 * S, 0, DEAD), ("in", 40 * S, 1, ALIVE), ("in", 50 * S, 0, DEAD)], key=repr)
 
 
+def test_points_without_time(spark):
+    df = spark.createDataFrame([("a", None), ("a", 15 * S), ("b", None), (None, 25 * S)], "host string, time long")
+    assert rows(deadman(df, ["host"])) == sorted([
+        ("a", 10 * S, 1, ALIVE), ("a", 20 * S, 0, DEAD), (None, 10 * S, 0, DEAD), (None, 20 * S, 1, ALIVE)], key=repr)
+
+
 def test_messages(spark):
     df = spark.createDataFrame([("n1", 7, 0, 0, DEAD), ("n2", 8, 0, 3, ALIVE)], "host string, port int, slot long, emitted long, level string")
     got = [(r["id"], r["message"]) for r in with_message(df, ["host", "port"], "beat").orderBy("host").collect()]
