@@ -57,7 +57,7 @@ def deadman_stream(
     keys = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group)
 
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    points = df.select(*group, floor_to(micros, step).alias("slot"), micros.alias("newest"))
+    points = df.where(F.col(ts).isNotNull()).select(*group, floor_to(micros, step).alias("slot"), micros.alias("newest"))
     partial = (
         points.mapInPandas(_count_batches(group), f"{keys}, slot bigint, newest bigint, points bigint")
         .withColumn("newest", F.timestamp_micros("newest"))

@@ -103,7 +103,7 @@ class Feed:
         self.clock = itertools.count(1_700_000_000)
 
     def send(self, *points):
-        data = [(host, START + timedelta(seconds=s)) for host, s in points]
+        data = [(host, None if s is None else START + timedelta(seconds=s)) for host, s in points]
         self.spark.createDataFrame(data, SCHEMA).coalesce(1).write.mode("append").parquet(self.source)
         run = (
             self.alerts(self.spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(self.source))
@@ -150,7 +150,8 @@ def test_long_silence_comes_in_frames(spark):
 
 def test_only_changes_are_reported(spark):
     feed = Feed(spark, lambda df: deadman_stream(df, ["host"], "ts", threshold=1, changes_only=True))
-    feed.send(("a", 1), ("a", 2), ("a", 13), ("b", 1))
+    # a point without a time counts nowhere
+    feed.send(("a", 1), ("a", 2), ("a", None), ("a", 13), ("b", 1))
     feed.send(("a", 35), ("a", 36), ("a", 71))
     assert feed.seen() == [
         ("a", 0, 2, ALIVE), ("a", 10, 1, DEAD), ("a", 30, 2, ALIVE), ("a", 40, 0, DEAD), ("b", 0, 1, DEAD)]
