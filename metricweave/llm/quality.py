@@ -77,12 +77,16 @@ def _size(items: Column) -> Column:
 def _repeated_words(words: Column, width: int = WINDOW) -> Column:
     """Words inside windows of ``width`` that occur twice or more in the text.
 
-    Windows are compared by hash. Only a text with equal hashes sorts them: the
-    starts of repeated windows, in order, each add the words that the window
-    before did not cover.
+    ``width`` is a power of two. Windows are compared by hash, built by doubling: of one word, of two, of
+    four, of eight. Only a text with equal hashes sorts them: the starts of
+    repeated windows, in order, each add the words that the window before did
+    not cover.
     """
-    starts = F.sequence(F.lit(0), F.size(words) - width)
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i + 1, width)))
+    join = lambda step: lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + step)))
+    hashes, step = F.transform(words, lambda w: F.xxhash64(w)), 1
+    while step < width:
+        hashes, step = let(hashes, join(step)), 2 * step
+    hashes = F.slice(hashes, 1, F.size(words) - (width - 1))
 
     def covered(hashes: Column) -> Column:
         tagged = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
