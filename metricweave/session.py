@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# what scratch_path makes: a label and a random number
+SCRATCH_NAME = re.compile(r"[\w.]+-[0-9a-f]{32}")
+
 
 def build_session(app: str = "metricweave", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on.
@@ -31,19 +34,28 @@ def build_session(app: str = "metricweave", master: str | None = None, **conf: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, named by ``spark.checkpoint.dir``.
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or one in the warehouse.
 
-    Only a local session may go without: it is given a temporary folder.
+    One rule for laptop and cluster. The warehouse is shared wherever tables can
+    be written, so it stands in where no checkpoint folder is named.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="metricweave-"))
-    return context.getCheckpointDir()
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+
+
+def drop_scratch(df: DataFrame) -> None:
+    """Delete the stored tables that ``df`` reads, once its result has been written."""
+    context, spark = df.sparkSession.sparkContext, df.sparkSession
+    shared = f"{shared_dir(spark).rstrip('/')}/"
+    path_of = context._jvm.org.apache.hadoop.fs.Path
+    root = path_of(shared).toUri().getPath().rstrip("/") + "/"
+    for file in df.inputFiles():
+        folder = path_of(file).getParent()
+        inner = folder.toUri().getPath()
+        if inner.startswith(root) and SCRATCH_NAME.fullmatch(inner[len(root):]):
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
