@@ -35,7 +35,7 @@ def joined_digest(parts) -> F.Column:
 QUALITY_SQL = r"""
 WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 words AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
-                 list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+                 list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
           FROM texts),
 windows AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g
             FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM words WHERE len(w) >= 8)),
@@ -49,9 +49,9 @@ metrics AS (
            coalesce(n, 0)::BIGINT AS n_repeat_words,
            len(lines) AS n_lines,
            length(regexp_replace(text, '[^!]', '', 'g')) AS n_exclaims,
-           len(list_filter(w, x -> lower(x) IN ({stops}))) AS n_stops,
-           len(list_filter(lines, x -> regexp_matches(x, '^[\x20\x09-\x0D]*[-*•‣◦·][\x20\x09-\x0D]'))) AS n_bullets,
-           len(list_filter(lines, x -> regexp_matches(x, '(…|\.\.\.)[\x20\x09-\x0D]*$'))) AS n_dots
+           len(list_filter(w, lambda x: lower(x) IN ({stops}))) AS n_stops,
+           len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•‣◦·][\x20\x09-\x0D]'))) AS n_bullets,
+           len(list_filter(lines, lambda x: regexp_matches(x, '(…|\.\.\.)[\x20\x09-\x0D]*$'))) AS n_dots
     FROM words LEFT JOIN covered USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,

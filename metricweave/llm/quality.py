@@ -28,41 +28,41 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """``low <= scale * over / under <= high`` keeps a document; an open end is None.
+    """``low <= 100 * over / under <= high`` keeps a document; an open end is None.
 
-    Written without a division, so that integers decide exactly and a zero
-    ``under`` asks for a zero ``over``.
+    Bounds are whole per cent and no division is made, so integers decide
+    exactly, and a zero ``under`` asks for a zero ``over``.
     """
 
     name: str
     over: str
     under: str | None = None
-    low: float | None = None
-    high: float | None = None
+    low: int | None = None
+    high: int | None = None
 
     def broken(self, metric: dict[str, Column]) -> Column:
-        over, under = metric[self.over], metric[self.under] if self.under else F.lit(1)
+        over, under = metric[self.over] * 100, metric[self.under] if self.under else F.lit(1)
         found = F.lit(False)
         if self.low is not None:
-            found = found | (over < under * F.lit(self.low))
+            found = found | (over < under * self.low)
         if self.high is not None:
-            found = found | (over > under * F.lit(self.high))
+            found = found | (over > under * self.high)
         return found
 
 
 #: Any broken rule here rejects, whatever else is configured.
 BASE_RULES = (
-    Rule("too_short", "n_words", low=20),
-    Rule("repeated_windows", "n_repeat_words", "n_words", high=0.3),
+    Rule("too_short", "n_words", low=2000),
+    Rule("repeated_windows", "n_repeat_words", "n_words", high=30),
 )
 RULES = (
-    Rule("mean_word_length", "word_chars", "n_words", low=2, high=15),
-    Rule("symbols", "n_symbols", "n_words", high=0.1),
-    Rule("exclamations", "n_exclaims", "n_words", high=0.5),
-    Rule("stop_words", "n_stop_words", "n_words", low=0.02),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", high=0.3),
-    Rule("bullet_lines", "n_bullet_lines", "n_lines", high=0.9),
-    Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", high=0.3),
+    Rule("mean_word_length", "word_chars", "n_words", low=200, high=1500),
+    Rule("symbols", "n_symbols", "n_words", high=10),
+    Rule("exclamations", "n_exclaims", "n_words", high=50),
+    Rule("stop_words", "n_stop_words", "n_words", low=2),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", high=30),
+    Rule("bullet_lines", "n_bullet_lines", "n_lines", high=90),
+    Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", high=30),
 )
 METRICS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
