@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from metricweave.llm.quality import quality_rules
+from metricweave.llm.urls import TRACKING, filter_urls, host_of
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -76,3 +77,53 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+#: (verdict, host/path), fixed by the query's contract.
+URL_RULES = (
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+)
+#: Words in the host name by which the query's list of URLs is gathered from ``pages``.
+LISTED_HOSTS = "spam|casino|pills|bets|ads-track"
+
+URL_SQL = r"""
+WITH cut AS (
+    SELECT page_id, coalesce(url, '') AS u,
+           translate(regexp_extract(coalesce(url, ''), '^(.*?)://([^/?#]*)', 2, 's'),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(coalesce(url, ''), '^(.*?)://[^/?#]*([^?#]*)', 2, 's') AS path,
+           regexp_extract(coalesce(url, ''), '^(.*?)://[^?#]*\?([^#]*)', 2, 's') AS asked
+    FROM pages),
+canon AS (
+    SELECT *, list_filter(string_split(asked, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(TRACKING)(=|$)')) AS kept
+    FROM cut),
+keyed AS (
+    SELECT *, CASE WHEN host <> '' THEN
+        regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www\.', '') || regexp_replace(path, '/+$', '')
+        || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS key
+    FROM canon),
+list AS (SELECT DISTINCT key FROM keyed WHERE regexp_matches(host, 'LISTED') AND key IS NOT NULL),
+rules(verdict, rule, site, start) AS (VALUES
+    ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'),
+    ('allow', 'www.example.com/en/', 'www.example.com', '/en/'), ('block', 'net/es/', 'net', '/es/'),
+    ('block', 'net/fr/', 'net', '/fr/')),
+fit AS (
+    SELECT page_id, host, path, key, (
+        SELECT max(struct_pack(n := length(rule), rule := rule, verdict := verdict)) FROM rules
+        WHERE (host = site OR ends_with(host, '.' || site)) AND starts_with(path, start)) AS best
+    FROM keyed)
+SELECT page_id, host, path, best.rule AS rule,
+       coalesce(best.verdict, CASE WHEN key IN (SELECT key FROM list) THEN 'block' ELSE 'allow' END) AS verdict
+FROM fit
+"""
+
+
+@query("op9_url_filters", URL_SQL.replace("TRACKING", TRACKING).replace("LISTED", LISTED_HOSTS))
+def op9_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page's URL; the list holds the URLs of hosts with a listed word."""
+    pages = table(spark, folder, "pages")
+    listing = pages.select("url").where(host_of(F.col("url")).rlike(LISTED_HOSTS))
+    return filter_urls(pages.select("page_id", "url"), URL_RULES, listing).drop("url")
