@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from metricweave.llm.pii import BASE_KINDS, find_pii
 from metricweave.llm.quality import quality_rules
 from metricweave.llm.urls import TRACKING, filter_urls, host_of
 
@@ -127,3 +128,16 @@ def op9_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     listing = pages.select("url").where(host_of(F.col("url")).rlike(LISTED_HOSTS))
     return filter_urls(pages.select("page_id", "url"), URL_RULES, listing).drop("url")
+
+
+@query("op6_pii")
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and digests of personal data in every document."""
+    found = find_pii(table(spark, folder, "documents").select("doc_id", "text"))
+    base = F.filter("pii", lambda s: s["base"])
+    listing = lambda spans: F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    of_kind = lambda kind: F.filter(base, lambda s: s["kind"] == kind)
+    counts = [F.size(of_kind(kind)).cast("bigint").alias(f"n_{kind}") for kind in BASE_KINDS]
+    return found.select(
+        "doc_id", *counts, joined_digest(listing(base)).alias("base_sha256"), F.array_join(listing(F.col("pii")), ",").alias("spans")
+    )
