@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from metricweave.llm.decontaminate import find_contamination
 from metricweave.llm.pii import BASE_KINDS, find_pii
 from metricweave.llm.quality import quality_rules
 from metricweave.llm.urls import TRACKING, filter_urls, host_of
@@ -141,3 +142,40 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, joined_digest(listing(base)).alias("base_sha256"), F.array_join(listing(F.col("pii")), ",").alias("spans")
     )
+
+
+CONTAMINATION_SQL = r"""
+WITH folded AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+items AS (
+    SELECT CAST(item_id AS VARCHAR) AS item,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark),
+windows AS (
+    SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g
+    FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)),
+places AS (
+    SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+    FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM folded, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+hits AS (SELECT r, i, n, item FROM places JOIN windows USING (n, g)),
+marked AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM hits, unnest(range(0, 10)) AS t(k) WHERE k < n GROUP BY r),
+found AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM folded LEFT JOIN marked USING (r) LEFT JOIN found USING (r)
+"""
+
+
+@query("op5_decontamination", CONTAMINATION_SQL)
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document inside windows of ten words of any benchmark item."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = find_contamination(docs, table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        joined_digest("items").alias("items_sha256"), "contaminated",
+    )
