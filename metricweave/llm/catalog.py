@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from metricweave.llm.decontaminate import find_contamination
 from metricweave.llm.pii import BASE_KINDS, find_pii
 from metricweave.llm.quality import quality_rules
+from metricweave.llm.simhash import near_duplicates
 from metricweave.llm.urls import TRACKING, filter_urls, host_of
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +180,11 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         joined_digest("items").alias("items_sha256"), "contaminated",
     )
+
+
+@query("op4_simhash")
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and class of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    narrow = near_duplicates(docs, shingle=3, radius=3, keep_text=False)
+    return narrow.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
