@@ -11,6 +11,7 @@ from metricweave.llm.decontaminate import find_contamination
 from metricweave.llm.packing import pack
 from metricweave.llm.pii import BASE_KINDS, find_pii
 from metricweave.llm.quality import quality_rules
+from metricweave.llm.repeats import remove_repeats
 from metricweave.llm.simhash import near_duplicates
 from metricweave.llm.urls import TRACKING, filter_urls, host_of
 
@@ -197,3 +198,9 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 4096 tokens."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op8_repeats")
+def op8_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without strings of 200 bytes that occur elsewhere."""
+    return remove_repeats(table(spark, folder, "documents").select("doc_id", "text"), span=200).drop("text")
