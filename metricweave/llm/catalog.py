@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from metricweave.llm.decontaminate import find_contamination
+from metricweave.llm.licenses import scan_licenses
 from metricweave.llm.packing import pack
 from metricweave.llm.pii import BASE_KINDS, find_pii
 from metricweave.llm.quality import quality_rules
 from metricweave.llm.repeats import remove_repeats
+from metricweave.llm.secrets import find_secrets, fit_forest, label_findings
 from metricweave.llm.simhash import near_duplicates
 from metricweave.llm.urls import TRACKING, filter_urls, host_of
 
@@ -204,3 +206,27 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op8_repeats(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every document without strings of 200 bytes that occur elsewhere."""
     return remove_repeats(table(spark, folder, "documents").select("doc_id", "text"), span=200).drop("text")
+
+
+@query("op2_licenses")
+def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Licences named or quoted in every document."""
+    found = scan_licenses(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("bigint").alias("n_licenses"),
+        F.array_join(F.transform("licenses", lambda x: x["license"]), ",").alias("licenses"),
+        F.array_max(F.transform("licenses", lambda x: x["score"])).alias("best_score"),
+    )
+
+
+@query("op3_secrets")
+def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document, by a forest fitted to findings labelled by rule."""
+    docs = table(spark, folder, "documents")
+    forest = fit_forest(label_findings(docs, path="source"))
+    found = find_secrets(docs.select("doc_id", "text", "source"), forest, path="source")
+    places = F.transform("secrets", lambda s: F.concat_ws(":", s["start"], s["end"]))
+    return found.select(
+        "doc_id", "n_candidates", F.size("secrets").cast("bigint").alias("n_secrets"), F.array_join(places, ",").alias("secrets")
+    )

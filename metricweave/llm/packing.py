@@ -12,9 +12,11 @@ pieces of that length.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 
 import numpy as np
@@ -33,8 +35,9 @@ ROUNDS, DEPTH = 200, 4
 STEPS = (6, 2)
 #: A combination is enumerated if it fills this share of the window.
 FILLED = 0.98
-#: Words whose ids a worker remembers.
-REMEMBERED = 200_000
+#: Words whose ids a worker remembers before it starts anew, with these as a second choice;
+#: words encoded at once.
+REMEMBERED, ENCODED = 300_000, 4_096
 
 _TOKENIZERS: dict[str, "WordTokenizer"] = {}
 
@@ -48,23 +51,29 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
+        # the tasks of a worker are the parallelism
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def encode(self, texts: Sequence[bytes]) -> list[np.ndarray]:
-        split = [text.decode("utf-8", "replace").translate(_ASCII_SPACE).split(" ") for text in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+    def encode(self, texts: Sequence[bytes]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit numbers."""
+        split = [text.split() for text in texts]
         known = self.known
-        fresh = list({word for words in split for word in words if word not in known})
-        for word, found in zip(fresh, self.inner.encode_batch(fresh, add_special_tokens=False)):
-            known[word] = np.array(found.ids, dtype="<u4")
-        return [np.concatenate([known[w] for w in words]) for words in split]
-
-
-_ASCII_SPACE = dict.fromkeys(map(ord, "\t\n\x0b\x0c\r"), " ")
+        missing = {word for words in split for word in words} - known.keys()
+        known.update((word, self.older[word]) for word in missing & self.older.keys())
+        fresh = iter(missing - known.keys())
+        while words := list(islice(fresh, ENCODED)):
+            found = self.inner.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+            for word, ids in zip(words, found):
+                known[word] = np.array(ids.ids, dtype="<u4").tobytes()
+        made = [b"".join(map(known.__getitem__, words)) for words in split]
+        if len(known) > REMEMBERED:
+            self.known, self.older = {}, known
+        return made
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -84,13 +93,13 @@ def cut_pieces(df: DataFrame, tokenizer_path: str, text: str = "text", window: i
 
     def cut(texts: list[bytes]) -> list[list]:
         rows = []
-        for ids in tokenizer(tokenizer_path).encode(texts):
-            ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
+        for packed in tokenizer(tokenizer_path).encode(texts):
+            packed += END_ID.to_bytes(4, "little")
             pieces = []
-            for start in range(0, len(ids), window):
-                own = ids[start : start + window]
-                piece = {"start": start, "length": len(own), "ids_crc32": zlib.crc32(own.tobytes()), "doc_tokens": len(ids)}
-                pieces.append(piece | ({"ids": own.tolist()} if keep_ids else {}))
+            for start in range(0, len(packed) // 4, window):
+                own = packed[4 * start : 4 * (start + window)]
+                piece = {"start": start, "length": len(own) // 4, "ids_crc32": zlib.crc32(own), "doc_tokens": len(packed) // 4}
+                pieces.append(piece | ({"ids": np.frombuffer(own, dtype="<u4").tolist()} if keep_ids else {}))
             rows.append(pieces)
         return [rows]
 
