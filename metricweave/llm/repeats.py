@@ -16,6 +16,7 @@ that a third of all documents share is no single group in any task.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator, Sequence
 
@@ -27,12 +28,14 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from metricweave.llm.arrow import pieces
 from metricweave.llm.columns import quoted
-from metricweave.session import store
+from metricweave.session import drop_scratch, store
 
 #: Length of the strings compared; bytes hashed to choose an anchor.
 SPAN, GRAM = 200, 8
 #: Window starts a task handles at once.
-STARTS = 1 << 20
+STARTS = 1 << 17
+#: Bytes of text a task holds at once.
+HELD = 1 << 20
 #: Ways a range of distances splits at each level.
 WAYS = 6
 
@@ -81,54 +84,75 @@ def _smallest(values: np.ndarray, wide: int) -> np.ndarray:
     return np.minimum(back[: len(values) - wide + 1], ahead[wide - 1 : len(values)])
 
 
-_ANCHORS = "row bigint, at bigint, low bigint, high bigint, root bigint, whole bigint"
+_ANCHORS = "text_id bigint, place bigint, root bigint, whole bigint"
 
 
 def _signed(text: bytes, seed: int = 0) -> int:
     return xxhash.xxh3_64_intdigest(text, seed) - (1 << 63)
 
 
+def _whole(text: bytes, at: int, low: int, high: int, span: int) -> int:
+    """Identifier of all that an anchor's windows cover, and of the distances they stand at."""
+    return _signed(text[at - high : at - low + span], low * span + high)
+
+
 def _anchor_rows(span: int):
-    """One row per anchor: its place, the distances it serves, and two identifiers."""
+    """One row per anchor: its text, its place and distances, and two identifiers."""
     root = span - reach(span)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in pieces(whole, "text"):
-                texts = [t or b"" for t in batch.column(1).to_pylist()]
-                ends = np.cumsum([len(t) for t in texts])
-                text = b"".join(texts)
-                place, first, last = anchors(text, ends, span)
-                doc = np.searchsorted(ends, first, side="right")
-                low, high = place - last, place - first
-                roots = [_signed(text[p : p + root]) for p in place.tolist()]
-                around = zip(first.tolist(), last.tolist(), low.tolist(), high.tolist())
-                wholes = [_signed(text[a : b + span], d * span + e) for a, b, d, e in around]
-                begin = ends[doc] - np.array([len(t) for t in texts], dtype=np.int64)[doc] if len(doc) else doc
-                columns = [batch.column(0).to_numpy()[doc], place - begin, low, high]
-                made = [pa.array(np.asarray(c, dtype=np.int64)) for c in (*columns, roots, wholes)]
-                yield pa.RecordBatch.from_arrays(made, names=["row", "at", "low", "high", "root", "whole"])
+        for batch in (piece for whole in batches for piece in pieces(whole, "text", HELD)):
+            texts = batch.column(1).to_pylist()
+            sizes = np.array([len(t) for t in texts], dtype=np.int64)
+            ends = np.cumsum(sizes)
+            text = b"".join(texts)
+            place, first, last = anchors(text, ends, span)
+            doc = np.searchsorted(ends, first, side="right")
+            low, high = place - last, place - first
+            roots = [_signed(text[p : p + root]) for p in place.tolist()]
+            wholes = [_whole(text, *x, span) for x in zip(place.tolist(), low.tolist(), high.tolist())]
+            packed = ((place - (ends - sizes)[doc]) << 32) | (low << 16) | high
+            columns = [batch.column(0).to_numpy()[doc], packed, roots, wholes]
+            made = [pa.array(np.asarray(c, dtype=np.int64)) for c in columns]
+            yield pa.RecordBatch.from_arrays(made, names=["text_id", "place", "root", "whole"])
 
     return run
 
 
+def _unpacked(place: int) -> tuple[int, int, int]:
+    """Anchor, smallest and largest distance."""
+    return place >> 32, place >> 16 & 0xFFFF, place & 0xFFFF
+
+
 def _context_rows(span: int):
-    """Texts with their open anchors to one row per context: the bytes that its windows cover."""
+    """Texts with their open anchors to one row per context: the bytes that its windows cover.
+
+    The identifier is formed again: a text that shares the other's id by chance is passed over.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in pieces(whole, "text"):
-                rows: list[tuple] = []
-                for text, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    for a in listed:
-                        rows.append((a["root"], a["whole"], a["low"], a["high"], a["n"], text[a["at"] - a["high"] : a["at"] - a["low"] + span]))
-                columns = list(zip(*rows)) or [()] * 6
-                made = [pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(columns[5], pa.binary())]
-                yield pa.RecordBatch.from_arrays(made, names=["root", "whole", "low", "high", "n", "context"])
+        for batch in (piece for whole in batches for piece in pieces(whole, "text", HELD)):
+            rows: list[tuple] = []
+            for text, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for a in listed:
+                    at, low, high = _unpacked(a["place"])
+                    if _whole(text, at, low, high, span) == a["whole"]:
+                        rows.append((a["root"], a["whole"], low, high, a["n"], text[at - high : at - low + span]))
+            columns = list(zip(*rows)) or [()] * 6
+            made = [pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(columns[5], pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, names=["root", "whole", "low", "high", "n", "context"])
 
     return run
 
 
+def _settle(df: DataFrame, *done: DataFrame) -> None:
+    """After a written table: let go of shuffle files, and delete scratch tables no longer read."""
+    for table in done:
+        drop_scratch(table)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def _refine(level: DataFrame, ranges: Sequence[tuple[int, int]], span: int) -> tuple[DataFrame, DataFrame]:
     """Split buckets by what surrounds the anchor: distances decided, and buckets still open.
 
@@ -165,8 +189,10 @@ def _refine(level: DataFrame, ranges: Sequence[tuple[int, int]], span: int) -> t
     left = kinds.join(undecided, "core", "left_semi").groupBy("owner.root", "owner.whole").agg(
         F.collect_list(F.struct(F.col("core").alias("bucket"), "a", "b", "n")).alias("buckets")
     )
-    following = level.drop("buckets").join(left, ["root", "whole"])
-    return store(decided, "decided"), following
+    decided = store(decided, "decided")
+    following = store(level.drop("buckets").join(left, ["root", "whole"]), "open")
+    _settle(following, split, kinds)
+    return decided, following
 
 
 def _levels(span: int) -> list[list[tuple[int, int]]]:
@@ -181,42 +207,43 @@ def _levels(span: int) -> list[list[tuple[int, int]]]:
     return levels
 
 
-def repeated_spans(texts: DataFrame, span: int = SPAN) -> DataFrame:
-    """``row, from, to``: byte ranges of ``row, text`` (binary) covered by repeated windows.
+def repeated_windows(texts: DataFrame, span: int = SPAN) -> DataFrame:
+    """``text_id, found``: for each text with repeated windows, a list of
+    ``struct<place, whole, lo, hi>``, at most one per anchor and level.
 
-    Ranges of one text may touch or overlap.
+    ``texts`` has ``text_id, text`` (binary); equal texts have equal ids. Ids
+    need not be free of collisions, since a reader forms ``whole`` again.
     """
-    every = store(texts.select("row", "text").mapInArrow(_anchor_rows(span), _ANCHORS), "anchors")
-    twice = every.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
-    alive = store(every.join(twice, "root", "left_semi"), "anchors")
-    contexts = store(alive.groupBy("root", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at", "low", "high")).alias("one")), "contexts")
+    scan = lambda: texts.select("text_id", "text").mapInArrow(_anchor_rows(span), _ANCHORS)
+    twice = store(scan().groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root"), "roots")
+    _settle(twice)
+    alive = store(scan().join(twice, "root", "left_semi"), "anchors")
+    _settle(alive, twice)
+    one = F.min(F.struct("text_id", "place")).alias("one")
+    contexts = store(alive.groupBy("root", "whole").agg(F.count(F.lit(1)).alias("n"), one), "contexts")
     several = contexts.groupBy("root").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("rarest"))
     several = several.where("kinds > 1 AND rarest = 1").select("root")
     # a string that occurs once, next to others of its bucket, is open; one of each kind is its partner
-    wanted = contexts.join(several, "root", "left_semi").select(
-        F.col("one.row").alias("row"),
-        F.struct("root", "whole", F.col("one.at").alias("at"), F.col("one.low").alias("low"), F.col("one.high").alias("high"), "n").alias("a"),
-    )
-    listed = wanted.groupBy("row").agg(F.collect_list("a").alias("listed"))
-    level = store(
-        texts.join(listed, "row").select("text", "listed").mapInArrow(
-            _context_rows(span), "root bigint, whole bigint, low bigint, high bigint, n bigint, context binary"
-        ),
-        "open",
+    wanted = contexts.join(several, "root", "left_semi").select("one.text_id", F.struct("root", "whole", "one.place", "n").alias("a"))
+    # at most the anchors of one text
+    listed = store(wanted.groupBy("text_id").agg(F.collect_list("a").alias("listed")), "listed")
+    opened = texts.join(listed, "text_id").select("text", "listed").mapInArrow(
+        _context_rows(span), "root bigint, whole bigint, low bigint, high bigint, n bigint, context binary"
     )
+    # equal texts give equal rows
+    level = store(opened.dropDuplicates(["root", "whole"]), "open")
+    _settle(level, listed)
     all_distances = F.struct(F.col("root").alias("bucket"), F.lit(0).cast("bigint").alias("a"), F.lit(reach(span)).cast("bigint").alias("b"), "n")
     level = level.select("root", "whole", "low", "high", "context", F.array(all_distances).alias("buckets"))
     unset = F.lit(None).cast("bigint")
     ranges = contexts.where("n > 1").select("root", "whole", unset.alias("lo"), unset.alias("hi"))
     for nodes in _levels(span):
+        before = level
         decided, level = _refine(level, nodes, span)
+        _settle(level, before)
         ranges = ranges.unionByName(decided)
-    found = alive.join(ranges, ["root", "whole"])
-    return found.select(
-        "row",
-        (F.col("at") - F.coalesce("hi", "high")).alias("from"),
-        (F.col("at") - F.coalesce("lo", "low") + span).alias("to"),
-    )
+    found = alive.join(ranges, ["root", "whole"]).select("text_id", F.struct("place", "whole", "lo", "hi").alias("f")).distinct()
+    return store(found.groupBy("text_id").agg(F.collect_list("f").alias("found")), "repeats")
 
 
 def remove_repeats(df: DataFrame, text: str = "text", span: int = SPAN, keep_bytes: bool = False) -> DataFrame:
@@ -229,15 +256,14 @@ def remove_repeats(df: DataFrame, text: str = "text", span: int = SPAN, keep_byt
     ``span`` lose nothing. Rows are neither dropped nor merged, an empty table
     gives an empty table, clashing input columns are replaced.
     """
-    rows = store(df.withColumn("_row", F.monotonically_increasing_id()), "documents")
-    data = F.coalesce(quoted(text).cast("string"), F.lit("")).cast("binary")
-    spans = repeated_spans(rows.select(F.col("_row").alias("row"), data.alias("text")), span)
-    # ranges of one text, at most one per anchor and level
-    listed = spans.groupBy("row").agg(F.collect_set(F.struct("from", "to")).alias("_ranges"))
+    value = F.coalesce(quoted(text).cast("string"), F.lit(""))
+    rows = df.withColumn("__id", F.xxhash64(value)).withColumn("__text", value.cast("binary"))
+    windows = repeated_windows(rows.select(F.col("__id").alias("text_id"), F.col("__text").alias("text")), span)
+    _settle(windows)
     added = [("n_bytes", LongType()), ("n_removed", LongType()), ("n_spans", LongType()), ("kept_sha256", "string")]
     names = [n for n, _ in added] + ["kept"] * keep_bytes
     kept = [c for c in df.columns if c.lower() not in names]
-    wanted = rows.join(listed, F.col("_row") == F.col("row"), "left").select(*map(quoted, kept), data.alias("__text"), "_ranges")
+    wanted = rows.join(windows, F.col("__id") == F.col("text_id"), "left").select(*map(quoted, kept), "__text", "found")
     out = StructType([wanted.schema[c] for c in kept])
     for name, kind in added:
         out = out.add(name, kind)
@@ -245,21 +271,25 @@ def remove_repeats(df: DataFrame, text: str = "text", span: int = SPAN, keep_byt
         out = out.add(StructField("kept", BinaryType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in pieces(whole, "__text"):
-                values = [_removed(*x) for x in zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist())]
-                columns = list(zip(*values)) or [()] * 5
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: len(names)]
-                made = [pa.array(c, k) for c, k in zip(columns, kinds)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], names=[f.name for f in out])
+        for batch in (piece for whole in batches for piece in pieces(whole, "__text", HELD)):
+            given = zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist())
+            columns = list(zip(*[_removed(*x, span) for x in given])) or [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: len(names)]
+            made = [pa.array(c, k) for c, k in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], names=[f.name for f in out])
 
     return wanted.mapInArrow(run, out)
 
 
-def _removed(text: bytes, ranges: list[dict] | None) -> tuple[int, int, int, str, bytes]:
+def _removed(text: bytes, found: list[dict] | None, span: int) -> tuple[int, int, int, str, bytes]:
     """Length, bytes and runs removed, digest and bytes of what stays."""
+    ranges = []
+    for f in found or ():
+        at, low, high = _unpacked(f["place"])
+        if _whole(text, at, low, high, span) == f["whole"]:
+            ranges.append((at - (high if f["hi"] is None else f["hi"]), at - (low if f["lo"] is None else f["lo"]) + span))
     parts, at, runs = [], 0, 0
-    for a, b in sorted((r["from"], r["to"]) for r in ranges or ()):
+    for a, b in sorted(ranges):
         if a > at or not runs:
             parts.append(text[at:a])
             runs += 1
