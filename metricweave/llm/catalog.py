@@ -16,6 +16,7 @@ from metricweave.llm.repeats import remove_repeats
 from metricweave.llm.secrets import find_secrets, fit_forest, label_findings
 from metricweave.llm.simhash import near_duplicates
 from metricweave.llm.urls import TRACKING, filter_urls, host_of
+from metricweave.llm.wrappers import extract_articles
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -230,3 +231,10 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", "n_candidates", F.size("secrets").cast("bigint").alias("n_secrets"), F.array_join(places, ",").alias("secrets")
     )
+
+
+@query("op1_html_extraction")
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    pages = extract_articles(table(spark, folder, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
