@@ -13,10 +13,12 @@ pieces of that length.
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from itertools import islice
+from functools import lru_cache
 
 
 import numpy as np
@@ -35,19 +37,45 @@ ROUNDS, DEPTH = 200, 4
 STEPS = (6, 2)
 #: A combination is enumerated if it fills this share of the window.
 FILLED = 0.98
-#: Words whose ids a worker remembers before it starts anew, with these as a second choice;
-#: words encoded at once.
-REMEMBERED, ENCODED = 300_000, 4_096
+#: Words whose ids a worker remembers before it starts anew, with these as a second choice.
+REMEMBERED = 500_000
 
 _TOKENIZERS: dict[str, "WordTokenizer"] = {}
 
 
+#: How the lower-casing word tokenizer cuts printable Latin-1; fixed value of its file.
+_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªºµß-öø-ÿ]+|[0-9²³¹¼-¾]|[^a-zªºµß-öø-ÿ0-9²³¹¼-¾]+")
+_PROBES = ("Don't we'll go?", "A1b22!!c", "x<y>z_w--'s's", "[#$%&*]e.g.,ABC's", "'tis 'D're", "Äpfel, ÇA¿ñÿ³×÷ß½ª")
+
+
+def _byte_chars() -> dict[int, str]:
+    """The character that stands for a byte: itself if it prints, else the next beyond Latin-1."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+class _Words(dict):
+    """Ids of words as little-endian 32-bit numbers, looked up, else taken from an older memory, else made."""
+
+    def __init__(self, make, older: dict[bytes, bytes]):
+        super().__init__()
+        self.make, self.older = make, older
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.older.get(word)
+        self[word] = found = self.make(word) if found is None else found
+        return found
+
+
 class WordTokenizer:
     """Ids of whole texts, word by word.
 
     For tokenizers that drop white space and never join text across it: the ids
     of a text are those of its runs between ASCII white space, which are looked
-    up or encoded once and remembered.
+    up or encoded once and remembered. A printable Latin-1 word may skip the
+    tokenizer's alignment of offsets and go to its model piece by piece; that
+    way is only taken if it gives the tokenizer's own ids on a few probes.
     """
 
     def __init__(self, path: str):
@@ -56,24 +84,42 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.model = self.inner.model
+        added = [t.content for t in self.inner.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
+        self.chars = _byte_chars()
+        self.piece = lru_cache(maxsize=REMEMBERED // 8)(self._piece)
+        self.known = _Words(self._word, {})
+        words = [w for probe in _PROBES for w in probe.split()]
+        self.quick = all(self._pieces(w) == self._whole(w) for w in words)
+
+    def _whole(self, word: str) -> bytes:
+        return self._packed(self.inner.encode(word, add_special_tokens=False).ids)
+
+    @staticmethod
+    def _packed(ids: Sequence[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = "".join(map(self.chars.__getitem__, piece.encode()))
+        return self._packed([token.id for token in self.model.tokenize(piece)])
+
+    def _pieces(self, word: str) -> bytes:
+        return b"".join(map(self.piece, _CUT.findall(word.lower())))
+
+    def _word(self, word: bytes) -> bytes:
+        told = word.decode("utf-8", "replace")
+        plain = self.quick and told.isprintable() and (told.isascii() or max(told) <= "\xff") and not self.special(told)
+        return self._pieces(told) if plain else self._whole(told)
 
     def encode(self, texts: Sequence[bytes]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
-        split = [text.split() for text in texts]
-        known = self.known
-        missing = {word for words in split for word in words} - known.keys()
-        known.update((word, self.older[word]) for word in missing & self.older.keys())
-        fresh = iter(missing - known.keys())
-        while words := list(islice(fresh, ENCODED)):
-            found = self.inner.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-            for word, ids in zip(words, found):
-                known[word] = np.array(ids.ids, dtype="<u4").tobytes()
-        made = [b"".join(map(known.__getitem__, words)) for words in split]
-        if len(known) > REMEMBERED:
-            self.known, self.older = {}, known
-        return made
+        if len(self.known) > REMEMBERED:
+            self.known = _Words(self._word, self.known)
+            self.known.older.older = {}
+        find = self.known.__getitem__
+        return [b"".join(map(find, text.split())) for text in texts]
 
 
 def tokenizer(path: str) -> WordTokenizer:

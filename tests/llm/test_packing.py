@@ -37,7 +37,9 @@ def test_plan_pads_little_and_stays_small():
     assert len(made) < 20 * 4096
 
 
-TEXTS = ["", "  ", "It's don't a b　c 12 3\tx\ny", "ÀÉ é ΑΣ ς İ ß", "a<|endoftext|>b <|startoftext|>", "'s 're x'll 😀😀 ​", "word " * 900]
+TEXTS = ["", "  ", "It's don't a b　c 12 3\tx\ny", "ÀÉ é ΑΣ ς İ ß", "a<|endoftext|>b <|startoftext|>", "'s 're x'll 😀😀 ​", "word " * 900, "A%%% b***c's \x1cd\x00e __f_ <|g|> 'DON'T'S \x7f",
+         " ".join(chr(a) + chr(b) + "'" + chr(a) for a in range(33, 127) for b in range(33, 127)),
+         " ".join(chr(a) + "a" + chr(b) for a in range(33, 400) for b in range(128, 400))]
 
 
 def test_word_tokenizer_equals_the_tokenizer():
@@ -46,6 +48,16 @@ def test_word_tokenizer_equals_the_tokenizer():
     assert [np.frombuffer(g, dtype="<u4").tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in TEXTS]
 
 
+def test_word_tokenizer_on_real_words(sf_dir):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"]).column(0).to_pylist()
+    whole, own = Tokenizer.from_file(PATH), WordTokenizer(PATH)
+    assert own.quick
+    for t, got in zip(texts, own.encode([t.encode() for t in texts])):
+        assert np.frombuffer(got, dtype="<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
 def check(rows, texts):
     whole = Tokenizer.from_file(PATH)
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
