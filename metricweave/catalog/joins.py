@@ -122,8 +122,10 @@ def _left(t: Tables):
 
 @query("join_salted", _joined_sql("LEFT", "round(cpu_8, 6)", "cpu_13"))
 def _salted(t: Tables):
-    """The left join with hot keys spread; keys above a thousandth of the rows count as hot."""
-    return _rounded(join_metrics(daily_points(t, "view"), cpu_feed(t), how="left", salts=8))
+    """The left join with hot keys spread, on a left side that was joined on the same key before."""
+    rows = daily_points(t, "view")
+    known = rows.select("time", "host").distinct()
+    return _rounded(join_metrics(rows.join(known, ["time", "host"]), cpu_feed(t), how="left", salts=8))
 
 
 @query("join_optional", _joined_sql("LEFT", "round(coalesce(cpu_8, 0), 6)", "coalesce(cpu_13, 0)"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from metricweave.catalog.registry import Tables, query, with_points
-from metricweave.functions.times import DAY_NS
+from metricweave.functions.times import DAY_NS, timestamp_to_epoch
 from metricweave.operators.grouping import column_std, group_series, row_count
 from metricweave.operators.joins import union_series
 from metricweave.sources.series import first_n_per_series, scan_measurement, scan_measurements
@@ -22,8 +22,12 @@ AFTER, BEFORE = 19727 * DAY_NS, 19742 * DAY_NS
     ),
 )
 def _scan(t: Tables):
-    found = scan_measurement(t.points, "click", tags={"host": "7"}, after=AFTER, before=BEFORE)
-    return found.select("event_id", "time", "host", "value")
+    """Bounds in the type of the stored column, so that they reach the file scan."""
+    stored = t.events.withColumn("host", F.col("user_id").cast("string"))
+    bound = lambda ns: F.lit(ns // 1000).cast("bigint")
+    after, before = (F.timestamp_micros(bound(x)).cast("timestamp_ntz") for x in (AFTER, BEFORE))
+    found = scan_measurement(stored, "click", {"host": "7"}, after, before, measurement="event_type", time="ts")
+    return found.select("event_id", timestamp_to_epoch(F.col("ts")).alias("time"), "host", "value")
 
 
 @query(
@@ -57,7 +61,7 @@ def _latest(t: Tables):
     with_points("SELECT event_id, time, value FROM points ORDER BY time DESC, event_id DESC LIMIT 1500"),
 )
 def _latest_many(t: Tables):
-    """A limit large enough to be bounded by hourly counts first."""
+    """A limit of more than a thousand rows."""
     found = scan_measurement(t.points, newest_first=True, limit=1500, ties=["event_id"])
     return found.select("event_id", "time", "value")
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
+# text without a character that means something in a pattern
+PLAIN = re.compile(r"[\w\s:,/=@-]+")
+
 
 def time_between(time: Column, after=None, before=None) -> Column:
     """Both bounds exclusive; either may be left out or be an expression such as
@@ -17,8 +22,17 @@ def time_between(time: Column, after=None, before=None) -> Column:
 
 
 def tag_matches(tag: Column, *patterns: str) -> Column:
-    """Every pattern is found somewhere in the tag (no anchoring)."""
+    """Every pattern is found somewhere in the tag (no anchoring).
+
+    Plain text, and plain text after ``^``, become ``contains`` and
+    ``startswith``, which reach the file scan; other patterns do not.
+    """
     keep = F.lit(True)
     for pattern in patterns:
-        keep = keep & tag.rlike(pattern)
+        if PLAIN.fullmatch(pattern):
+            keep = keep & tag.contains(pattern)
+        elif pattern.startswith("^") and PLAIN.fullmatch(pattern[1:]):
+            keep = keep & tag.startswith(pattern[1:])
+        else:
+            keep = keep & tag.rlike(pattern)
     return keep

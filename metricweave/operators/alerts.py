@@ -7,11 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from metricweave.functions.times import floor_to
+from metricweave.operators.numbering import PLACE_BITS
+from metricweave.session import store
 
 # Defaults of the heartbeat rule (nanoseconds, points).
 INTERVAL = 10_000_000_000
 THRESHOLD = 0.0
 ALIVE, DEAD = "OK", "CRITICAL"
+# slots of a silence that are made at once
+RUN = 8640
 # Texts of the heartbeat rule.
 ID_TEXT = "%s:NODE_NAME for task '%s'"
 MESSAGE_TEXT = "%s is %s: %.3f points/INTERVAL."
@@ -56,10 +60,12 @@ def deadman(
     stretches = counted.select(
         *group, "slot", "emitted", F.greatest(begin, first).alias("_begin"), F.least(end, last).alias("_end")
     ).where(F.col("_begin") <= F.col("_end"))
-    # no stretch is empty: the outer explode spares building each twice to check
-    slots = stretches.select(
-        *group, "slot", "emitted", F.explode_outer(F.sequence("_begin", "_end", step)).alias("_slot")
+    # A long silence is cut into runs first, so that no array holds more than RUN slots of it.
+    runs = stretches.select(
+        *group, "slot", "emitted", "_end", F.explode_outer(F.sequence("_begin", "_end", step * RUN)).alias("_from")
     )
+    upto = F.least("_end", F.col("_from") + step * (RUN - 1))
+    slots = runs.select(*group, "slot", "emitted", F.explode_outer(F.sequence("_from", upto, step)).alias("_slot"))
     emitted = F.when(F.col("_slot") == F.col("slot"), F.col("emitted")).otherwise(0)
     return slots.select(
         *group, F.col("_slot").alias("slot"), emitted.alias("emitted"), level_of(emitted, threshold).alias("level")
@@ -74,32 +80,30 @@ def with_message(df: DataFrame, group: Sequence[str], task: str) -> DataFrame:
     return named.withColumn("message", F.format_string(MESSAGE_TEXT, "id", state, F.col("emitted").cast("double")))
 
 
-def state_changes_only(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], level: str = "level", chunk: Column | None = None
-) -> DataFrame:
+def state_changes_only(df: DataFrame, group: Sequence[str], order: Sequence[str], level: str = "level") -> DataFrame:
     """Rows whose level differs from the group's previous one; the first row counts as a change.
 
-    ``chunk`` is a column that rises with ``order``, such as the day. With it a
-    group is compared piece by piece, each opened by a row that carries the
-    last level of the piece before, so no task holds the whole of a hot group.
-    Without it a group is one piece, which suits tables such as that of
-    :func:`deadman`, whose groups have one row per slot.
+    ``order`` tells the rows of a group apart. The table is range-partitioned by
+    group and order and written once, so a group of any size lies in as many
+    pieces as it needs; each piece is compared by itself and opened by a row
+    that carries the last level of the group's piece before.
     """
-    pieces = df.withColumns({"_chunk": F.lit(0) if chunk is None else chunk, "_opening": F.lit(False)})
-    if chunk is not None:
-        closing = pieces.groupBy(*group, "_chunk").agg(
-            F.max(F.struct(*order, F.col(level).alias("_level")))["_level"].alias("_level")
-        )
-        earlier = F.lag(F.struct("_level")).over(Window.partitionBy(*group).orderBy("_chunk"))
-        opening = (
-            closing.select(*group, "_chunk", earlier.alias("_earlier"))
-            .where(F.col("_earlier").isNotNull())
-            .select(*group, "_chunk", F.col("_earlier._level").alias(level), F.lit(True).alias("_opening"))
-        )
-        pieces = pieces.unionByName(opening, allowMissingColumns=True)
-
-    in_order = [F.col("_opening").desc(), *[F.col(c) for c in order]]
-    before = F.lag(F.struct(level)).over(Window.partitionBy(*group, "_chunk").orderBy(*in_order))
+    ordered = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    pieces = store(ordered.withColumn("_place", F.monotonically_increasing_id()), "levels")
+    piece = F.shiftright("_place", PLACE_BITS)
+    pieces = pieces.withColumns({"_piece": piece, "_opening": F.lit(False)})
+    last = F.max(F.struct("_place", F.col(level).alias("_level")))["_level"].alias("_level")
+    # one row per group and sort partition
+    closing = pieces.groupBy(*group, "_piece").agg(last)
+    earlier = F.lag(F.struct("_level")).over(Window.partitionBy(*group).orderBy("_piece"))
+    opening = (
+        closing.select(*group, "_piece", earlier.alias("_earlier"))
+        .where(F.col("_earlier").isNotNull())
+        .select(*group, "_piece", F.col("_earlier._level").alias(level), F.lit(True).alias("_opening"))
+    )
+    pieces = pieces.unionByName(opening, allowMissingColumns=True)
+    along = Window.partitionBy(*group, "_piece").orderBy(F.col("_opening").desc(), "_place")
+    before = F.lag(F.struct(level)).over(along)
     # no previous row is null; a previous null level is a struct holding null
     differs = F.col("_before").isNull() | ~F.col("_before")[level].eqNullSafe(F.col(level))
     return pieces.withColumn("_before", before).where(~F.col("_opening") & differs).select(*df.columns)

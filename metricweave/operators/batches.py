@@ -15,14 +15,13 @@ def assign_batches(
     size: int,
     tail: str = "keep",
     unique: bool = True,
-    **numbering,
 ) -> DataFrame:
     """Add ``batch`` (from 0) and ``batch_row`` (from 0 inside a batch), in ``order``.
 
     ``tail`` says what becomes of the end of the table: ``keep`` everything,
     only ``full`` batches, or ``skip_last`` to leave out the last full batch too.
     """
-    numbered = number_rows(df, order, "_position", unique, **numbering)
+    numbered = number_rows(df, order, "_position", unique)
     at = F.col("_position") - 1
     row = F.pmod(at, F.lit(size).cast("bigint"))
     out = numbered.select(
@@ -34,7 +33,8 @@ def assign_batches(
         return out
     if tail not in ("full", "skip_last"):
         raise ValueError(f"unknown tail handling: {tail}")
-    rows = df.agg(F.count(F.lit(1))).scalar()
+    # counted on the written table, not on its source
+    rows = numbered.agg(F.count(F.lit(1))).scalar()
     batches = F.call_function("div", rows, F.lit(size).cast("bigint"))
     return out.where(F.col("batch") < (batches if tail == "full" else batches - 1))
 

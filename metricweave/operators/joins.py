@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from metricweave.functions.times import floor_to
 from metricweave.operators.projection import fill_missing
+from metricweave.session import store
 
 KEY = ("time", "host")
-HOT_SHARE = 1000
 
 
 def align_feed(
@@ -56,24 +56,24 @@ def join_metrics(
 def _salted(left: DataFrame, right: DataFrame, on: list[str], how: str, salts: int) -> DataFrame:
     """Spread the left rows of hot keys over ``salts`` partitions.
 
-    A key is hot when it holds more than a thousandth of the left rows, so
-    there are fewer than a thousand of them and their broadcast is bounded. The
-    salt is the number of the reading task: unlike a random one it is the same
-    when the task runs again, and unlike a row hash it also splits equal rows.
+    A key is hot when it holds more rows than an even share of a shuffle
+    partition, so there are fewer hot keys than partitions and their broadcast
+    is bounded by that setting. Keys are counted once, into a written table.
+    The salt hashes all columns of the row, so it spreads rows wherever they
+    lie, also after an earlier join on the same key; the number of the reading
+    task is added for rows that are equal. Both are the same when a task runs
+    again on the same rows.
     """
-    total = left.agg(F.count(F.lit(1))).scalar()
-    hot = (
-        left.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > total / HOT_SHARE)
-        .select(*on, F.lit(True).alias("_hot"))
-    )
-    spread = left.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.spark_partition_id(), F.lit(salts))).otherwise(0)
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = store(left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")), "keys")
+    total = counted.agg(F.sum("_rows")).scalar()
+    hot = counted.where(F.col("_rows") > total / partitions).select(*on, F.lit(True).alias("_hot"))
+    spread = F.pmod(F.xxhash64(*left.columns) + F.spark_partition_id(), F.lit(salts).cast("bigint"))
+    salted = left.join(F.broadcast(hot), on, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0).cast("bigint")))
+    zero = F.lit(0).cast("bigint")
+    copies = F.when(F.col("_hot"), F.sequence(zero, F.lit(salts - 1).cast("bigint"))).otherwise(F.array(zero))
     repeated = right.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return spread.drop("_hot").join(repeated, [*on, "_salt"], how).drop("_salt")
+    return salted.drop("_hot").join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
 def join_jobs(df: DataFrame, jobs: DataFrame) -> DataFrame:

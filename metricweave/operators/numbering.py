@@ -15,8 +15,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from metricweave.session import store
 
-ROWS_PER_TASK = 250_000
-
 # monotonically_increasing_id: partition number above 33 bits of place
 PLACE_BITS = 33
 
@@ -26,24 +24,19 @@ def number_rows(
     order: Sequence[str],
     name: str = "row_number",
     unique: bool = True,
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Append ``name`` = 1, 2, 3 … in ascending ``order``, nulls first.
 
     ``unique`` states that ``order`` identifies a row. Without that promise the
     rows are written down once as they come and their place in that table
     breaks the ties, so neither a hot key nor a mass of equal rows has to sit
-    in one partition. A table of at most ``rows_per_task`` rows is numbered by
-    one task; every larger one takes one sort and one written table.
+    in one partition. Tables of every size take the same way: one range sort
+    and one written table.
     """
     columns, keys = df.columns, list(order)
     if not unique:
         df = store(df, "rows").withColumn("_tie", F.monotonically_increasing_id())
         keys.append("_tie")
-    if df.count() <= rows_per_task:
-        number = F.row_number().over(Window.orderBy(*keys)).cast("bigint")
-        return df.select(*columns, number.alias(name))
-
     placed = store(
         df.repartitionByRange(*keys).sortWithinPartitions(*keys).select(
             *columns, F.monotonically_increasing_id().alias("_place")

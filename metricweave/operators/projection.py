@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from metricweave.functions.numeric import int_label
-from metricweave.operators.numbering import number_rows
 from metricweave.schemas import MISSING
+from metricweave.session import store
 
 
 def positions(slices: Sequence[int | tuple[int, int]]) -> list[int]:
@@ -77,10 +77,12 @@ def drop_last(df: DataFrame, order: Sequence[str], unique: bool = True) -> DataF
     """All rows but the last one in ``order``.
 
     Where ``order`` identifies a row this is a filter against one scalar.
-    Otherwise one of the rows tied for last is dropped, which takes a numbering.
+    Otherwise the rows are written down as they come, and of those tied for last
+    the one written last is dropped.
     """
     if unique:
         last = df.agg(F.max(F.struct(*order))).scalar()
         return df.where(F.struct(*order) < last)
-    numbered = number_rows(df, order, "_position", unique=False)
-    return numbered.where(F.col("_position") < df.agg(F.count(F.lit(1))).scalar()).drop("_position")
+    placed = store(df, "rows").withColumn("_place", F.monotonically_increasing_id())
+    last = placed.agg(F.max(F.struct(*order, "_place"))).scalar()
+    return placed.where(F.struct(*order, "_place") < last).drop("_place")

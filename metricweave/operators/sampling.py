@@ -6,16 +6,26 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from metricweave.operators.numbering import ROWS_PER_TASK, number_rows
+from metricweave.operators.numbering import number_rows
 
 TRAIN, TEST = "train", "test"
 HEX_DIGITS, HASH_DIGITS = 3, 32
+# the cut is read off a bucket of so few rows; a larger one is cut again, with the same answer
+BUCKET_ROWS = 250_000
 
 
 def shuffle_key(key: Sequence[str], seed: int) -> Column:
-    """A hash of the row key and the seed; sorting by it permutes the rows."""
-    parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]
-    return F.md5(F.concat_ws(":", *parts, F.lit(str(seed))))
+    """A hash of the row key and the seed; sorting by it permutes the rows.
+
+    Different keys hash different texts: in a key of several columns each part
+    carries its length, and a null its own mark.
+    """
+    parts = [F.col(k).cast("string") for k in key]
+    if len(parts) == 1:
+        marked = [F.coalesce(parts[0], F.lit("\x00"))]
+    else:
+        marked = [F.coalesce(F.concat(F.length(p).cast("string"), F.lit("="), p), F.lit("null")) for p in parts]
+    return F.md5(F.concat_ws(":", *marked, F.lit(str(seed))))
 
 
 def shuffle_rows(
@@ -30,7 +40,7 @@ def shuffle_rows(
     return number_rows(hashed, ["_hash"], name, unique).drop("_hash")
 
 
-def half_cut(df: DataFrame, key: Sequence[str], seed: int, rows_per_task: int = ROWS_PER_TASK) -> str | None:
+def half_cut(df: DataFrame, key: Sequence[str], seed: int, bucket_rows: int = BUCKET_ROWS) -> str | None:
     """The hash of the last row of the first half; None for fewer than two rows.
 
     Hash prefixes cut the rows into even buckets, in hash order. Counts per
@@ -52,7 +62,7 @@ def half_cut(df: DataFrame, key: Sequence[str], seed: int, rows_per_task: int =
                 break
             before += rows
         inside = hashed.where(F.col("hash").startswith(prefix))
-        if rows <= rows_per_task or len(prefix) >= HASH_DIGITS:
+        if rows <= bucket_rows or len(prefix) >= HASH_DIGITS:
             break
     return inside.orderBy("hash").limit(wanted - before).agg(F.max("hash").alias("cut")).first()["cut"]
 

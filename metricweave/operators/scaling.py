@@ -32,6 +32,8 @@ def scale_by_std(
     null. The deviations are looked up beforehand and enter as constants, so
     the table is not shuffled.
     """
+    if fit_on != "self" and fit_on not in parts:
+        raise ValueError(f"no such part: {fit_on}")
     deviations = part_deviations(df, columns, part, parts if fit_on == "self" else [fit_on])
 
     def divisor(column: str) -> Column:

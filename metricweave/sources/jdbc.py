@@ -32,13 +32,16 @@ def jdbc_options(
 
 
 def read_table_jdbc(
-    spark: SparkSession, url: str, table: str, predicates: Sequence[str] | None = None, **options
+    spark: SparkSession, url: str, table: str, predicates: Sequence[str] | None = None, one_task: bool = False, **options
 ) -> DataFrame:
     """Scan a table; filters and column pruning are pushed into the database.
 
     ``predicates`` gives one scan task per condition, for keys that are not
-    numeric, such as application ids.
+    numeric, such as application ids. A scan that is not split reads the whole
+    table in one task, so it must be asked for by ``one_task``.
     """
+    if predicates is None and not one_task and "partition_column" not in options:
+        raise ValueError("name a partition_column or predicates, or ask for one_task")
     settings = jdbc_options(url, table, **options)
     if predicates is None:
         return spark.read.format("jdbc").options(**settings).load()

@@ -7,12 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from metricweave.functions.predicates import tag_matches, time_between
-from metricweave.functions.times import UNIT_NS, floor_to
 from metricweave.schemas import POINT, SERIES_RESULT, Feed
 
-# a sorted limit up to this size is merged directly
-MERGED_ROWS = 1000
-
 
 def read_series_json(spark: SparkSession, path: str) -> DataFrame:
     """Exported query results, one JSON object per line → ``name, tags, columns, values``.
@@ -78,29 +74,12 @@ def scan_measurement(
         keep = keep & tag_matches(F.col(tag), *([patterns] if isinstance(patterns, str) else patterns))
     out = df.where(keep)
     if newest_first:
-        if limit is not None and limit > MERGED_ROWS:
-            out = out.where(_late_enough(out, time, limit))
         out = latest_first(out, time, ties)
     elif limit is not None:
         out = out.orderBy(time, *ties)
     return out if limit is None else out.limit(limit)
 
 
-def _late_enough(df: DataFrame, time: str, limit: int) -> Column:
-    """Whether a row is not older than the hour that holds the ``limit``-th newest point.
-
-    A sorted limit merges ``limit`` rows of every task in one place. For large
-    limits, hourly counts (a small table) first give a bound that leaves little
-    more than the rows asked for.
-    """
-    hours = df.groupBy(floor_to(F.col(time), UNIT_NS["h"]).alias("_hour")).agg(F.count(F.lit(1)).alias("_rows"))
-    newest = Window.orderBy(F.col("_hour").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = hours.where(F.col("_hour").isNotNull()).select("_hour", F.sum("_rows").over(newest).alias("_upto"))
-    bound = reached.where(F.col("_upto") >= limit).agg(F.max("_hour")).scalar()
-    # no bound: fewer points than asked for, and those without time belong to them
-    return F.coalesce(F.col(time) >= bound, bound.isNull())
-
-
 def latest_first(df: DataFrame, time: str = "time", ties: Sequence[str] = ()) -> DataFrame:
     return df.orderBy(F.col(time).desc(), *[F.col(t).desc() for t in ties])
 

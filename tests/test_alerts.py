@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import os
+from contextlib import contextmanager
 from datetime import datetime, timedelta
 
 import pytest
@@ -11,8 +12,9 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from metricweave.functions.times import UNIT_NS
+from metricweave.operators import alerts
 from metricweave.operators.alerts import ALIVE, DEAD, deadman, state_changes_only, with_message
-from metricweave.session import scratch_path
+from metricweave.session import scratch_path, store
 from metricweave.streaming.deadman import deadman_stream, emitted_stream
 
 S = UNIT_NS["s"]
@@ -64,6 +66,20 @@ def test_deadman_of_nothing(spark):
     assert deadman(spark.createDataFrame([], "host string, time long"), ["host"]).count() == 0
 
 
+@contextmanager
+def shuffled(spark, partitions):
+    """So many shuffle partitions, none of them merged."""
+    names = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def changes(levels):
     """(group, t, level) rows → those whose level differs from the group's row before."""
     out, last = [], {}
@@ -74,20 +90,40 @@ def changes(levels):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("chunk", [None, 1, 4, 1000])
-def test_state_changes(spark, chunk):
+@pytest.mark.parametrize("parts", [1, 4, 40])
+def test_state_changes(spark, parts):
     levels = [(g, t, [ALIVE, DEAD, None][(t * t + i) % 11 % 3]) for i, g in enumerate(["a", "b", None]) for t in range(i, 40)]
     df = spark.createDataFrame(levels, "g string, t int, level string").repartition(4)
-    cut = None if chunk is None else F.floor(F.col("t") / chunk)
-    assert rows(state_changes_only(df, ["g"], ["t"], chunk=cut)) == changes(levels)
+    with shuffled(spark, parts):
+        assert rows(state_changes_only(df, ["g"], ["t"])) == changes(levels)
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.sampled_from([ALIVE, DEAD, None]), max_size=30), st.integers(1, 9))
-def test_chunks_never_change_the_answer(spark, levels, size):
+def test_pieces_never_change_the_answer(spark, levels, parts):
     table = [("g", t, level) for t, level in enumerate(levels)]
     df = spark.createDataFrame(table, "g string, t int, level string")
-    assert rows(state_changes_only(df, ["g"], ["t"], chunk=F.floor(F.col("t") / size))) == changes(table)
+    with shuffled(spark, parts):
+        assert rows(state_changes_only(df, ["g"], ["t"])) == changes(table)
+
+
+def test_one_group_is_compared_in_several_pieces(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(alerts, "store", lambda df, label: kept.append(store(df, label)) or kept[-1])
+    df = spark.range(20_000).select(F.lit("g").alias("g"), "id", F.when(F.col("id") % 7 < 3, "OK").alias("level"))
+    with shuffled(spark, 8):
+        found = state_changes_only(df, ["g"], ["id"]).count()
+    assert found == sum(1 for i in range(20_000) if i == 0 or (i % 7 < 3) != ((i - 1) % 7 < 3))
+    sizes = [r["count"] for r in kept[0].groupBy(F.shiftright("_place", 33)).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 20_000 / 4
+
+
+def test_a_stray_early_time_makes_no_giant_array(spark):
+    df = spark.createDataFrame([("a", 0), ("b", 100_000 * 10), ("a", 100_000 * 10)], "host string, time long")
+    found = deadman(df, ["host"], interval=10)
+    assert found.groupBy("host").count().collect() and found.count() == 2 * 100_001
+    assert found.where("emitted > 0").count() == 3
+    assert alerts.RUN <= 8640
 
 
 START = datetime(2024, 1, 1)

@@ -90,11 +90,23 @@ def test_optional_source(left, right):
     assert rows(join_optional(left, right)) == sorted(INNER + [(*r[:3], 0.0) for r in UNMATCHED], key=repr)
 
 
-def test_salting_spreads_one_hot_key(spark):
-    big = spark.range(20_000).repartition(16).select(F.lit(1).alias("time"), F.lit("h").alias("host"), "id")
+def test_salting_spreads_one_hot_key_after_a_join(spark):
+    """The left side lies in one partition per key, as an earlier join on the key leaves it."""
+    big = spark.range(20_000).select(F.lit(1).alias("time"), F.lit("h").alias("host"), "id")
+    big = big.repartition(4, "time", "host")
     small = spark.createDataFrame([(1, "h", 0.5)], "time int, host string, y double")
-    joined = join_metrics(big, small, salts=8)
-    assert joined.count() == 20_000 and joined.select("id").distinct().count() == 20_000
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        joined = join_metrics(big, small, salts=16)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert joined.select("id").distinct().count() == 20_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 20_000 and len(sizes) == 4 and max(sizes) <= 20_000 / 2
 
 
 def test_jobs(spark):

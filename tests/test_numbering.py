@@ -26,12 +26,11 @@ def numbers(df, name="row_number"):
     return sorted(r[name] for r in df.select(name).collect())
 
 
-@pytest.mark.parametrize("rows_per_task", [1, 100, 10_000])
-def test_follows_composite_order_across_partitions(spark, rows_per_task):
+def test_follows_composite_order_across_partitions(spark):
     df = spark.range(1000).select(
         (F.col("id") % 7).cast("string").alias("a"), (1000 - F.col("id")).alias("b")
     ).repartition(5)
-    got = number_rows(df, ["a", "b"], rows_per_task=rows_per_task).collect()
+    got = number_rows(df, ["a", "b"]).collect()
     want = {(r["a"], r["b"]): i for i, r in enumerate(sorted(df.collect()), 1)}
     assert {(r["a"], r["b"]): r["row_number"] for r in got} == want
 
@@ -39,7 +38,7 @@ def test_follows_composite_order_across_partitions(spark, rows_per_task):
 def test_nulls_come_first_in_every_column(spark):
     rows = [(None, 2), (None, None), ("a", None), ("a", 1), ("b", 0)]
     df = spark.createDataFrame(rows, "a string, b int")
-    got = {(r["a"], r["b"]): r["row_number"] for r in number_rows(df, ["a", "b"], rows_per_task=1).collect()}
+    got = {(r["a"], r["b"]): r["row_number"] for r in number_rows(df, ["a", "b"]).collect()}
     assert got == {(None, None): 1, (None, 2): 2, ("a", None): 3, ("a", 1): 4, ("b", 0): 5}
 
 
@@ -50,7 +49,7 @@ def test_timestamps_doubles_and_decimals_are_ordered(spark):
         ((F.col("id") - 150) / 7).alias("x"),
         F.col("id").cast("decimal(20,3)").alias("d"),
     )
-    got = number_rows(df, ["ts", "ntz", "x", "d"], rows_per_task=10).orderBy("row_number").collect()
+    got = number_rows(df, ["ts", "ntz", "x", "d"]).orderBy("row_number").collect()
     keys = [tuple(r)[:4] for r in got]
     assert keys == sorted(keys) and [r["row_number"] for r in got] == list(range(1, 301))
 
@@ -64,7 +63,7 @@ def stored_partitions(spark, monkeypatch, *args, **options):
     kept = []
     keep = lambda df, label: kept.append((label, store(df, label))) or kept[-1][1]
     monkeypatch.setattr(numbering, "store", keep)
-    got = number_rows(*args, rows_per_task=100, **options)
+    got = number_rows(*args, **options)
     return got, partition_sizes(dict(kept)["ordered"])
 
 
@@ -90,7 +89,7 @@ def test_copies_get_distinct_consecutive_numbers(spark):
     df = spark.range(900).select(
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("key"), F.lit("x").alias("text")
     )
-    got = number_rows(df, ["key"], unique=False, rows_per_task=50)
+    got = number_rows(df, ["key"], unique=False)
     assert numbers(got) == list(range(1, 901))
     ordered = [r["key"] for r in got.orderBy("row_number").collect()]
     assert ordered == sorted(ordered) and ordered.count(0) == 300
@@ -98,7 +97,7 @@ def test_copies_get_distinct_consecutive_numbers(spark):
 
 def test_ties_on_the_order_key_keep_every_row(spark):
     df = spark.range(500).select(F.lit(1).alias("key"), "id")
-    got = number_rows(df, ["key"], unique=False, rows_per_task=20)
+    got = number_rows(df, ["key"], unique=False)
     assert numbers(got) == list(range(1, 501))
     assert got.select("id").distinct().count() == 500
 
@@ -115,14 +114,14 @@ def test_empty_table(spark):
 @given(st.lists(st.tuples(st.integers(-3, 3), st.integers(-2, 2)), max_size=40))
 def test_any_bag_of_rows_is_numbered_in_order(spark, rows):
     df = spark.createDataFrame(rows, "a int, b int")
-    got = number_rows(df, ["a", "b"], unique=False, rows_per_task=3).orderBy("row_number").collect()
+    got = number_rows(df, ["a", "b"], unique=False).orderBy("row_number").collect()
     assert [(r["a"], r["b"]) for r in got] == sorted(rows)
     assert [r["row_number"] for r in got] == list(range(1, len(rows) + 1))
 
 
 def test_numbers_stay_the_same_when_read_again(spark):
     df = spark.range(2000).select((F.col("id") % 3).alias("key"), "id")
-    got = number_rows(df, ["key"], unique=False, rows_per_task=100)
+    got = number_rows(df, ["key"], unique=False)
     first, again = (dict(d.select("id", "row_number").collect()) for d in (got, got.repartition(5)))
     assert first == again
 
@@ -152,11 +151,11 @@ def test_halves_follow_the_permutation(spark, rows):
     assert sum(h == "train" for h in by_cut.values()) == rows // 2
 
 
-@pytest.mark.parametrize("rows_per_task", [1, 3, 50])
-def test_the_middle_is_found_in_rounds(spark, rows_per_task):
+@pytest.mark.parametrize("bucket_rows", [1, 3, 50])
+def test_the_middle_is_found_in_rounds(spark, bucket_rows):
     df = spark.range(4001)
     hashes = sorted(r[0] for r in df.select(shuffle_key(["id"], 9)).collect())
-    assert half_cut(df, ["id"], 9, rows_per_task) == hashes[1999]
+    assert half_cut(df, ["id"], 9, bucket_rows) == hashes[1999]
 
 
 def test_permutation_depends_on_the_seed(spark):
@@ -182,7 +181,7 @@ def test_drop_last(spark):
 
 def test_large_table_is_never_sorted_in_one_task(spark):
     df = spark.range(1000).select("id", (F.col("id") * 7 % 1000).alias("key"))
-    plan = number_rows(df, ["key"], rows_per_task=100)._jdf.queryExecution().executedPlan().toString()
+    plan = number_rows(df, ["key"])._jdf.queryExecution().executedPlan().toString()
     main = plan[: plan.index("BroadcastExchange")]
     # what is left to do is read the sorted table and add the offsets
     assert "Exchange" not in main and "Sort" not in main and "NestedLoop" not in plan
