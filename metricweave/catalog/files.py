@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from metricweave.catalog.registry import Tables, query, with_points
+from metricweave.operators.joins import union_series
 from metricweave.operators.projection import project_positions, split_label
 from metricweave.schemas import TRAINING_LABEL, TRAINING_SLICES, Feed
 from metricweave.session import scratch_path
@@ -16,10 +17,7 @@ CHUNK = 1000
 
 @query(
     "series_json",
-    with_points(
-        """SELECT time, host, value AS event_3, CASE WHEN k < 90 THEN k END AS event_4
-        FROM points WHERE measurement = 'click'"""
-    ),
+    with_points("SELECT measurement, time, host, value AS event_3, CASE WHEN k < 90 THEN k END AS event_4 FROM points"),
 )
 def _series(t: Tables):
     """Query results in chunks of at most a thousand points, as the query API delivers them."""
@@ -43,41 +41,50 @@ def _series(t: Tables):
     )
     path = scratch_path(t.spark, "series")
     chunks.select(result.alias("value")).write.text(path)
-    return feed_rows(read_series_json(t.spark, path), "click", Feed("event", time=0, host=2, metrics=(3, 4)))
+    feed = Feed("event", time=0, host=2, metrics=(3, 4), labels=(1,))
+    points = read_series_json(t.spark, path)
+    names = [r["name"] for r in points.select("name").distinct().collect()]
+    every = union_series([feed_rows(points, name, feed) for name in names])
+    return every.withColumnRenamed("event_1", "measurement")
 
 
 @query(
     "points_json",
     with_points(
-        """SELECT measurement, host, time - time % 1000000000 AS time, unnest(['value', 'k']) AS field,
-            unnest([value, k]) AS value FROM points"""
+        """SELECT measurement, host, time + event_id % 1000 AS time_ns, unnest(['value', 'k', 'status']) AS field,
+            unnest([value, k, NULL]) AS value, unnest([NULL, NULL, 'at ' || host]) AS text FROM points"""
     ),
 )
 def _points(t: Tables):
-    second = F.date_format(F.timestamp_seconds(F.expr("time div 1000000000")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """Numbers and a text in one point, and times finer than a timestamp."""
+    exact = F.col("time") + F.col("event_id") % 1000
+    second = F.date_format(F.timestamp_seconds(F.expr("time div 1000000000")), "yyyy-MM-dd'T'HH:mm:ss")
     nested = t.points.select(
         "measurement",
         F.create_map(F.lit("host"), F.col("host")).alias("tags"),
-        second.alias("time"),
-        F.create_map(F.lit("value"), F.col("value"), F.lit("k"), F.col("k")).alias("fields"),
+        F.concat(second, F.lit("."), F.lpad((exact % 1_000_000_000).cast("string"), 9, "0"), F.lit("Z")).alias("time"),
+        F.struct("value", "k", F.concat(F.lit("at "), "host").alias("status")).alias("fields"),
     )
     path = scratch_path(t.spark, "points")
     nested.write.json(path)
     rows = points_to_rows(read_points_json(t.spark, path))
-    return rows.select(
-        "measurement", F.col("tags")["host"].alias("host"), (F.unix_micros("time") * 1000).alias("time"), "field", "value"
-    )
+    return rows.select("measurement", F.col("tags")["host"].alias("host"), "time_ns", "field", "value", "text")
 
 
 @query(
     "csv_rows",
-    """SELECT CAST(o_orderkey AS VARCHAR) AS _c0, CAST(o_custkey AS VARCHAR) AS _c1, o_orderstatus AS _c2,
-        o_orderpriority AS _c3 FROM orders""",
+    """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, epoch_us(o_orderdate) AS o_orderdate, o_orderpriority
+    FROM orders""",
 )
 def _csv(t: Tables):
+    """Every column as text and back; times as they are spelt by default."""
     path = scratch_path(t.spark, "rows")
-    write_rows_csv(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), path)
-    return read_rows_csv(t.spark, path, 4)
+    names = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+    write_rows_csv(t.orders.select(names), path)
+    back = read_rows_csv(t.spark, path, len(names)).toDF(*names)
+    types = dict(t.orders.dtypes)
+    typed = back.select(*[F.col(c).cast(types[c]).alias(c) for c in names])
+    return typed.withColumn("o_orderdate", F.unix_micros(F.col("o_orderdate").cast("timestamp")))
 
 
 LABELLED = ["l_quantity", "l_discount", "l_tax"]

@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from metricweave.catalog.registry import Tables, query, with_points
 from metricweave.catalog.rows import APP, APP_NUMBER, CONTAINER_SQL, container_name
 from metricweave.functions.times import DAY_NS, floor_to
-from metricweave.operators.joins import align_feed, join_jobs, join_metrics, join_optional
-from metricweave.plans.unify import FEATURES, HOST_METRICS, unify
+from metricweave.operators.joins import align_feed, join_jobs, join_metrics, join_optional, union_series
+from metricweave.plans.unify import FEATURES, HOST_METRICS, unify, unify_series
+from metricweave.schemas import CPU, MEM, NODE_MANAGER, Feed
+from metricweave.session import scratch_path
 from metricweave.sources.jdbc import job_history
-from metricweave.sources.series import scan_measurement
+from metricweave.sources.series import read_series_json, scan_measurement
 
 SOURCE = "ContainerResource_container_e17_"
 
@@ -84,6 +86,34 @@ def _unify(t: Tables):
     return unified(t).withColumns(rounded).select("time", *FEATURES, "label")
 
 
+def exported(df: DataFrame, name: str, feed: Feed, width: int) -> DataFrame:
+    """Feed rows as exported query results: one JSON line per row, every cell in the feed's position."""
+    at = {feed.time: "time", feed.host: "host"} | dict(zip(feed.metrics, feed.metric_names()))
+    at |= dict(zip(feed.labels, feed.label_names())) | ({feed.tag: "tag"} if feed.tag is not None and feed.tag not in feed.labels else {})
+    cells = [F.col(at[i]).cast("string") if i in at else F.lit(None).cast("string") for i in range(width)]
+    series = F.struct(F.lit(name).alias("name"), F.array(F.array(*cells)).alias("values"))
+    return df.select(F.to_json(F.struct(F.array(F.struct(F.array(series).alias("series"))).alias("results"))).alias("value"))
+
+
+@query("unify_series", UNIFY_SQL)
+def _unify_series(t: Tables):
+    """The same from exported results, where single cores and other sources stand beside the feeds."""
+    tagged = lambda tag: cpu_feed(t).withColumn("tag", F.lit(tag))
+    other = nm_feed(t).withColumn("nm_100", F.lit("JvmMetrics"))
+    lines = [
+        exported(tagged("cpu-total"), "cpu", CPU, 15),
+        exported(tagged("cpu0"), "cpu", CPU, 15),
+        exported(mem_feed(t), "mem", MEM, 13),
+        exported(nm_feed(t), "nodemanager", NODE_MANAGER, 103),
+        exported(other, "nodemanager", NODE_MANAGER, 103),
+    ]
+    path = scratch_path(t.spark, "exported")
+    union_series(lines).write.text(path)
+    rows = unify_series(read_series_json(t.spark, path), jobs_table(t))
+    rounded = {c: F.round(c, 6) for c in ("cpu_8", "mem_2", "nm_39")}
+    return rows.withColumns(rounded).select("time", *FEATURES, "label")
+
+
 def daily_points(t: Tables, measurement: str) -> DataFrame:
     """Raw points of a measurement with their time cut to the day: keys repeat."""
     return scan_measurement(t.points, measurement).select(

@@ -17,7 +17,20 @@ def column_std(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) ->
     return df.groupBy(*by).agg(*[F.stddev_pop(c).alias(f"{c}_std") for c in columns])
 
 
-def group_series(df: DataFrame, patterns: Sequence[str], aggregates: Sequence[Column] | None = None) -> DataFrame:
-    """Group by every column whose *name* matches a pattern; row counts by default."""
-    tags = [c for c in df.columns if any(re.search(p, c) for p in patterns)]
-    return df.groupBy(*tags).agg(*(aggregates or [F.count(F.lit(1)).alias("rows")]))
+def group_series(
+    df: DataFrame, patterns: Sequence[str], aggregates: Sequence[Column] | None = None, tags: str | None = None
+) -> DataFrame:
+    """Group by every column whose *name* matches a pattern; row counts by default.
+
+    ``tags`` names a map column whose matching keys are grouped by as well; a
+    row without a key has null there. Keys are names of the schema, few
+    whatever the number of rows, and are looked up first.
+    """
+    matches = lambda name: any(re.search(p, name) for p in patterns)
+    named = [c for c in df.columns if c != tags and matches(c)]
+    if tags is not None:
+        keys = df.select(F.explode(F.map_keys(tags)).alias("key")).distinct().collect()
+        found = sorted(k["key"] for k in keys if matches(k["key"]))
+        df = df.withColumns({k: F.col(tags)[k] for k in found})
+        named += [k for k in found if k not in named]
+    return df.groupBy(*named).agg(*(aggregates or [F.count(F.lit(1)).alias("rows")]))

@@ -14,6 +14,8 @@ from metricweave.operators.batches import assign_batches, batch_metrics
 from metricweave.operators.projection import split_label
 from metricweave.operators.sampling import TEST, TRAIN, shuffle_rows, split_half
 from metricweave.operators.scaling import scale_by_std
+from metricweave.schemas import MISSING
+from metricweave.session import store
 from metricweave.sources.csv import read_rows_csv
 
 
@@ -25,12 +27,13 @@ class ClippedLinear:
     weights: tuple[float, ...]
     intercept: float
     upper: float | None = None
+    missing: float = float(MISSING)
 
     def predict(self) -> Column:
         """The prediction as a plain column expression."""
         total = F.lit(self.intercept)
         for name, weight in zip(self.features, self.weights):
-            total = total + F.col(name).cast("double") * F.lit(weight)
+            total = total + F.coalesce(F.col(name).cast("double"), F.lit(self.missing)) * F.lit(weight)
         return clamp(total, 0.0, self.upper)
 
     def transform(self, df: DataFrame, name: str = "prediction") -> DataFrame:
@@ -43,21 +46,24 @@ def fit_relu_regression(
     label: str = "label",
     l2: float = 0.0,
     upper: float | None = None,
+    missing: float = MISSING,
 ) -> ClippedLinear:
     """Least squares on the features, then a relu on the prediction.
 
     A chain of one-unit relu layers is such a clipped line, ``upper`` included.
     The solver sums the normal equations over all executors in one pass; only
     the coefficients reach the driver. ``l2`` adds ``l2·‖w‖²/2`` on the weights
-    as given, not on standardised ones.
+    as given, not on standardised ones. A missing feature counts as ``missing``,
+    here and in the prediction; rows without a label take no part in the fit.
     """
+    present = [F.coalesce(F.col(c).cast("double"), F.lit(float(missing))).alias(c) for c in features]
     assembled = VectorAssembler(inputCols=list(features), outputCol="_x").transform(
-        df.select(*features, F.col(label).cast("double").alias("_y"))
+        df.where(F.col(label).isNotNull()).select(*present, F.col(label).cast("double").alias("_y"))
     )
     # the trainer scales the label first, which divides its penalty by the label's deviation
     penalty = l2 * (assembled.agg(F.stddev_pop("_y")).first()[0] or 0.0) if l2 else 0.0
     model = LinearRegression(featuresCol="_x", labelCol="_y", regParam=penalty, standardization=False).fit(assembled)
-    return ClippedLinear(tuple(features), tuple(map(float, model.coefficients)), float(model.intercept), upper)
+    return ClippedLinear(tuple(features), tuple(map(float, model.coefficients)), float(model.intercept), upper, float(missing))
 
 
 def train_in_batches(
@@ -115,7 +121,8 @@ def evaluate_split(
     Result: ``half, batch, cost, match``. Each half is measured on its own
     features and labels.
     """
-    rows = df.select(*dict.fromkeys([*key, *features, label]))
+    # written once: halves, deviations, fit and places read these narrow rows, not the source
+    rows = store(df.select(*dict.fromkeys([*key, *features, label])), "split")
     total = F.lit(rows.count()).cast("bigint")
     scaled = scale_by_std(split_half(rows, key, seed), features, fit_on=fit_on)
     model = fit_relu_regression(scaled.where(F.col("half") == TRAIN), features, label, l2)

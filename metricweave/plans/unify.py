@@ -50,9 +50,10 @@ def unify(cpu: DataFrame, mem: DataFrame, nm: DataFrame, jobs: DataFrame, fill:
 def unify_series(points: DataFrame, jobs: DataFrame) -> DataFrame:
     """The same from one frame of positional points, as :func:`read_series_json` gives them.
 
-    All series of a measurement count as one feed. The frame is scanned once
-    per feed, and each scan reads only its measurement where the table is
-    partitioned by name.
+    All series of a measurement count as one feed, of which only the rows with
+    the feed's tag take part: the totals of all cores, the containers. The frame
+    is scanned once per feed, and each scan reads only its measurement where the
+    table is partitioned by name.
     """
     cpu, mem, nm = (feed_rows(points, name, feed) for name, feed in MEASUREMENTS.items())
     return unify(cpu, mem, nm, jobs)

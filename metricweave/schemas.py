@@ -28,14 +28,18 @@ SERIES_RESULT = T.StructType(
                                         T.StructField("tags", TAGS),
                                         T.StructField("columns", T.ArrayType(T.StringType())),
                                         T.StructField("values", T.ArrayType(T.ArrayType(T.StringType()))),
+                                        T.StructField("partial", T.BooleanType()),
                                     ]
                                 )
                             ),
-                        )
+                        ),
+                        T.StructField("error", T.StringType()),
+                        T.StructField("partial", T.BooleanType()),
                     ]
                 )
             ),
-        )
+        ),
+        T.StructField("error", T.StringType()),
     ]
 )
 
@@ -44,7 +48,7 @@ POINT = T.StructType(
         T.StructField("measurement", T.StringType()),
         T.StructField("tags", TAGS),
         T.StructField("time", T.StringType()),
-        T.StructField("fields", T.MapType(T.StringType(), T.DoubleType())),
+        T.StructField("fields", T.MapType(T.StringType(), T.StringType())),
     ]
 )
 
@@ -58,6 +62,9 @@ class Feed:
     host: int
     metrics: tuple[int, ...]
     labels: tuple[int, ...] = ()
+    #: Position of the tag that selects the feed's rows, and the pattern it must match.
+    tag: int | None = None
+    pattern: str = ""
 
     def metric_names(self) -> list[str]:
         return [f"{self.prefix}_{p}" for p in self.metrics]
@@ -67,9 +74,9 @@ class Feed:
 
 
 # Positions of the columns each feed delivers.
-CPU = Feed("cpu", time=0, host=3, metrics=(8, 13, 14))
+CPU = Feed("cpu", time=0, host=3, metrics=(8, 13, 14), tag=1, pattern="cpu-total")
 MEM = Feed("mem", time=0, host=8, metrics=(2, 7, 12))
-NODE_MANAGER = Feed("nm", time=0, host=97, metrics=(39, 44, 51, 58), labels=(100,))
+NODE_MANAGER = Feed("nm", time=0, host=97, metrics=(39, 44, 51, 58), labels=(100,), tag=100, pattern="container.*$")
 SPARK_DRIVER = Feed("spark", time=0, host=5, metrics=(8, 17, 27, 29, 52, 53, 54, 55, 56, 58, 59, 60, 61, 62))
 JOB_VALUE, JOB_APP_ID = 0, 3
 UNIFIED_LABEL = "nm_44"

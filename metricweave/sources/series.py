@@ -10,43 +10,81 @@ from metricweave.functions.predicates import tag_matches, time_between
 from metricweave.schemas import POINT, SERIES_RESULT, Feed
 
 
-def read_series_json(spark: SparkSession, path: str) -> DataFrame:
+def read_series_json(
+    spark: SparkSession, path: str, pretty: bool = False, allow_partial: bool = False
+) -> DataFrame:
     """Exported query results, one JSON object per line → ``name, tags, columns, values``.
 
     One output row per point; ``values`` keeps the cells as text in source
     order, since a result mixes numbers and strings. Lines are the unit of
-    parallelism: exports should be chunked, as the query API does.
+    parallelism: exports should be chunked, as the query API does. ``pretty``
+    reads files that hold one object over several lines, each file in one task.
+
+    Nothing is passed over: a line that is no JSON, a result that reports an
+    error, and a result cut short (unless ``allow_partial``) stop the read.
     """
-    series = spark.read.schema(SERIES_RESULT).json(path).select(F.inline(F.flatten("results.series")))
-    return series.select("name", "tags", "columns", F.explode("values").alias("values"))
+    reader = spark.read.schema(SERIES_RESULT).option("mode", "FAILFAST").option("multiLine", pretty)
+    lines = reader.json(path)
+    results = F.coalesce("results", F.array().cast(SERIES_RESULT["results"].dataType))
+    errors = F.concat(F.array(F.col("error")), F.transform(results, lambda r: r["error"]))
+    error = F.array_join(F.array_compact(errors), "; ")
+    series = F.flatten(F.transform(results, lambda r: F.coalesce(r["series"], F.array().cast(_SERIES))))
+    cut = F.exists(results, lambda r: F.coalesce(r["partial"], F.lit(False))) | F.exists(
+        series, lambda s: F.coalesce(s["partial"], F.lit(False))
+    )
+    checked = F.when(error != "", F.raise_error(F.concat(F.lit("query result with an error: "), error)))
+    if not allow_partial:
+        checked = checked.when(cut, F.raise_error(F.lit("query result was cut short")))
+    found = lines.select(F.inline(checked.otherwise(series)))
+    return found.select("name", "tags", "columns", F.explode("values").alias("values"))
+
 
+_SERIES = SERIES_RESULT["results"].dataType.elementType["series"].dataType
 
-def feed_rows(points: DataFrame, measurement: str, feed: Feed) -> DataFrame:
+
+def feed_rows(points: DataFrame, measurement: str, feed: Feed, tags: Sequence[str] = ()) -> DataFrame:
     """Positional points of one measurement → ``time, host, <prefix>_<position>…``.
 
-    A row shorter than a position gives null there.
+    A row shorter than a position gives null there. A feed with a tag position
+    takes only rows whose tag matches its pattern. ``tags`` names labels to be
+    taken from the ``tags`` map, where grouped results carry them.
     """
     cell = lambda position: F.get("values", F.lit(position))
-    return points.where(F.col("name") == measurement).select(
+    rows = points.where(F.col("name") == measurement)
+    if feed.tag is not None:
+        rows = rows.where(tag_matches(cell(feed.tag), feed.pattern))
+    return rows.select(
         cell(feed.time).try_cast("bigint").alias("time"),
         cell(feed.host).alias("host"),
         *[cell(p).try_cast("double").alias(n) for p, n in zip(feed.metrics, feed.metric_names())],
         *[cell(p).alias(n) for p, n in zip(feed.labels, feed.label_names())],
+        *[F.col("tags")[tag].alias(tag) for tag in tags],
     )
 
 
 def read_points_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(POINT).json(path)
+    return spark.read.schema(POINT).option("mode", "FAILFAST").json(path)
 
 
 def points_to_rows(points: DataFrame) -> DataFrame:
-    """Nested points → one row per field: ``measurement, tags, time, field, value``."""
-    return points.select(
+    """Nested points → one row per field: ``measurement, tags, time, time_ns, field, value, text``.
+
+    ``value`` is the number of a numeric field; any other field keeps its
+    ``text``. ``time_ns`` has all nine digits of the time, which the timestamp has not.
+    """
+    time = F.col("time")
+    fraction = F.regexp_extract(time, r"\.([0-9]{1,9})", 1)
+    second = F.unix_seconds(F.to_timestamp(F.regexp_replace(time, r"\.[0-9]+", "")))
+    exact = second * F.lit(1_000_000_000).cast("bigint") + F.rpad(fraction, 9, "0").cast("bigint")
+    rows = points.select(
         "measurement",
         "tags",
-        F.to_timestamp("time").alias("time"),
-        F.explode("fields").alias("field", "value"),
+        F.to_timestamp(F.regexp_replace(time, r"(\.[0-9]{6})[0-9]+", "$1")).alias("time"),
+        exact.alias("time_ns"),
+        F.explode("fields").alias("field", "_cell"),
     )
+    value = F.col("_cell").try_cast("double")
+    return rows.withColumns({"value": value, "text": F.when(value.isNull(), F.col("_cell"))}).drop("_cell")
 
 
 def scan_measurement(

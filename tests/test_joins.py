@@ -186,7 +186,7 @@ def test_unify_from_query_results(spark, tmp_path, feeds):
         return [cells.get(i) for i in range(width)]
 
     series = {
-        "cpu": [positional(15, {0: r[0], 3: r[1], 8: r[2], 13: r[3], 14: r[4]}) for r in feeds[0].collect()],
+        "cpu": [positional(15, {0: r[0], 1: "cpu-total", 3: r[1], 8: r[2], 13: r[3], 14: r[4]}) for r in feeds[0].collect()],
         "mem": [positional(13, {0: r[0], 8: r[1], 2: r[2], 7: r[3], 12: r[4]}) for r in feeds[1].collect()],
         "nodemanager": [
             positional(103, {0: r[0], 97: r[1], 39: r[2], 44: r[3], 51: r[4], 58: r[5], 100: r[6]})

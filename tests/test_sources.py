@@ -7,10 +7,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from metricweave.operators.grouping import group_series
 from metricweave.schemas import CPU, MEM, NODE_MANAGER, SPARK_DRIVER, Feed
 from metricweave.session import scratch_path, shared_dir
 from metricweave.sources.csv import read_labelled_csv, read_rows_csv, write_rows_csv
-from metricweave.sources.jdbc import jdbc_options, job_history
+from metricweave.sources.jdbc import jdbc_options, job_history, read_table_jdbc
 from metricweave.sources.series import (
     feed_rows,
     points_to_rows,
@@ -34,20 +35,20 @@ def result(name, values, tags=None):
 def test_series_results(spark, tmp_path):
     path = write_lines(
         tmp_path / "r.json",
-        result("cpu", [[1499704325000000000, "a", 1.5], [2, None, None]], {"source": "s"}),
+        result("cpu", [[1611111111000000001, "a", 1.5], [2, None, None]], {"source": "s"}),
         result("mem", [[3, "b", 2]]),
         {"results": [{"series": []}]},
         {"results": []},
     )
     rows = read_series_json(spark, path).collect()
-    assert [r["values"] for r in rows if r["name"] == "cpu"] == [["1499704325000000000", "a", "1.5"], ["2", None, None]]
+    assert [r["values"] for r in rows if r["name"] == "cpu"] == [["1611111111000000001", "a", "1.5"], ["2", None, None]]
     assert [r["tags"] for r in rows] == [{"source": "s"}, {"source": "s"}, None]
     assert rows[2]["columns"] == ["time", "x", "y"]
 
 
 def test_feed_columns_and_short_rows(spark, tmp_path):
     wide = [7, "cpu-total", "dc", "node7", *[float(i) for i in range(4, 15)]]
-    path = write_lines(tmp_path / "r.json", result("cpu", [wide, wide[:14], [8]]))
+    path = write_lines(tmp_path / "r.json", result("cpu", [wide, wide[:14], [8, "cpu-total"], [9, "cpu0"]]))
     full, short, bare = (r.asDict() for r in feed_rows(read_series_json(spark, path), "cpu", CPU).collect())
     assert full == {"time": 7, "host": "node7", "cpu_8": 8.0, "cpu_13": 13.0, "cpu_14": 14.0}
     assert short == full | {"cpu_14": None}
@@ -64,12 +65,61 @@ def test_feed_names():
 def test_points(spark, tmp_path):
     path = write_lines(
         tmp_path / "p.json",
-        {"measurement": "cpu_load_short", "tags": {"host": "server01", "region": "us-west"},
-         "time": "2009-11-10T23:00:00Z", "fields": {"value": 0.64, "idle": 2}},
+        {"measurement": "disk_queue", "tags": {"host": "rack3-n7", "zone": "b"},
+         "time": "2021-03-04T05:06:07.123456789Z", "fields": {"depth": 1.25, "waits": 3, "status": "ok"}},
+        {"measurement": "disk_queue", "tags": {}, "time": "2021-03-04T05:06:07Z", "fields": {"depth": 0}},
     )
-    rows = points_to_rows(read_points_json(spark, path)).orderBy("field").collect()
-    assert [(r["field"], r["value"], r["tags"]["host"]) for r in rows] == [("idle", 2.0, "server01"), ("value", 0.64, "server01")]
-    assert rows[0]["time"].isoformat() == "2009-11-10T23:00:00"
+    rows = points_to_rows(read_points_json(spark, path)).orderBy("time_ns", "field").collect()
+    assert [(r["field"], r["value"], r["text"]) for r in rows] == [
+        ("depth", 0.0, None), ("depth", 1.25, None), ("status", None, "ok"), ("waits", 3.0, None)]
+    assert [r["time_ns"] - 1614834367 * 10**9 for r in rows] == [0, 123456789, 123456789, 123456789]
+    assert rows[1]["time"].isoformat() == "2021-03-04T05:06:07.123456" and rows[1]["tags"]["host"] == "rack3-n7"
+
+
+@pytest.mark.parametrize("line, options, said", [
+    ('{"results":[{"series":[{"name":"a","columns":[],"val', {}, "Malformed"),
+    ('{"results":[{"error":"no such measurement"}]}', {}, "no such measurement"),
+    ('{"error":"timeout"}', {"allow_partial": True}, "timeout"),
+    ('{"results":[{"series":[{"name":"a","columns":[],"values":[["1"]],"partial":true}]}]}', {}, "cut short"),
+])
+def test_bad_results_stop_the_read(spark, tmp_path, line, options, said):
+    good = '{"results":[{"series":[{"name":"a","columns":[],"values":[["1"]]}]}]}'
+    (tmp_path / "r.json").write_text(f"{good}\n{line}\n")
+    with pytest.raises(Exception, match=f"(?i){said}"):
+        read_series_json(spark, str(tmp_path / "r.json"), **options).collect()
+
+
+def test_pretty_and_partial_results(spark, tmp_path):
+    whole = {"results": [{"series": [{"name": "a", "columns": ["time"], "values": [[1], [2]], "partial": True}]}]}
+    (tmp_path / "r.json").write_text(json.dumps(whole, indent=2))
+    rows = read_series_json(spark, str(tmp_path / "r.json"), pretty=True, allow_partial=True).collect()
+    assert [r["values"] for r in rows] == [["1"], ["2"]]
+
+
+def test_labels_from_the_tags_map(spark, tmp_path):
+    wide = [7, "cpu-total", "dc", "node7", *[float(i) for i in range(4, 15)]]
+    path = write_lines(tmp_path / "r.json", result("cpu", [wide, ["8", "cpu0"]], {"source": "s", "rack": "r"}))
+    points = read_series_json(spark, path)
+    assert [(r["time"], r["source"]) for r in feed_rows(points, "cpu", CPU, tags=["source"]).collect()] == [(7, "s")]
+    assert [tuple(r) for r in group_series(points, ["^rac", "^name$"], tags="tags").collect()] == [("cpu", "r", 2)]
+
+
+def test_csv_of_other_writers(spark, tmp_path):
+    (tmp_path / "rows.csv").write_text('"say ""hi"", x",2,3\n')
+    assert [tuple(r) for r in read_rows_csv(spark, str(tmp_path / "rows.csv"), 3).collect()] == [('say "hi", x', "2", "3")]
+
+
+@pytest.mark.parametrize("text", ["1,2,3,4\n", "1,2\n"])
+def test_rows_of_another_width_stop_the_read(spark, tmp_path, text):
+    (tmp_path / "rows.csv").write_text("a,b,c\n" + text)
+    with pytest.raises(Exception):
+        read_rows_csv(spark, str(tmp_path / "rows.csv"), 3).select("_c0").collect()
+
+
+def test_dirty_labelled_cells_stop_the_read(spark, tmp_path):
+    (tmp_path / "rows.csv").write_text("120,4\n6.4,x\n")
+    with pytest.raises(Exception):
+        read_labelled_csv(spark, str(tmp_path / "rows.csv"), ["length"], "target").collect()
 
 
 def test_csv_round_trip(spark, tmp_path):
@@ -95,6 +145,28 @@ def test_jdbc_options():
         jdbc_options("jdbc:x", "jobs_history", "id")
 
 
+def test_whole_table_scans_must_be_asked_for(spark):
+    with pytest.raises(ValueError, match="one_task"):
+        read_table_jdbc(spark, "jdbc:x", "jobs_history")
+
+
+def test_scans_are_pushed(spark, sf_dir):
+    from metricweave.catalog import QUERIES
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = lambda name: QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    scan = plan("scan_measurement")
+    assert "GreaterThan(ts," in scan and "LessThan(ts," in scan and "EqualTo(event_type,click)" in scan
+    assert "StringStartsWith(event_type,cl)" in plan("latest_points")
+
+
+@pytest.mark.parametrize("kind", ["bigint", "timestamp"])
+@pytest.mark.parametrize("limit", [1000, 1001])
+def test_limits_of_any_size_on_any_time(spark, kind, limit):
+    df = spark.range(1500).select(F.col("id").cast(kind).alias("time"))
+    assert scan_measurement(df, newest_first=True, limit=limit).count() == limit
+
+
 def test_job_history_positions(spark):
     rows = spark.createDataFrame([(42, "u", "q", "application_1_1", "extra")], "v long, a string, b string, c string, d string")
     assert [r.asDict() for r in job_history(rows).collect()] == [{"app_id": "application_1_1", "job_value": 42}]
