@@ -1,0 +1,175 @@
+"""Scans of single rows against plain versions, and odd rows for each of them."""
+
+from __future__ import annotations
+
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from metricweave.llm import urls
+from metricweave.llm.catalog import LLM_QUERIES
+from metricweave.llm.decontaminate import find_contamination
+from metricweave.llm.licenses import TEMPLATES, Templates, normal_words, scan_licenses, units
+from metricweave.llm.quality import METRICS, quality_rules
+from metricweave.llm.secrets import FEATURES, find_secrets, fit_forest, label_findings
+from metricweave.llm.urls import canonical_url, filter_urls, listed
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["op3_secrets", "op6_pii", "op10_quality_rules"])
+def test_native_plans_hold_no_python(spark, sf_dir, name):
+    plan = plan_of(LLM_QUERIES[name](spark, sf_dir))
+    assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "ExternalRDD"))
+
+
+# licences
+
+
+def plain_scores(text: str, threshold: float = 0.8) -> dict[str, float]:
+    """Every unit against every template."""
+    best: dict[str, float] = {}
+    count = lambda words: Counter(zip(words, words[1:]))
+    for unit in units(text):
+        own = count(normal_words(unit))
+        for name, texts in TEMPLATES.items():
+            for theirs in map(lambda t: count(normal_words(t)), texts):
+                total = own.total() + theirs.total()
+                score = 2 * (own & theirs).total() / total if total else 0.0
+                if score >= threshold:
+                    best[name] = max(score, best.get(name, 0.0))
+    return best
+
+
+def test_pruned_scores_are_those_of_all_templates(spark, sf_dir):
+    texts = [t for own in TEMPLATES.values() for t in own]
+    texts += [" ".join(w for i, w in enumerate(t.split()) if i % 9) for t in texts]
+    texts += [f"Intro.\n\n{t}\n\nrest of the page" for t in texts]
+    texts += [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(300).collect()]
+    templates = Templates(TEMPLATES, 0.8)
+    assert [templates.scores(t or "") for t in texts] == [plain_scores(t or "") for t in texts]
+
+
+def test_license_edges(spark):
+    mit = TEMPLATES["MIT"][2]
+    rows = [(1, None, "a"), (2, "", "b"), (3, mit, "c"), (3, mit, "c"), (4, "word " * 200_000 + f"\n{mit}", "d")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, Licenses string")
+    out = scan_licenses(df)
+    assert out.columns == ["doc_id", "text", "licenses"]
+    found = sorted((r["doc_id"], [x["license"] for x in r["licenses"]]) for r in out.collect())
+    assert found == [(1, []), (2, []), (3, ["MIT"]), (3, ["MIT"]), (4, ["MIT"])]
+    assert scan_licenses(df.limit(0)).count() == 0
+
+
+# secrets
+
+
+def test_forest_on_held_out_findings(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    findings = label_findings(docs, path="source").withColumn("part", F.pmod(F.xxhash64("match"), F.lit(2))).cache()
+    forest = fit_forest(findings.where("part = 0").drop("part"))
+    from metricweave.llm.secrets import votes
+
+    unseen = findings.where("part = 1").fillna(0.0)
+    judged = unseen.withColumn("said", (votes(F.struct(*FEATURES), forest) > 0.5).cast("double"))
+    right, real, found = judged.agg(
+        F.avg((F.col("said") == F.col("label")).cast("double")), F.sum("label"), F.sum(F.col("said") * F.col("label"))
+    ).first()
+    assert right > 0.98 and (not real or found / real > 0.9)
+
+
+def test_secret_edges(spark):
+    key = "q8Zr4Lw0Xn2Vb6Ty1Kd9Pm3"
+    real = [f'api_key = "{c}{key}"' for c in "abcdefghij"]
+    fake = [f"see the page about {w}ing-international-information-and-notification" for w in "abcdefghij"]
+    train = spark.createDataFrame([(t,) for t in real + fake], "text string")
+    forest = fit_forest(label_findings(train))
+    rows = [(1, None, None, 7), (2, "", "x", 7), (3, real[0], None, 7), (3, real[0], None, 7), (4, "z" * 300_000, "test", 7)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string, Secrets int")
+    out = find_secrets(df, forest, path="source")
+    assert out.columns == ["doc_id", "text", "source", "n_candidates", "secrets"]
+    got = sorted((r["doc_id"], r["n_candidates"], [(s["start"], s["end"]) for s in r["secrets"]]) for r in out.collect())
+    assert got == [(1, 0, []), (2, 0, []), (3, 1, [(11, 35)]), (3, 1, [(11, 35)]), (4, 1, [])]
+    assert find_secrets(df.limit(0), forest).count() == 0
+    assert fit_forest(label_findings(train.limit(0))) == ["0.0"]
+
+
+# URLs
+
+
+@pytest.mark.parametrize("most", [urls.MAX_BLOCKS, 0])
+def test_listed_urls(spark, monkeypatch, most):
+    monkeypatch.setattr(urls, "MAX_BLOCKS", most)
+    given = [f"https://www.Host{i}.org/a/?utm_source=x&id={i}#top" for i in range(400)] + [None, "", "no url", "x://", "x://h"]
+    df = spark.createDataFrame([(i, u, 1) for i, u in enumerate(given)] * 2, "page_id int, url string, Listed int")
+    listing = spark.createDataFrame([(f"http://host{i}.org:80/a?id={i}",) for i in range(0, 400, 3)] * 3 + [(None,), ("",)], "url string")
+    out = listed(df, "url", listing, "url")
+    assert out.columns == ["page_id", "url", "listed"]
+    got = sorted((r["page_id"], r["listed"]) for r in out.collect())
+    assert got == sorted([(i, i < 400 and i % 3 == 0) for i in range(len(given))] * 2)
+    assert listed(df, "url", listing.limit(0), "url").where("listed").isEmpty()
+    assert listed(df.limit(0), "url", listing, "url").isEmpty()
+
+
+def test_rules_and_spellings(spark):
+    rules = [("allow", "com/"), ("block", "a.com/en/"), ("allow", "www.a.com/en/")]
+    cases = {
+        "http://A.com/en/x": ("a.com/en/", "block"),
+        "http://b.a.com/en/": ("a.com/en/", "block"),
+        "http://www.a.com/en/x?y": ("www.a.com/en/", "allow"),
+        "http://ba.com/en/": ("com/", "allow"),
+        "http://a.com": (None, "allow"),
+        "http://spam.org/x/#a": (None, "block"),
+        None: (None, "allow"),
+    }
+    df = spark.createDataFrame([(u, "r", "h") for u in cases], "url string, Rule string, host string")
+    out = filter_urls(df, rules, spark.createDataFrame([("http://www.spam.org/x",)], "url string"))
+    assert out.columns == ["url", "host", "path", "rule", "verdict"]
+    assert {r["url"]: (r["rule"], r["verdict"]) for r in out.collect()} == cases
+
+
+# benchmark texts
+
+
+def test_shards_find_what_one_finds(spark):
+    words = [f"w{i}" for i in range(60)]
+    items = [("a", " ".join(words[:25])), ("b", "Only, four: words here"), (None, " ".join(words[30:42])), ("a", "w1"), ("n", None)]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    docs = [(1, " ".join(words), 0), (1, " ".join(words), 0), (2, "only FOUR words here!", 0), (3, None, 0), (4, "", 0), (5, "w2 " * 100_000, 0)]
+    df = spark.createDataFrame(docs, "doc_id int, text string, Items int")
+    rows = lambda out: sorted((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"]), r["contaminated"]) for r in out.collect())
+    one = find_contamination(df, benchmark)
+    assert "Items" not in one.columns
+    assert rows(one) == rows(find_contamination(df, benchmark, shard_windows=3)) == [
+        (1, 60, 37, ("a",), True), (1, 60, 37, ("a",), True), (2, 4, 4, ("b",), True),
+        (3, 0, 0, (), False), (4, 0, 0, (), False), (5, 100_000, 0, (), False),
+    ]
+    assert find_contamination(df, benchmark.limit(0)).where("contaminated").isEmpty()
+    assert find_contamination(df.limit(0), benchmark).isEmpty()
+
+
+# quality rules
+
+
+def test_quality_edges(spark):
+    good = "The cat and the dog of this town went to a house that is on the hill with all of its trees. "
+    rows = [(1, None, 9), (2, "", 9), (3, good, 9), (3, good, 9), (4, good * 3000, 9), (5, "\n\n \t", 9)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, KEPT int")
+    out = quality_rules(df)
+    assert out.columns == ["doc_id", "text", *METRICS, "base_failed", "broken_rules", "kept"]
+    got = sorted((r["doc_id"], r["n_words"], r["n_repeat_words"], r["base_failed"], r["kept"]) for r in out.collect())
+    n = len(good.split())
+    assert got == [
+        (1, 0, 0, True, False), (2, 0, 0, True, False), (3, n, 0, False, True), (3, n, 0, False, True),
+        (4, 3000 * n, 3000 * n, True, False), (5, 0, 0, True, False),
+    ]
+    assert quality_rules(df.limit(0)).isEmpty()
+
+
+def test_canonical_urls(spark):
+    given = {"HTTP://www.X.de:443/a//?ref=b&k=1&&utm_term=z": "x.de/a?k=1", "x://y": "y", "x://": None, "y": None}
+    df = spark.createDataFrame([(u,) for u in given], "url string")
+    assert {r["url"]: r["c"] for r in df.select("url", canonical_url(F.col("url")).alias("c")).collect()} == given
