@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from metricweave.catalog.batches import PLACED, SEED
-from metricweave.catalog.joins import unified
+from metricweave.catalog.joins import UNIFY_SQL, unified
 from metricweave.catalog.registry import Tables, query, with_points
+from metricweave.operators.projection import split_label
+from metricweave.operators.sampling import TEST, TRAIN, split_half
 from metricweave.plans.classifier import as_vector, fit_layered_classifier
 from metricweave.plans.regression import evaluate_split, fit_relu_regression, train_from_csv
 from metricweave.plans.unify import FEATURES
-from metricweave.session import scratch_path
-from metricweave.sources.csv import write_rows_csv
+from metricweave.session import scratch_path, store
+from metricweave.sources.csv import read_rows_csv, write_rows_csv
 
 
 @query(
@@ -66,6 +68,58 @@ def _unified(t: Tables):
     return costs.select("batch", "cost")
 
 
+# The label is a container's figure; these come from the host's other feeds.
+HOST_FEATURES = ["cpu_8", "mem_2"]
+
+
+@query(
+    "unified_fit",
+    f"""WITH unified AS ({UNIFY_SQL}),
+    moments AS (
+        SELECT var_pop(cpu_8) AS aa, var_pop(mem_2) AS bb, covar_pop(cpu_8, mem_2) AS ab, covar_pop(cpu_8, label) AS cov_a,
+            covar_pop(mem_2, label) AS cov_b, avg(cpu_8) AS a, avg(mem_2) AS b, avg(label) AS y
+        FROM unified),
+    fit AS (
+        SELECT (cov_a * bb - cov_b * ab) / (aa * bb - ab * ab) AS u, (cov_b * aa - cov_a * ab) / (aa * bb - ab * ab) AS v, a, b, y
+        FROM moments)
+    SELECT time, label, round(greatest(0, y + u * (cpu_8 - a) + v * (mem_2 - b)), 4) AS prediction FROM unified, fit""",
+)
+def _unified_fit(t: Tables):
+    """Unified rows to CSV and back, then a fit on features that do not hold the label."""
+    path = scratch_path(t.spark, "unified")
+    columns = ["time", *FEATURES, "label"]
+    rounded = {c: F.round(c, 6) for c in ("cpu_8", "mem_2", "nm_39")}
+    write_rows_csv(unified(t).withColumns(rounded).select(*columns), path)
+    text = read_rows_csv(t.spark, path, len(columns)).toDF(*columns)
+    typed = text.withColumns({"time": F.col("time").cast("bigint")} | {c: F.col(c).cast("double") for c in HOST_FEATURES})
+    rows = store(split_label(typed, "label", ["time", *HOST_FEATURES]), "typed")
+    model = fit_relu_regression(rows, HOST_FEATURES)
+    return model.transform(rows).select("time", "label", F.round("prediction", 4).alias("prediction"))
+
+
+@query(
+    "classifier_halves",
+    f"""WITH placed AS (SELECT label, row_number() OVER (ORDER BY md5(vec_id || ':{SEED}')) AS position FROM embeddings),
+    halves AS (SELECT label, position <= (SELECT count(*) FROM embeddings) // 2 AS fitted FROM placed)
+    SELECT label, count(*) FILTER (fitted) AS train_rows, count(*) FILTER (NOT fitted) AS judged_rows
+    FROM halves GROUP BY label""",
+)
+def _classifier_halves(t: Tables):
+    """Fitted on one half, asked on the other: rows of every class that were fitted and that were judged.
+
+    Labels of this table are independent of the vectors, so no accuracy is asked here.
+    """
+    vectors = store(split_half(t.embeddings.select("vec_id", "embedding", "label"), ["vec_id"], SEED), "halves")
+    shape = vectors.agg(F.max(F.size("embedding")).alias("width"), F.max("label").alias("top")).first()
+    fitted = as_vector(vectors.where(F.col("half") == TRAIN), ["embedding"])
+    model = fit_layered_classifier(fitted, shape["width"], classes=shape["top"] + 1)
+    judged = model.transform(as_vector(vectors.where(F.col("half") == TEST), ["embedding"]))
+    known = judged.where(F.col("prediction").between(0, shape["top"])).select("label", "half")
+    rows = lambda half: F.count(F.when(F.col("half") == half, 1))
+    both = fitted.select("label", "half").unionByName(known)
+    return both.groupBy("label").agg(rows(TRAIN).alias("train_rows"), rows(TEST).alias("judged_rows"))
+
+
 @query("layered_classifier")
 def _classifier(t: Tables):
     vectors = as_vector(t.embeddings, ["embedding"])

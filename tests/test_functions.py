@@ -22,25 +22,25 @@ def values(spark, kind, rows, expression):
 
 def test_application_of_a_container(spark):
     names = [
-        "ContainerResource_container_e17_1489768375814_0012_01_000002",
-        "container_e17_1489768375814_0012_01_000002",
-        "container_1489768375814_0012_01_000002",
+        "ContainerResource_container_e21_1512000777123_0045_01_000002",
+        "container_e21_1512000777123_0045_01_000002",
+        "container_1512000777123_0045_01_000002",
         "JvmMetrics",
-        "container_e17_1489768375814",
+        "container_e21_1512000777123",
         None,
     ]
     got = values(spark, "string", names, ids.app_id_from_container)
-    assert got == ["application_1489768375814_0012"] * 3 + [None] * 3
+    assert got == ["application_1512000777123_0045"] * 3 + [None] * 3
 
 
 def test_numbers_of_ids(spark):
-    near = ["application_1489768375814_0011", "application_1489768375814_0012", "application_x", None]
+    near = ["application_1512000777123_0044", "application_1512000777123_0045", "application_x", None]
     doubles = values(spark, "string", near, ids.app_id_number)
     exact = values(spark, "string", near, lambda c: ids.app_id_number(c, exact=True))
     # beyond 2^53 neighbours share a double, so the exact form exists
-    assert doubles[0] == float("14897683758140011") and doubles[2:] == [None, None]
-    assert [int(v) for v in exact[:2]] == [14897683758140011, 14897683758140012] and exact[2:] == [None, None]
-    containers = [f"ContainerResource_container_e17_1489768375814_0012_01_00000{i}" for i in (1, 2)]
+    assert doubles[0] == float("15120007771230044") and doubles[2:] == [None, None]
+    assert [int(v) for v in exact[:2]] == [15120007771230044, 15120007771230045] and exact[2:] == [None, None]
+    containers = [f"ContainerResource_container_e21_1512000777123_0045_01_00000{i}" for i in (1, 2)]
     assert len(set(values(spark, "string", containers, ids.container_id_number))) == 1
     assert len(set(values(spark, "string", containers, lambda c: ids.container_id_number(c, exact=True)))) == 2
 
