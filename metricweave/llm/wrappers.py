@@ -8,9 +8,10 @@ templates merge in rounds of bounded fan-in, so a host with a third of all pages
 is spread like any other.
 
 Aligned against its template, every block of a page lies in a slot. Texts that
-most pages of a host have in the same slot belong to the template; what varies
-is content, as far as it stands in the article and not in a menu, header,
-footer, sidebar, notice, advert, form or comment.
+most pages of a host have in the same slot belong to the template, where near
+copies of one article count as one page; what varies is content, as far as it
+stands in the article and not in a menu, header, footer, sidebar, notice,
+advert, form or comment.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from metricweave.session import store
 FAN_IN = 32
 #: A text is constant in a slot of a host if more than 2 of 3 pages have it, of this many at least.
 CONSTANT, OF, PAGES = 2, 3, 5
+#: Texts on more than one in SHARE pages of a slot tell copies; a page's vote is counted in parts.
+SHARE, VOTE = 16, 720_720 << 16
 #: Templates and alignments a worker remembers.
 REMEMBERED = 10_000
 
@@ -332,31 +335,55 @@ def _merge_group(key, table):
 def constant_texts(pages: DataFrame) -> DataFrame:
     """``host, constants`` (text keys per slot) from ``host, html, template``.
 
-    Every page counts each text of a slot once; counts are summed in the task,
-    then by Spark.
+    A text is constant if most pages have it in its slot, and still so when near
+    copies of one article have one vote together. A page's share of a vote is
+    one by the median page count of its texts: where more than half of them stand
+    on ``m`` pages each, the page is one of about ``m`` copies.
     """
+    schema = "host string, slots array<bigint>, keys array<bigint>"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrappers = _Wrappers()
         for batch in (piece for w in batches for piece in pieces(w, "html")):
-            counts: Counter = Counter()
+            hosts, slots, keys = [], [], []
             for host, html, template in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 root = parse(_text(html))
                 places = wrappers.slots(template, skeleton(root))
-                own = {(places[n.place], text_key(t)) for n, t, _ in article_blocks(root) if n.place in places}
-                counts.update((host, slot, key) for slot, key in own)
-                counts.update((host, slot, None) for slot in {s for s, _ in own})
-            rows = list(zip(*((*k, n) for k, n in counts.items()))) or [()] * 4
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=["host", "slot", "key", "n"])
-
-    counted = pages.select("host", "html", "template").mapInArrow(count, "host string, slot bigint, key bigint, n bigint")
-    counted = store(counted.groupBy("host", "slot", "key").agg(F.sum("n").alias("n")), "counts")
-    pages_of = counted.where("key IS NULL").select("host", "slot", F.col("n").alias("pages"))
-    frequent = counted.where(f"key IS NOT NULL AND n >= {PAGES} * {CONSTANT} div {OF}").join(pages_of, ["host", "slot"])
-    frequent = frequent.where(f"pages >= {PAGES} AND {OF} * n > {CONSTANT} * pages")
-    # fewer than two entries per block of a page
-    return frequent.groupBy("host").agg(F.collect_list(F.struct("slot", "key")).alias("constants"))
+                own = sorted({(places[n.place], text_key(t)) for n, t, _ in article_blocks(root) if n.place in places})
+                hosts.append(host)
+                slots.append([s for s, _ in own])
+                keys.append([k for _, k in own])
+            several = pa.list_(pa.int64())
+            columns = [pa.array(hosts, pa.string()), pa.array(slots, several), pa.array(keys, several)]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "slots", "keys"])
+
+    texts = store(pages.select("host", "html", "template").mapInArrow(placed, schema), "texts")
+    # per slot one entry with no key: the pages that have the slot
+    entries = "explode(concat(arrays_zip(slots, keys), transform(array_distinct(slots), s -> struct(s AS slots, CAST(NULL AS BIGINT) AS keys)))) AS e"
+
+    def with_pages(counted: DataFrame, kinds: str) -> DataFrame:
+        of_slot = counted.where("key IS NULL").drop("key").withColumnRenamed("n", "pages")
+        return counted.where("key IS NOT NULL").where(kinds).join(of_slot, ["host", "slot"])
+
+    counted = texts.selectExpr("host", entries).groupBy("host", "e.slots", "e.keys").agg(F.count("*").alias("n"))
+    counted = store(counted.toDF("host", "slot", "key", "n"), "counts")
+    common = with_pages(counted, "n > 1").where(f"{SHARE} * n > pages")
+    frequent = F.col("pages") >= PAGES, F.col("n") * OF > F.col("pages") * CONSTANT
+    # fewer than SHARE entries per block of a page; hosts without a frequent text need no second count
+    common = common.withColumn("frequent", frequent[0] & frequent[1]).groupBy("host").agg(
+        F.max("frequent").alias("any"),
+        F.map_from_entries(F.collect_list(F.struct(F.struct("slot", "key"), "n"))).alias("common"),
+        F.collect_list(F.when(F.col("frequent"), F.struct("slot", "key"))).alias("frequent"),
+    )
+    common = store(common.where("any").drop("any"), "common")
+    counts = "array_sort(transform(arrays_zip(slots, keys), x -> coalesce(common[struct(x.slots AS slot, x.keys AS key)], 1L)))"
+    votes = texts.join(common.select("host", "common"), "host").where("size(keys) > 0").selectExpr("host", "slots", "keys", f"{counts} AS c")
+    votes = votes.selectExpr("host", entries, f"({VOTE} - 1) div c[(size(c) - 1) div 2] + 1 AS vote")
+    votes = votes.groupBy("host", "e.slots", "e.keys").agg(F.sum("vote")).toDF("host", "slot", "key", "n")
+    constant = with_pages(store(votes, "votes"), "n > 0").where(f"pages >= {PAGES * VOTE} AND n > pages div {OF} * {CONSTANT}")
+    constant = constant.groupBy("host").agg(F.collect_list(F.struct("slot", "key")).alias("voted"))
+    both = F.array_intersect("frequent", "voted")
+    return constant.join(common.select("host", "frequent"), "host").select("host", both.alias("constants"))
 
 
 def extract_articles(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
@@ -365,7 +392,8 @@ def extract_articles(df: DataFrame, html: str = "html", url: str = "url") -> Dat
     Blocks stand in page order, joined by a line break; white space inside a
     block is one space. A null or empty page, or one without article text, gives
     an empty text. Pages without a host form one group. Constant texts are
-    dropped only while something varies on the page. Rows are neither dropped
+    dropped only while something varies on the page; near copies of an article
+    do not make its text constant. Rows are neither dropped
     nor merged, an empty table gives an empty table, an input column named
     ``text`` is replaced.
     """

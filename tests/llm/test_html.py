@@ -104,6 +104,27 @@ def test_same_pages_keep_their_text(spark):
     assert extract_articles(df.limit(0)).isEmpty()
 
 
+def near_copies(first: int, count: int, terms: str = ""):
+    """Copies of one article that differ in one paragraph."""
+    shared = [f"Paragraph {k} that all copies share." for k in range(6)]
+    for i in range(first, first + count):
+        parts = ["Title of the copies", *shared[:3], f"Only in copy {i}.", *shared[3:]]
+        yield i, parts, "<article>" + "".join(f"<p>{p}</p>" for p in [*parts, *([terms] if terms else [])]) + "</article>"
+
+
+def test_near_copies_keep_their_text(spark):
+    terms = "Read our terms."
+    pages = [(i, "http://a.example/", parts, html) for i, parts, html in near_copies(0, 7)]
+    pages += [(i, "http://b.example/", parts, html) for i, parts, html in near_copies(100, 30, terms)]
+    for host, ids, end in (("a", range(7, 9), ""), ("b", range(130, 136), f"<p>{terms}</p>")):
+        for i in ids:
+            parts = [f"Title {i}", f"First text {i}.", f"Second text {i}."]
+            pages.append((i, f"http://{host}.example/", parts, "<article>" + "".join(f"<p>{p}</p>" for p in parts) + end + "</article>"))
+    df = spark.createDataFrame([(i, url, html) for i, url, _, html in pages], "page_id int, url string, html string").repartition(4)
+    got = {r["page_id"]: r["text"] for r in extract_articles(df).collect()}
+    assert got == {i: "\n".join(parts) for i, _, parts, _ in pages}
+
+
 def test_query_on_all_pages(spark, sf_dir):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     rows = LLM_QUERIES["op1_html_extraction"](spark, sf_dir).collect()
