@@ -208,50 +208,51 @@ def _apart(node: Node, in_article: bool) -> bool:
 def article_blocks(root: Node) -> list[tuple[Node, str, int]]:
     """Blocks of the article by structure alone: the parts beside it are left out.
 
-    The article is the ``article`` element with most text; without one ``main``,
-    an element named for content, or the whole page, where blocks that are
-    nearly all links go too.
+    A home is an outermost ``article``; without one an outermost ``main``, or an
+    outermost element named for content. The article is the home with most text,
+    with all homes of its kind that stand beside it or bear its label, and the
+    ``h1`` of a content element around it. Without any home it is the whole page,
+    where blocks that are nearly all links, and paragraphs of nothing else, go too.
     """
-    verdict: dict[int, tuple[bool, Node | None]] = {}
+    rank = {"article": 2, "main": 1}
+    verdict: dict[int, tuple[bool, Node | None, Node | None]] = {}
 
-    def judge(node: Node | None) -> tuple[bool, Node | None]:
-        """Whether the node is beside the article, and the nearest article-like element."""
+    def judge(node: Node | None) -> tuple[bool, Node | None, Node | None]:
+        """Whether the node is beside the article, its home, and the content element around that."""
         chain = []
         while node is not None and id(node) not in verdict:
             chain.append(node)
             node = node.parent
-        apart, home = verdict[id(node)] if node is not None else (False, None)
+        apart, home, around = verdict[id(node)] if node is not None else (False, None, None)
         for own in reversed(chain):
-            likely = own.tag in ("article", "main") or own.tag in ("div", "section", "td") and bool(names(own) & ARTICLE_WORDS)
+            likely = own.tag in rank or own.tag in ("div", "section", "td") and bool(names(own) & ARTICLE_WORDS)
             apart = apart or _apart(own, home is not None)
-            if likely and (home is None or own.tag == "article" or home.tag not in ("article", "main")):
-                home = own
-            verdict[id(own)] = apart, home
-        return apart, home
+            if likely and (home is None or rank.get(own.tag, 0) > rank.get(home.tag, 0)):
+                home, around = own, around or home or own
+            verdict[id(own)] = apart, home, around
+        return apart, home, around
 
     kept, size = [], Counter()
     homes: dict[int, Node] = {}
     for node, text, linked in blocks(root):
-        apart, home = judge(node)
+        apart, home, _ = judge(node)
         if apart:
             continue
         kept.append((node, text, linked, home))
         if home is not None:
             homes[id(home)] = home
             size[id(home)] += len(text)
-    rank = {"article": 2, "main": 1}
     if not homes:
-        return [(n, t, k) for n, t, k, _ in kept if k * 5 < len(t) * 4]
+        return [(n, t, k) for n, t, k, _ in kept if k * 5 < len(t) * 4 or n.tag == "p" and k < len(t)]
     best = max(homes.values(), key=lambda h: (rank.get(h.tag, 0), size[id(h)]))
+    alike = lambda h: rank.get(h.tag, 0) == rank.get(best.tag, 0) and (h.parent is best.parent or label(h) == label(best))
+    chosen = {id(h) for h in homes.values() if alike(h)}
+    around = judge(best)[2]
 
-    def inside(home: Node | None) -> bool:
-        while home is not None:
-            if home is best:
-                return True
-            home = home.parent
-        return False
+    def heads(node: Node) -> bool:
+        return node.tag == "h1" and judge(node)[2] is around
 
-    return [(n, t, k) for n, t, k, home in kept if inside(home)]
+    return [(n, t, k) for n, t, k, home in kept if home is not None and (id(home) in chosen or heads(n))]
 
 
 def text_key(text: str) -> int:

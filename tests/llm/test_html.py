@@ -51,6 +51,23 @@ def test_page_without_a_named_article():
     assert text_of(page) == "Some text with a link."
 
 
+@pytest.mark.parametrize("page, expected", [
+    ("<div class=post><h1>Title</h1><div class=post-body><p>Long text of the post.</p></div></div>", "Title\nLong text of the post."),
+    ("<div class=content><div class=text>A</div><div class=text>B, longer</div></div>", "A\nB, longer"),
+    ("<div><div class=text>A</div><p>x</p><div class=text>B, longer</div></div>", "A\nB, longer"),
+    ("<main><article><p>Part one, longer</p></article><article><p>Part two</p></article></main>", "Part one, longer\nPart two"),
+    ("<div><div><article><p>One</p></article></div><div><article><p>Two, longer</p></article></div></div>", "One\nTwo, longer"),
+    ("<article><h1>Title</h1><article><p>Inner text, longer</p></article></article>", "Title\nInner text, longer"),
+    ("<main><h1>Title</h1><p>x</p><article><p>Text</p></article></main>", "Title\nText"),
+    ("<div class=post><h1>Title</h1><article><p>Text</p></article></div>", "Title\nText"),
+    ("<article><p>Story, the longer one</p></article><div><article class=card><p>Teaser</p></article></div>", "Story, the longer one"),
+    ("<p>See <a>this rather long title of a linked page</a>.</p><p><a>all of it a link</a></p>", "See this rather long title of a linked page."),
+    ("<div class=post><div class=sidebar>Other</div><h1>Title</h1><nav>Menu</nav><p>Text</p></div>", "Title\nText"),
+])
+def test_all_parts_of_the_article_stay(page, expected):
+    assert text_of(page) == expected
+
+
 def tree(html: str):
     return skeleton(parse(html))
 
