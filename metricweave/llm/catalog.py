@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from metricweave.llm.decontaminate import find_contamination
 from metricweave.llm.licenses import scan_licenses
+from metricweave.llm.merkle import build_manifest, fold, proof_digest, row_digest
 from metricweave.llm.packing import pack
 from metricweave.llm.pii import BASE_KINDS, find_pii
 from metricweave.llm.quality import quality_rules
 from metricweave.llm.repeats import remove_repeats
 from metricweave.llm.secrets import find_secrets, fit_forest, label_findings
+from metricweave.llm.sharding import record_size, shuffle_into_shards, text_crc32
 from metricweave.llm.simhash import near_duplicates
 from metricweave.llm.urls import TRACKING, filter_urls, host_of
 from metricweave.llm.wrappers import extract_articles
@@ -238,3 +240,105 @@ def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     pages = extract_articles(table(spark, folder, "pages"))
     return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op11_sharding")
+def op11_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and slot of every document; the law is equal counts of rows."""
+    sharded = shuffle_into_shards(table(spark, folder, "documents").select("doc_id", "text"), shards=8, seed=11)
+    return sharded.select(
+        "doc_id",
+        record_size(F.col("text")).alias("size"),
+        text_crc32(F.col("text")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+MANIFEST_SQL = r"""
+WITH RECURSIVE rows_ AS (
+    SELECT doc_id, source, lang, n_chars, text,
+           CASE WHEN odd THEN text ELSE replace(text, chr(10), '') END AS changed
+    FROM (SELECT *, coalesce(CRC % 2 = 1, true) AS odd FROM documents)),
+hashed AS (
+    SELECT doc_id, source, sha256(FIELDS_TEXT) AS leaf, sha256(FIELDS_CHANGED) AS tampered FROM rows_),
+leaves AS (
+    SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+           row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+           count(*) OVER (PARTITION BY source) AS n
+    FROM hashed),
+nodes(h, tree, idx, n, digest) AS (
+    SELECT 0, tree, idx, n, leaf FROM leaves
+    UNION ALL
+    SELECT h + 1, tree, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx))
+    FROM nodes WHERE n > 1 GROUP BY h, tree, idx // 3, (n + 2) // 3),
+subroots AS (SELECT tree, h AS height, digest FROM nodes WHERE n = 1),
+tops(h, idx, n, digest) AS (
+    SELECT 0, tree, (SELECT count(*) FROM subroots), digest FROM subroots
+    UNION ALL
+    SELECT h + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx))
+    FROM tops WHERE n > 1 GROUP BY h, idx // 3, (n + 2) // 3),
+steps(h, tree, idx, subroot, acc, seen) AS (
+    SELECT 0, l.tree, l.idx, s.digest, tampered, ''
+    FROM leaves l JOIN subroots s USING (tree)
+    UNION ALL
+    SELECT h + 1, tree, idx, subroot, sha256(lefts || acc || rights), seen || lefts || rights
+    FROM (
+        SELECT s.h, s.tree, s.idx, s.subroot, s.acc, s.seen,
+            coalesce(string_agg(k.digest, '' ORDER BY k.idx) FILTER (k.idx < s.idx // pow(3, s.h)::BIGINT), '') AS lefts,
+            coalesce(string_agg(k.digest, '' ORDER BY k.idx) FILTER (k.idx > s.idx // pow(3, s.h)::BIGINT), '') AS rights
+        FROM steps s JOIN nodes k ON k.tree = s.tree AND k.h = s.h AND k.n > 1 AND k.idx // 3 = s.idx // pow(3, s.h + 1)::BIGINT
+        GROUP BY ALL)),
+lower_ AS (SELECT s.* FROM steps s JOIN subroots r ON r.tree = s.tree AND r.height = s.h),
+upper_(h, tree, idx, subroot, acc, seen) AS (
+    SELECT 0, tree, idx, subroot, acc, seen FROM lower_
+    UNION ALL
+    SELECT h + 1, tree, idx, subroot, sha256(lefts || acc || rights), seen || lefts || rights
+    FROM (
+        SELECT s.h, s.tree, s.idx, s.subroot, s.acc, s.seen,
+            coalesce(string_agg(k.digest, '' ORDER BY k.idx) FILTER (k.idx < s.tree // pow(3, s.h)::BIGINT), '') AS lefts,
+            coalesce(string_agg(k.digest, '' ORDER BY k.idx) FILTER (k.idx > s.tree // pow(3, s.h)::BIGINT), '') AS rights
+        FROM upper_ s JOIN tops k ON k.h = s.h AND k.n > 1 AND k.idx // 3 = s.tree // pow(3, s.h + 1)::BIGINT
+        GROUP BY ALL)),
+root_ AS (SELECT h, digest FROM tops WHERE n = 1)
+SELECT doc_id, leaf, subroot, digest AS root, sha256(seen) AS proof_sha256, acc AS folded_root, acc = digest AS verified
+FROM leaves JOIN upper_ u USING (tree, idx) JOIN root_ r ON r.h = u.h
+"""
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of a short ASCII text in SQL, one shift per bit."""
+    byte = f"list_reduce([c] || range(8), lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    table_ = f"list_transform(range(256), lambda c: {byte})"
+    codes = f"list_transform(string_split({text}, ''), lambda d: ascii(d)::BIGINT)"
+    return f"xor(4294967295, list_reduce([4294967295] || {codes}, lambda x, d: xor(x >> 8, ({table_})[(xor(x, d) & 255) + 1])))"
+
+
+def manifest_sql() -> str:
+    fields = lambda text: " || ".join(
+        f"coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')"
+        for c in ("doc_id", "source", "lang", "n_chars", text)
+    )
+    filled = MANIFEST_SQL.replace("FIELDS_TEXT", fields("text")).replace("FIELDS_CHANGED", fields("changed"))
+    return filled.replace("CRC", crc32_sql("doc_id::VARCHAR"))
+
+
+@query("op12_merkle_manifest", manifest_sql())
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests, proofs and the check of a tampered copy for every document."""
+    docs = table(spark, folder, "documents")
+    named = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lost = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit("")))
+    hashed = docs.select(
+        "doc_id",
+        "source",
+        row_digest([*named, F.col("text")]).alias("leaf"),
+        row_digest([*named, F.coalesce(lost, F.col("text"))]).alias("tampered"),
+    )
+    manifest = build_manifest(hashed, "source", ["doc_id"])
+    folded = fold(F.col("tampered"), F.col("proof"))
+    return manifest.select(
+        "doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
