@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from metricweave.operators.numbering import number_rows
 
@@ -82,6 +82,58 @@ def split_half(
     return df.withColumn(name, F.when(shuffle_key(key, seed) <= cut, TRAIN).otherwise(TEST))
 
 
+def class_cuts(
+    df: DataFrame, key: Sequence[str], seed: int, by: str, bucket_rows: int = BUCKET_ROWS
+) -> list[tuple[object, str | None]]:
+    """The hash of the last row of each class's first half, as :func:`half_cut` finds it, for all classes at once.
+
+    The driver sees counts per class and hash prefix, so ``by`` must have few values.
+    """
+    hashed = df.select(F.col(by).alias("class"), shuffle_key(key, seed).alias("hash"))
+    digits, inside = HEX_DIGITS, hashed
+    # class -> rows wanted from the open bucket on, prefix of that bucket
+    left: dict[object, tuple[int, str]] = {}
+    while True:
+        sizes: dict[object, list[tuple[str, int]]] = {}
+        for kind, prefix, rows in inside.groupBy("class", F.substring("hash", 1, digits).alias("prefix")).count().collect():
+            sizes.setdefault(kind, []).append((prefix, rows))
+        largest = 0
+        for kind, buckets in sizes.items():
+            wanted = left[kind][0] if kind in left else sum(rows for _, rows in buckets) // 2
+            for prefix, rows in sorted(buckets):
+                if rows >= wanted:
+                    break
+                wanted -= rows
+            left[kind] = wanted, prefix
+            largest = max(largest, rows)
+        open_bucket = F.lit(False)
+        for kind, (_, prefix) in left.items():
+            open_bucket = open_bucket | (F.col("class").eqNullSafe(F.lit(kind)) & F.col("hash").startswith(prefix))
+        inside = hashed.where(open_bucket)
+        if largest <= bucket_rows or digits >= HASH_DIGITS:
+            break
+        digits += HEX_DIGITS
+    # one bucket per class
+    places = inside.withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy("hash")))
+    last = F.lit(False)
+    for kind, (wanted, _) in left.items():
+        last = last | (F.col("class").eqNullSafe(F.lit(kind)) & (F.col("place") == wanted))
+    cuts = dict(places.where(last).select("class", "hash").collect())
+    return [(kind, cuts.get(kind)) for kind in left]
+
+
+def split_half_by(df: DataFrame, key: Sequence[str], seed: int, by: str, name: str = "half") -> DataFrame:
+    """The first ⌊n/2⌋ rows of every class in the permutation are ``train``, the rest ``test``.
+
+    ``key`` identifies a row; null is a class like others. The table is not shuffled.
+    """
+    first = F.lit(False)
+    for kind, cut in class_cuts(df, key, seed, by):
+        if cut is not None:
+            first = first | (F.col(by).eqNullSafe(F.lit(kind)) & (shuffle_key(key, seed) <= cut))
+    return df.withColumn(name, F.when(first, TRAIN).otherwise(TEST))
+
+
 def row_total(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1))).scalar()
 

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from metricweave.operators.sampling import TEST, TRAIN, split_half_by
+from metricweave.session import store
+
 # Units of the hidden layers and the number of classes.
 HIDDEN = (10, 20, 10)
 CLASSES = 3
@@ -43,3 +47,41 @@ def fit_layered_classifier(
 
 def accuracy(predicted: DataFrame, label: str = "label") -> float:
     return MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy").evaluate(predicted)
+
+
+def confusion(predicted: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """``label, prediction, rows`` for every pair that occurs."""
+    pair = [F.col(c).cast("int").alias(n) for c, n in ((label, "label"), (prediction, "prediction"))]
+    return predicted.select(*pair).groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def judge_classifier(
+    df: DataFrame,
+    features: Sequence[str],
+    label: str,
+    key: Sequence[str],
+    seed: int = 0,
+    hidden: Sequence[int] = HIDDEN,
+    steps: int = 100,
+) -> tuple[PipelineModel, DataFrame]:
+    """Fit on one half of every class, judge on the other; the fitted steps and the confusion table.
+
+    Classes are the integers from 0 to the largest label. Features are centred and
+    scaled by what the fitted half shows; a row with a missing feature or label takes
+    no part.
+    """
+    known = df.select(*dict.fromkeys([*key, *features, label])).dropna(subset=[*features, label])
+    halves = store(split_half_by(known, key, seed, label), "halves")
+    classes = (halves.agg(F.max(label)).first()[0] or 0) + 1
+    trained = halves.where(F.col("half") == TRAIN)
+    steps_ = Pipeline(
+        stages=[
+            VectorAssembler(inputCols=list(features), outputCol="_raw"),
+            StandardScaler(inputCol="_raw", outputCol="features", withMean=True),
+            MultilayerPerceptronClassifier(
+                layers=[len(features), *hidden, classes], labelCol=label, maxIter=steps, seed=seed
+            ),
+        ]
+    )
+    model = steps_.fit(trained)
+    return model, confusion(model.transform(halves.where(F.col("half") == TEST)), label)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -27,26 +28,31 @@ class ClippedLinear:
     weights: tuple[float, ...]
     intercept: float
     upper: float | None = None
-    missing: float = float(MISSING)
+    missing: float | None = None
 
     def predict(self) -> Column:
-        """The prediction as a plain column expression."""
+        """The prediction as a plain column expression; a missing feature counts as ``missing``, else it gives null."""
         total = F.lit(self.intercept)
         for name, weight in zip(self.features, self.weights):
-            total = total + F.coalesce(F.col(name).cast("double"), F.lit(self.missing)) * F.lit(weight)
+            total = total + _filled(name, self.missing) * F.lit(weight)
         return clamp(total, 0.0, self.upper)
 
     def transform(self, df: DataFrame, name: str = "prediction") -> DataFrame:
         return df.withColumn(name, self.predict())
 
 
+def _filled(name: str, missing: float | None) -> Column:
+    value = F.col(name).cast("double")
+    return value if missing is None else F.coalesce(value, F.lit(float(missing)))
+
+
 def fit_relu_regression(
     df: DataFrame,
     features: Sequence[str],
     label: str = "label",
     l2: float = 0.0,
     upper: float | None = None,
-    missing: float = MISSING,
+    missing: float | None = None,
 ) -> ClippedLinear:
     """Least squares on the features, then a relu on the prediction.
 
@@ -54,16 +60,86 @@ def fit_relu_regression(
     The solver sums the normal equations over all executors in one pass; only
     the coefficients reach the driver. ``l2`` adds ``l2·‖w‖²/2`` on the weights
     as given, not on standardised ones. A missing feature counts as ``missing``,
-    here and in the prediction; rows without a label take no part in the fit.
+    here and in the prediction; without that, its row takes no part in the fit,
+    as a row without a label does not. The minimiser under the relu itself is
+    :func:`fit_under_relu`.
     """
-    present = [F.coalesce(F.col(c).cast("double"), F.lit(float(missing))).alias(c) for c in features]
-    assembled = VectorAssembler(inputCols=list(features), outputCol="_x").transform(
-        df.where(F.col(label).isNotNull()).select(*present, F.col(label).cast("double").alias("_y"))
-    )
+    rows = _complete(df, features, label, missing)
+    assembled = VectorAssembler(inputCols=list(features), outputCol="_x").transform(rows)
     # the trainer scales the label first, which divides its penalty by the label's deviation
     penalty = l2 * (assembled.agg(F.stddev_pop("_y")).first()[0] or 0.0) if l2 else 0.0
     model = LinearRegression(featuresCol="_x", labelCol="_y", regParam=penalty, standardization=False).fit(assembled)
-    return ClippedLinear(tuple(features), tuple(map(float, model.coefficients)), float(model.intercept), upper, float(missing))
+    return ClippedLinear(tuple(features), tuple(map(float, model.coefficients)), float(model.intercept), upper, missing)
+
+
+def _complete(df: DataFrame, features: Sequence[str], label: str, missing: float | None) -> DataFrame:
+    """The features and ``_y`` as doubles, rows with a null left out."""
+    present = [_filled(c, missing).alias(c) for c in features]
+    return df.select(*present, F.col(label).cast("double").alias("_y")).dropna()
+
+
+# A step is tried whole and halved so many times, all in one aggregation.
+HALVINGS = 10
+# An improvement below this share of the cost ends the fit.
+SETTLED = 1e-12
+
+
+def fit_under_relu(
+    df: DataFrame,
+    features: Sequence[str],
+    label: str = "label",
+    upper: float | None = None,
+    missing: float | None = None,
+    rounds: int = 50,
+) -> ClippedLinear:
+    """A clipped line that no small change makes cheaper, clipping included.
+
+    Where labels sit on the bound, plain least squares bends the line to reach them.
+    Here only active rows, those whose line lies between the bounds, pull on it. From
+    the plain line on, every round solves the normal equations of the active rows,
+    summed over the executors, and goes towards that line as far as lowers the cost
+    most, the whole way first, halves of it next; so no round raises the cost, and the
+    result never costs more than the plain line clipped. It ends when no step lowers
+    the cost, which is where the active rows no longer change. Features are centred
+    and scaled inside, so columns of very different size do no harm. The driver holds
+    sums of the features' number squared. The cost may have several valleys; this is
+    the one reached from the plain line.
+    """
+    names = list(features)
+    rows = store(_complete(df, names, label, missing), "relu")
+    plain = fit_relu_regression(rows, names, "_y")
+    moments = rows.agg(*[F.avg(c) for c in names], *[F.stddev_pop(c) for c in names]).first()
+    centre = np.array([m or 0.0 for m in moments[: len(names)]])
+    spread = np.array([s or 1.0 for s in moments[len(names) :]])
+    inputs = [(F.col(c) - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(names, centre, spread)] + [F.lit(1.0)]
+
+    def line(beta: np.ndarray) -> Column:
+        return sum((x * F.lit(float(b)) for x, b in zip(inputs[1:], beta[1:])), inputs[0] * F.lit(float(beta[0])))
+
+    def cost(beta: np.ndarray) -> Column:
+        return F.avg(F.pow(clamp(line(beta), 0.0, upper) - F.col("_y"), F.lit(2))) / 2
+
+    beta = np.append(np.array(plain.weights) * spread, plain.intercept + float(np.dot(plain.weights, centre)))
+    best = rows.agg(cost(beta)).first()[0]
+    pairs = [(i, j) for i in range(len(inputs)) for j in range(i + 1)]
+    for _ in range(rounds if best else 0):
+        active = (line(beta) > 0) & ((line(beta) < upper) if upper is not None else F.lit(True))
+        sums = [F.sum(inputs[i] * inputs[j]) for i, j in pairs] + [F.sum(x * F.col("_y")) for x in inputs]
+        found = rows.where(active).agg(*sums).first()
+        if found[0] is None:
+            break
+        normal = np.zeros((len(inputs), len(inputs)))
+        for (i, j), value in zip(pairs, found):
+            normal[i, j] = normal[j, i] = value
+        step = np.linalg.lstsq(normal, np.array(found[len(pairs) :]), rcond=None)[0] - beta
+        tried = [beta + step / 2**k for k in range(HALVINGS + 1)]
+        costs = rows.agg(*[cost(b) for b in tried]).first()
+        lowest = min(range(len(tried)), key=lambda k: costs[k])
+        if costs[lowest] >= best * (1 - SETTLED):
+            break
+        beta, best = tried[lowest], costs[lowest]
+    weights = beta[:-1] / spread
+    return ClippedLinear(tuple(names), tuple(map(float, weights)), float(beta[-1] - weights @ centre), upper, missing)
 
 
 def train_in_batches(
@@ -74,13 +150,14 @@ def train_in_batches(
     batch: int = 5,
     tail: str = "skip_last",
     unique: bool = True,
+    missing: float | None = None,
 ) -> tuple[ClippedLinear, DataFrame]:
     """Fit on the table, and the cost of each consecutive batch of it.
 
     With ``skip_last`` the closing batch and the remainder have no figure, as
     in a loop that stops one batch early.
     """
-    model = fit_relu_regression(df, features, label)
+    model = fit_relu_regression(df, features, label, missing=missing)
     measured = model.transform(df).select(*dict.fromkeys([*order, "prediction", label]))
     batches = assign_batches(measured, order, batch, tail, unique)
     return model, batch_metrics(batches, "prediction", label)
@@ -93,17 +170,20 @@ def train_from_csv(
     order: Sequence[str] = ("time",),
     label: str = "label",
     batch: int = 5,
+    features: Sequence[str] | None = None,
 ) -> tuple[ClippedLinear, DataFrame]:
     """The same from a headerless file whose positions are ``columns``.
 
-    Every column but the label is a feature; those in ``order`` are integers.
-    The label is addressed by name, so it is the column written as such. Rows
-    of one instant may be alike, hence the numbering that allows for copies.
+    Every column but the label is a feature, unless ``features`` names them; those
+    in ``order`` are integers. The label is addressed by name, so it is the column
+    written as such. A cell that is no number counts as the marker of a missing
+    value. Rows of one instant may be alike, hence the numbering that allows for copies.
     """
-    features = [c for c in columns if c != label]
+    features = [c for c in columns if c != label] if features is None else list(features)
     text = read_rows_csv(spark, path, len(columns)).toDF(*columns)
     numbers = text.withColumns({c: F.col(c).try_cast("bigint" if c in order else "double") for c in features})
-    return train_in_batches(split_label(numbers, label, features), features, order, batch=batch, unique=False)
+    typed = split_label(numbers, label, dict.fromkeys([*order, *features]))
+    return train_in_batches(typed, features, order, batch=batch, unique=False, missing=float(MISSING))
 
 
 def evaluate_split(
@@ -115,17 +195,19 @@ def evaluate_split(
     batch: int = 2,
     fit_on: str = "self",
     l2: float = 0.0,
+    missing: float | None = float(MISSING),
 ) -> DataFrame:
     """Shuffle, halve, scale, fit on ``train``; cost and match per full batch of each half.
 
     Result: ``half, batch, cost, match``. Each half is measured on its own
-    features and labels.
+    features and labels. ``missing`` stands for a missing feature, also for one
+    that does not vary and so has no scale.
     """
     # written once: halves, deviations, fit and places read these narrow rows, not the source
     rows = store(df.select(*dict.fromkeys([*key, *features, label])), "split")
     total = F.lit(rows.count()).cast("bigint")
     scaled = scale_by_std(split_half(rows, key, seed), features, fit_on=fit_on)
-    model = fit_relu_regression(scaled.where(F.col("half") == TRAIN), features, label, l2)
+    model = fit_relu_regression(scaled.where(F.col("half") == TRAIN), features, label, l2, missing=missing)
 
     # Only the batches need each row's place, so only this pass shuffles.
     size = F.lit(batch).cast("bigint")
