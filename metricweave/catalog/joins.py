@@ -7,12 +7,16 @@ from pyspark.sql import DataFrame, functions as F
 from metricweave.catalog.registry import Tables, query, with_points
 from metricweave.catalog.rows import APP, APP_NUMBER, CONTAINER_SQL, container_name
 from metricweave.functions.times import DAY_NS, floor_to
+from metricweave.operators.asof import join_latest
 from metricweave.operators.joins import align_feed, join_jobs, join_metrics, join_optional, union_series
-from metricweave.plans.unify import FEATURES, HOST_METRICS, unify, unify_series
+from metricweave.plans.unify import FEATURES, HOST_METRICS, container_rows, unify, unify_containers, unify_series
 from metricweave.schemas import CPU, MEM, NODE_MANAGER, Feed
 from metricweave.session import scratch_path
 from metricweave.sources.jdbc import job_history
+from metricweave.sources.layout import write_bucketed
 from metricweave.sources.series import read_series_json, scan_measurement
+from metricweave.streaming.series import series_stream, store_series, stored_points
+from metricweave.streaming.unify import unify_stream
 
 SOURCE = "ContainerResource_container_e17_"
 
@@ -95,9 +99,59 @@ def exported(df: DataFrame, name: str, feed: Feed, width: int) -> DataFrame:
     return df.select(F.to_json(F.struct(F.array(F.struct(F.array(series).alias("series"))).alias("results"))).alias("value"))
 
 
+def rounded_rows(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.round(c, 6) for c in ("cpu_8", "mem_2", "nm_39")}).select("time", *FEATURES, "label")
+
+
+@query("unify_stream", UNIFY_SQL)
+def _unify_stream(t: Tables):
+    """The same from three live feeds, joined under a watermark and run to their end."""
+
+    def live(feed: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(t.spark, label)
+        feed.write.parquet(path)
+        return t.spark.readStream.schema(feed.schema).parquet(path)
+
+    rows = unify_stream(live(cpu_feed(t), "cpu"), live(mem_feed(t), "mem"), live(nm_feed(t), "nm"), jobs_table(t))
+    out = scratch_path(t.spark, "unified-live")
+    run = (
+        rows.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+        .option("checkpointLocation", f"{out}/progress").option("path", f"{out}/rows").start()
+    )
+    run.awaitTermination()
+    return rounded_rows(t.spark.read.schema(rows.schema).parquet(f"{out}/rows"))
+
+
+@query("unify_bucketed", UNIFY_SQL)
+def _unify_bucketed(t: Tables):
+    """The same from feeds stored bucketed by time and host, whose joins move no row."""
+    feeds = {"cpu": cpu_feed(t), "mem": mem_feed(t), "nm": container_rows(nm_feed(t))}
+    buckets = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    tables = [
+        write_bucketed(df, scratch_path(t.spark, name).rpartition("/")[2].replace("-", "_"), buckets=buckets)
+        for name, df in feeds.items()
+    ]
+    return rounded_rows(unify_containers(*tables, jobs_table(t)))
+
+
 @query("unify_series", UNIFY_SQL)
 def _unify_series(t: Tables):
     """The same from exported results, where single cores and other sources stand beside the feeds."""
+    path = exported_feeds(t)
+    return rounded_rows(unify_series(read_series_json(t.spark, path), jobs_table(t)))
+
+
+@query("series_stream", UNIFY_SQL)
+def _series_stream(t: Tables):
+    """The same from results read as a live source, which sets a line that is no result aside."""
+    path, out = exported_feeds(t), scratch_path(t.spark, "live")
+    t.spark.createDataFrame([('{"results": [',), ('{"error": "timeout"}',)], "value string").write.mode("append").text(path)
+    store_series(series_stream(t.spark, path), f"{out}/rows", f"{out}/progress").awaitTermination()
+    return rounded_rows(unify_series(stored_points(t.spark, f"{out}/rows"), jobs_table(t)))
+
+
+def exported_feeds(t: Tables) -> str:
+    """The three feeds as exported results, other tags beside them; the folder."""
     tagged = lambda tag: cpu_feed(t).withColumn("tag", F.lit(tag))
     other = nm_feed(t).withColumn("nm_100", F.lit("JvmMetrics"))
     lines = [
@@ -109,9 +163,7 @@ def _unify_series(t: Tables):
     ]
     path = scratch_path(t.spark, "exported")
     union_series(lines).write.text(path)
-    rows = unify_series(read_series_json(t.spark, path), jobs_table(t))
-    rounded = {c: F.round(c, 6) for c in ("cpu_8", "mem_2", "nm_39")}
-    return rows.withColumns(rounded).select("time", *FEATURES, "label")
+    return path
 
 
 def daily_points(t: Tables, measurement: str) -> DataFrame:
@@ -189,3 +241,43 @@ def _jobs(t: Tables):
     app = F.format_string(f"application_{APP_NUMBER}", F.expr(APP))
     rows = t.points.select("event_id", "value", app.alias("app_id"))
     return join_jobs(rows, jobs_table(t)).select("event_id", "value", "app_id", "job_value")
+
+
+# Three days, in nanoseconds: how old a view may be to count for a click.
+TOLERANCE = 3 * DAY_NS
+LATEST_SQL = """clicks AS (SELECT event_id, time, host, value FROM points WHERE measurement = 'click'),
+views AS (SELECT time AS seen, host, event_id AS view_id, k AS view_k FROM points WHERE measurement = 'view')"""
+
+
+@query(
+    "join_latest",
+    with_points(
+        LATEST_SQL
+        + f""" SELECT event_id, time, c.host, value, CASE WHEN time - seen <= {TOLERANCE} THEN view_id END AS view_id,
+            CASE WHEN time - seen <= {TOLERANCE} THEN view_k END AS view_k, CASE WHEN time - seen <= {TOLERANCE} THEN seen END AS view_time
+        FROM clicks c ASOF LEFT JOIN views v ON c.host = v.host AND c.time >= v.seen"""
+    ),
+)
+def _latest_view(t: Tables):
+    """Each click with its host's last view of at most three days before."""
+    clicks = scan_measurement(t.points, "click").select("event_id", "time", "host", "value")
+    views = scan_measurement(t.points, "view").select(
+        "time", "host", F.col("event_id").alias("view_id"), F.col("k").alias("view_k")
+    )
+    return join_latest(clicks, views, tolerance=TOLERANCE, right_time="view_time")
+
+
+@query(
+    "join_latest_feed",
+    with_points(
+        LATEST_SQL
+        + """ SELECT event_id, time, 'all' AS feed, view_id, view_k
+        FROM clicks c ASOF JOIN views v ON c.time >= v.seen"""
+    ),
+)
+def _latest_feed(t: Tables):
+    """One key holds every row: all clicks against the last view of the whole feed."""
+    feed = F.lit("all").alias("feed")
+    clicks = scan_measurement(t.points, "click").select("event_id", "time", feed)
+    views = scan_measurement(t.points, "view").select("time", feed, F.col("event_id").alias("view_id"), F.col("k").alias("view_k"))
+    return join_latest(clicks, views, by=["feed"], how="inner")

@@ -8,6 +8,8 @@ from metricweave.catalog.registry import Tables, query, with_points
 from metricweave.functions.times import DAY_NS, timestamp_to_epoch
 from metricweave.operators.grouping import column_std, group_series, row_count
 from metricweave.operators.joins import union_series
+from metricweave.session import scratch_path
+from metricweave.sources.layout import scan_stored, write_measurements
 from metricweave.sources.series import first_n_per_series, scan_measurement, scan_measurements
 
 # 2024-01-05 and 2024-01-20, in epoch nanoseconds
@@ -92,6 +94,21 @@ def _named_all(t: Tables):
     return scan_measurements(t.points, ["^cl"], ["purchase"]).select("event_id", "measurement", "value")
 
 
+@query(
+    "scan_stored",
+    with_points(
+        f"""SELECT event_id, measurement, time, value FROM points
+        WHERE (measurement = 'purchase' OR regexp_matches(measurement, '^cl')) AND time > {AFTER} AND time < {BEFORE}"""
+    ),
+)
+def _stored(t: Tables):
+    """Names by pattern and a time range on the stored layout, where both choose the folders that are read."""
+    path = scratch_path(t.spark, "measurements")
+    write_measurements(t.points.select("event_id", "measurement", "time", "value"), path)
+    found = scan_stored(t.spark, path, ["^cl"], ["purchase"], AFTER, BEFORE)
+    return found.select("event_id", "measurement", "time", "value")
+
+
 @query(
     "first_per_host",
     with_points(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from metricweave.functions import ids
 from metricweave.functions.numeric import int_label
-from metricweave.operators.joins import join_jobs, join_metrics
+from metricweave.operators.joins import KEY, join_jobs, join_metrics
 from metricweave.operators.projection import fill_missing, flatten_unified
 from metricweave.schemas import CPU, MEM, MISSING, NODE_MANAGER, UNIFIED_LABEL
 from metricweave.sources.series import feed_rows
@@ -25,7 +27,9 @@ def container_rows(nm: DataFrame) -> DataFrame:
     )
 
 
-def unify(cpu: DataFrame, mem: DataFrame, nm: DataFrame, jobs: DataFrame, fill: int = MISSING) -> DataFrame:
+def unify(
+    cpu: DataFrame, mem: DataFrame, nm: DataFrame, jobs: DataFrame, fill: int = MISSING, on: Sequence[str] = KEY
+) -> DataFrame:
     """((cpu ⋈ mem) ⋈ nm on time and host) ⋈ jobs on application id.
 
     Feeds carry ``time``, ``host`` and their metrics, ``nm`` also the container
@@ -33,9 +37,16 @@ def unify(cpu: DataFrame, mem: DataFrame, nm: DataFrame, jobs: DataFrame, fill:
     host is dropped and the ids become numbers. The first two joins share their
     key, so one partitioning of the joined rows serves both.
     """
-    hosts = join_metrics(fill_missing(cpu, fill, CPU.metric_names()), fill_missing(mem, fill, MEM.metric_names()))
-    containers = container_rows(fill_missing(nm, fill, [*NODE_MANAGER.metric_names(), SOURCE]))
-    joined = join_jobs(join_metrics(hosts, containers), jobs)
+    return unify_containers(cpu, mem, container_rows(fill_missing(nm, fill, [SOURCE])), jobs, fill, on)
+
+
+def unify_containers(
+    cpu: DataFrame, mem: DataFrame, containers: DataFrame, jobs: DataFrame, fill: int = MISSING, on: Sequence[str] = KEY
+) -> DataFrame:
+    """:func:`unify` where the container feed already has its bare host and ``app_id``."""
+    hosts = join_metrics(fill_missing(cpu, fill, CPU.metric_names()), fill_missing(mem, fill, MEM.metric_names()), on)
+    metrics = fill_missing(containers, fill, NODE_MANAGER.metric_names())
+    joined = join_jobs(join_metrics(hosts, metrics, on), jobs)
     return flatten_unified(joined).select(
         "time",
         *HOST_METRICS,

@@ -25,21 +25,27 @@ def read_series_json(
     """
     reader = spark.read.schema(SERIES_RESULT).option("mode", "FAILFAST").option("multiLine", pretty)
     lines = reader.json(path)
-    results = F.coalesce("results", F.array().cast(SERIES_RESULT["results"].dataType))
-    errors = F.concat(F.array(F.col("error")), F.transform(results, lambda r: r["error"]))
-    error = F.array_join(F.array_compact(errors), "; ")
+    series, fault = judged_result(F.col("results"), F.col("error"), allow_partial)
+    found = lines.select(F.inline(F.when(fault.isNotNull(), F.raise_error(fault)).otherwise(series)))
+    return found.select("name", "tags", "columns", F.explode("values").alias("values"))
+
+
+_SERIES = SERIES_RESULT["results"].dataType.elementType["series"].dataType
+
+
+def judged_result(results: Column, error: Column, allow_partial: bool = False) -> tuple[Column, Column]:
+    """All series of a query result, and what is wrong with it (null: nothing)."""
+    results = F.coalesce(results, F.array().cast(SERIES_RESULT["results"].dataType))
+    errors = F.concat(F.array(error), F.transform(results, lambda r: r["error"]))
+    told = F.array_join(F.array_compact(errors), "; ")
     series = F.flatten(F.transform(results, lambda r: F.coalesce(r["series"], F.array().cast(_SERIES))))
     cut = F.exists(results, lambda r: F.coalesce(r["partial"], F.lit(False))) | F.exists(
         series, lambda s: F.coalesce(s["partial"], F.lit(False))
     )
-    checked = F.when(error != "", F.raise_error(F.concat(F.lit("query result with an error: "), error)))
+    fault = F.when(told != "", F.concat(F.lit("query result with an error: "), told))
     if not allow_partial:
-        checked = checked.when(cut, F.raise_error(F.lit("query result was cut short")))
-    found = lines.select(F.inline(checked.otherwise(series)))
-    return found.select("name", "tags", "columns", F.explode("values").alias("values"))
-
-
-_SERIES = SERIES_RESULT["results"].dataType.elementType["series"].dataType
+        fault = fault.when(cut, F.lit("query result was cut short"))
+    return series, fault
 
 
 def feed_rows(points: DataFrame, measurement: str, feed: Feed, tags: Sequence[str] = ()) -> DataFrame:
@@ -135,7 +141,7 @@ def scan_measurements(
     if exact:
         keep = F.col(measurement).isin(*exact)
     for pattern in patterns:
-        keep = keep | F.col(measurement).rlike(pattern)
+        keep = keep | tag_matches(F.col(measurement), pattern)
     out = df.where(keep)
     if per_series_limit is None:
         return out

@@ -9,14 +9,11 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from metricweave.functions.times import floor_to
-from metricweave.operators.alerts import ALIVE, DEAD, THRESHOLD
+from metricweave.operators.alerts import ALIVE, DEAD, RUN, THRESHOLD
 
 # Fixed value: default interval of the heartbeat rule.
 INTERVAL = "10 seconds"
 
-# a long silence is reported in frames of this size
-ROWS_PER_FRAME = 50_000
-
 _STATE = "reported bigint, level string, slots array<bigint>, counts array<bigint>"
 
 
@@ -50,7 +47,9 @@ def deadman_stream(
     Points are first counted per (group, slot) inside each incoming Arrow
     batch, so what is shuffled to the group's task is a few counts per batch
     however many points one group sends. The state of a group is where its
-    reports end, its last level and the counts of its open slots.
+    reports end, its last level and the counts of its open slots. A silence,
+    however long, is one step of the group's function; its slots are made
+    afterwards.
     """
     step = pd.Timedelta(interval) // pd.Timedelta("1us")
     group = list(group)
@@ -65,12 +64,17 @@ def deadman_stream(
     )
     reported = partial.groupBy(*group).applyInPandasWithState(
         _close_slots(group, step, threshold, changes_only),
-        f"{keys}, slot bigint, emitted bigint, level string",
+        f"{keys}, first bigint, last bigint, emitted bigint, level string",
         _STATE,
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
-    return reported.withColumn("slot", F.timestamp_micros("slot"))
+    # a silence is one row up to here; it is cut into runs first, so that no array holds more than RUN slots
+    width = F.lit(step).cast("bigint")
+    runs = reported.withColumn("_from", F.explode(F.sequence("first", "last", width * RUN)))
+    upto = F.least("last", F.col("_from") + width * (RUN - 1))
+    slots = runs.withColumn("slot", F.explode(F.sequence("_from", upto, width)))
+    return slots.select(*group, F.timestamp_micros("slot").alias("slot"), "emitted", "level")
 
 
 def _count_batches(group: list[str]):
@@ -84,7 +88,7 @@ def _count_batches(group: list[str]):
 
 
 def _close_slots(group: list[str], step: int, threshold: float, changes_only: bool):
-    names = [*group, "slot", "emitted", "level"]
+    names = [*group, "first", "last", "emitted", "level"]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         # reported: end of the last reported slot, null before the first report
@@ -99,17 +103,25 @@ def _close_slots(group: list[str], step: int, threshold: float, changes_only: bo
 
         slot = min(waiting) if reported is None else reported
         watermark = state.getCurrentWatermarkMs() * 1000
-        closed = []
-        while slot + step <= watermark:
-            emitted = waiting.pop(slot, 0)
+        closed, end = [], slot + max(0, (watermark - slot) // step) * step
+
+        def close(first: int, last: int, emitted: int) -> None:
+            nonlocal level
             now = DEAD if emitted <= threshold else ALIVE
-            if not changes_only or now != level:
-                closed.append((*key, slot, emitted, now))
-            level, slot = now, slot + step
-            reported = slot
-            if len(closed) == ROWS_PER_FRAME:
-                yield pd.DataFrame(closed, columns=names)
-                closed = []
+            if not changes_only:
+                closed.append((*key, first, last, emitted, now))
+            elif now != level:
+                closed.append((*key, first, first, emitted, now))
+            level = now
+
+        for at in sorted(s for s in waiting if s < end):
+            if slot < at:
+                close(slot, at - step, 0)
+            close(at, at, waiting.pop(at))
+            slot = reported = at + step
+        if slot < end:
+            close(slot, end - step, 0)
+            slot = reported = end
         state.update((reported, level, list(waiting), list(waiting.values())))
         # fires once the watermark passes the end of the open slot
         state.setTimeoutTimestamp((slot + step) // 1000)
