@@ -67,7 +67,7 @@ def tile_anchors(anchors: DataFrame, seed: int, tile_rows: int) -> DataFrame:
     count = anchors.count()
     vectors = anchors.withColumn("raw", array_to_vector(F.col("ints").cast("array<double>")))
     unit = Normalizer(inputCol="raw", outputCol="features").transform(vectors)
-    clusters = max(1, math.isqrt(count))
+    clusters = max(2, math.isqrt(count))
     model = KMeans(k=clusters, seed=seed, maxIter=CLUSTER_PASSES, predictionCol="cluster").fit(unit.select("features"))
     named = model.transform(unit).drop("raw", "features")
     numbered = number_rows(named, ["cluster", "row"], "place")

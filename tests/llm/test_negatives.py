@@ -1,0 +1,138 @@
+"""Mined negatives against all scores, and the walk on its own."""
+
+from __future__ import annotations
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from metricweave.llm import negatives
+from metricweave.llm.catalog import LLM_QUERIES
+from metricweave.llm.negatives import mine_negatives, shared_list, walk
+
+
+def usable(vector):
+    return vector is not None and all(x is not None and math.isfinite(x) for x in vector)
+
+
+def plain(rows, anchors, keep=5):
+    """Sorted result rows from (vec_id, vector, label) rows, by all scores in exact integers."""
+    known = [(i, [math.floor(256 * float(x)) for x in v], l) for i, v, l in rows if i is not None and l is not None and usable(v)]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    out = []
+    for at, (i, v, label) in enumerate(known):
+        if not anchors(i):
+            continue
+        scored = [(-dot(v, w), j, l) for n, (j, w, l) in enumerate(known) if n != at]
+        first = sorted((s, j) for s, j, l in scored if l == label)[:keep]
+        for s, j in first:
+            fits = sorted((t, k) for t, k, l in scored if l != label and 80 * -s <= 100 * -t <= 100 * -s)[:keep]
+            out += [(i, j, rank + 1, k, -s, -t) for rank, (t, k) in enumerate(fits)]
+    return sorted(out)
+
+
+def mined(spark, rows, is_anchor="vec_id % 10 = 0", **options):
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    return sorted(tuple(r) for r in mine_negatives(df, F.expr(is_anchor), **options).collect())
+
+
+def clustered(rng, count, width, spread):
+    centres = [[rng.gauss(0, 1) for _ in range(width)] for _ in range(6)]
+    points = [[float(np.float32(c + rng.gauss(0, spread))) for c in rng.choice(centres)] for _ in range(count)]
+    return [(i, v, rng.randrange(3)) for i, v in enumerate(points)]
+
+
+@pytest.mark.parametrize("seed, spread", [(1, 0.05), (2, 0.6), (3, 2.0)])
+@pytest.mark.parametrize("sizes", [{}, {"block_rows": 60, "tile_rows": 7}])
+def test_against_all_scores(spark, seed, spread, sizes):
+    rows = clustered(random.Random(seed), 260, 8, spread)
+    got = mined(spark, rows, **sizes)
+    assert got == plain(rows, lambda i: i % 10 == 0) and len(got) > 100
+
+
+def test_ties_and_copies(spark):
+    """A third of the rows share one vector, and scores are few."""
+    rng = random.Random(6)
+    rows = [(i, [1.0, 0.5] if i % 3 == 0 else [float(rng.randrange(3)), float(rng.randrange(3))], rng.randrange(2)) for i in range(180)]
+    rows += rows[:25]
+    assert mined(spark, rows, block_rows=40, tile_rows=6) == plain(rows, lambda i: i % 10 == 0)
+
+
+def test_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (0, [1.0, 1.0], 1), (0, [1.0, 1.0], 1), (1, None, 1), (2, [None, 1.0], 1), (3, [nan, 1.0], 2), (4, [inf, 0.0], 2),
+        (5, [1.0, 0.9], None), (None, [1.0, 1.0], 2), (6, [1.0, 0.8], 2), (7, [1.0, 0.8], 1), (8, [], 2), (9, [0.5], 2),
+        (10, [0.0, 0.0], 2), (11, [-1.0, -1.0], 1), (20, [-0.001, 0.0], 3), (21, [0.9, 0.9], 2),
+    ]
+    assert mined(spark, rows) == plain(rows, lambda i: i % 10 == 0)
+    assert mined(spark, rows[:2]) == [] == mined(spark, []) == mined(spark, rows, "vec_id = 77")
+    lone = [(0, [1.0], 5), (1, [1.0], 6)]
+    assert mined(spark, lone) == []
+
+
+def test_large_components_stay_exact(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.uniform(-1, 1) * 4e6 for _ in range(3)], rng.randrange(2)) for i in range(80)]
+    exact = [(i, [float(np.float32(x)) for x in v], l) for i, v, l in rows]
+    got = mined(spark, exact)
+    assert got == plain(exact, lambda i: i % 10 == 0) and max(r[4] for r in got) > 2**53
+    # a length that a bigint score cannot hold leaves the row out
+    far = [*exact, (100, [1e30, 0.0, 0.0], 1)]
+    assert mined(spark, far) == got
+
+
+def test_extra_columns_are_not_read(spark):
+    df = spark.createDataFrame([(i, [1.0, i / 50], i % 2, "x", 1) for i in range(30)], "vec_id bigint, embedding array<double>, label int, row string, block int")
+    got = mine_negatives(df, F.col("vec_id") % 10 == 0)
+    assert got.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"] and got.count() > 0
+
+
+def test_query(spark, sf_dir):
+    rows = [(r["vec_id"], r["embedding"], (r["label"] + 1) % 10 if r["vec_id"] % 7 == 0 else r["label"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    got = sorted(tuple(r) for r in LLM_QUERIES["op13_hard_negatives"](spark, sf_dir).collect())
+    assert got == plain(rows, lambda i: i % 100 == 0) and got
+
+
+def test_bounds_hold_for_every_member():
+    rng = np.random.default_rng(1)
+    members = rng.normal(size=(20, 6)) + 2
+    others = np.concatenate([rng.normal(size=(300, 6)), members[:5], np.zeros((2, 6)), -members[:3]])
+    order, bounds, lengths = shared_list(members, others)
+    assert sorted(order) == list(range(len(others))) and (np.diff(bounds) <= 0).all()
+    assert np.allclose(lengths, np.linalg.norm(others, axis=1)[order])
+    scores = members @ others[order].T
+    assert (scores <= np.linalg.norm(members, axis=1)[:, None] * (bounds + 1e-9)[None, :]).all()
+
+
+def test_walk_ends_early_and_exactly(monkeypatch):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=16)
+    near = np.round((centre + rng.normal(size=(400, 16)) * 0.1) * 256).astype(np.int64)
+    far = np.round(rng.normal(size=(20_000, 16)) * 40).astype(np.int64)
+    members, others = near[:30], np.concatenate([near[30:], far])
+    ids, taken = rng.permutation(len(others)), []
+    products = negatives._products
+    monkeypatch.setattr(negatives, "_products", lambda a, b: taken.append(a.shape[0] * b.shape[0]) or products(a, b))
+    every = lambda m, c: np.ones((len(m), len(c)), bool)
+    lows, highs = np.full((30, 1), negatives.LOWEST), np.full((30, 1), negatives.HIGHEST)
+    member, window, score, place = walk(members, lows, highs, others, ids, every, 5)
+    assert sum(taken) < 0.1 * members.shape[0] * others.shape[0]
+    scores = members @ others.T
+    for m in range(30):
+        best = np.lexsort((ids, -scores[m]))[:5]
+        assert list(place[member == m]) == list(best) and list(score[member == m]) == list(scores[m][best])
+
+
+def test_no_cell_outgrows_its_task(spark, monkeypatch):
+    monkeypatch.setattr(negatives, "store", lambda df, label, real=negatives.store: kept.append((label, real(df, label))) or kept[-1][1])
+    kept = []
+    rows = [(i, [1.0, 0.0], i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    mine_negatives(df, F.expr("vec_id % 4 = 0"), block_rows=50, tile_rows=30)
+    tiles = next(d for label, d in kept if label == "tiles")
+    assert max(r["count"] for r in tiles.groupBy("tile").count().collect()) == 30
+    assert tiles.select("tile").distinct().count() == 4
