@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from metricweave.llm.decontaminate import find_contamination
@@ -18,7 +17,7 @@ from metricweave.llm.repeats import remove_repeats
 from metricweave.llm.secrets import find_secrets, fit_forest, label_findings
 from metricweave.llm.sharding import record_size, shuffle_into_shards, text_crc32
 from metricweave.llm.simhash import near_duplicates
-from metricweave.llm.urls import TRACKING, filter_urls, host_of
+from metricweave.llm.urls import TRACKING, filter_urls
 from metricweave.llm.wrappers import extract_articles
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,8 +97,8 @@ URL_RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-#: Words in the host name by which the query's list of URLs is gathered from ``pages``.
-LISTED_HOSTS = "spam|casino|pills|bets|ads-track"
+#: The query's list holds the canonical URLs of all tracked links in ``pages``.
+LISTED_LINKS = "[?&]utm_source="
 
 URL_SQL = r"""
 WITH cut AS (
@@ -117,7 +116,7 @@ keyed AS (
         regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www\.', '') || regexp_replace(path, '/+$', '')
         || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS key
     FROM canon),
-list AS (SELECT DISTINCT key FROM keyed WHERE regexp_matches(host, 'LISTED') AND key IS NOT NULL),
+list AS (SELECT DISTINCT key FROM keyed WHERE regexp_matches(u, 'LISTED') AND key IS NOT NULL),
 rules(verdict, rule, site, start) AS (VALUES
     ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'),
     ('allow', 'www.example.com/en/', 'www.example.com', '/en/'), ('block', 'net/es/', 'net', '/es/'),
@@ -133,11 +132,11 @@ FROM fit
 """
 
 
-@query("op9_url_filters", URL_SQL.replace("TRACKING", TRACKING).replace("LISTED", LISTED_HOSTS))
+@query("op9_url_filters", URL_SQL.replace("TRACKING", TRACKING).replace("LISTED", LISTED_LINKS))
 def op9_url_filters(spark: SparkSession, folder: str) -> DataFrame:
-    """Verdict on every page's URL; the list holds the URLs of hosts with a listed word."""
+    """Verdict on every page's URL; where no rule fits, the list of tracked links decides."""
     pages = table(spark, folder, "pages")
-    listing = pages.select("url").where(host_of(F.col("url")).rlike(LISTED_HOSTS))
+    listing = pages.select("url").where(F.col("url").rlike(LISTED_LINKS))
     return filter_urls(pages.select("page_id", "url"), URL_RULES, listing).drop("url")
 
 
@@ -202,6 +201,8 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_packing")
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 4096 tokens."""
+    import public_tokenizers  # only this query needs the vocabulary files
+
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 

@@ -116,7 +116,8 @@ def measure(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     blank = "[ \\t-\\r]*"
 
     def of(words: Column, lines: Column) -> Column:
-        told = F.filter(lines, lambda line: ~line.rlike(f"^{blank}$"))
+        # $ would also match before a line end that is no line feed, which is a word here
+        told = F.filter(lines, lambda line: line.rlike("[^ \\t-\\r]"))
         lacking = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))).cast("bigint")
         return F.struct(
             _size(words).alias("n_words"),
@@ -128,7 +129,7 @@ def measure(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
             lacking("!").alias("n_exclaims"),
             _size(F.filter(words, lambda w: F.lower(w).isin(*stop_words))).alias("n_stop_words"),
             _size(F.filter(told, lambda x: x.rlike(f"^{blank}(?:[-*•‣◦·])[ \\t-\\r]"))).alias("n_bullet_lines"),
-            _size(F.filter(told, lambda x: x.rlike(f"(?:…|\\.\\.\\.){blank}$"))).alias("n_ellipsis_lines"),
+            _size(F.filter(told, lambda x: x.rlike(f"(?:…|\\.\\.\\.){blank}\\z"))).alias("n_ellipsis_lines"),
         )
 
     parts = F.struct(space_words(text).alias("words"), F.split(text, "\n", -1).alias("lines"))

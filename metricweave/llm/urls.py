@@ -3,8 +3,8 @@
 The list is tested in two steps. A blocked Bloom filter, one 64-bit word per
 block and several bits of it per listed URL, lets through every listed URL and
 a small share of the others; only those go to an exact hash join, which removes
-the false positives. The filter is a small table built by Spark itself, so it
-is broadcast only while its counted size stays below a bound.
+the false positives. The filter is a table built by Spark itself: it is broadcast
+while its counted size stays below a bound, and joined by block beyond it.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from metricweave.llm.columns import ascii_lower, quoted, whole, with_columns
 
 #: Listed URLs per 64-bit block, on average, and bits set per URL.
 PER_BLOCK, BITS = 4, 4
-#: Above so many blocks (24 bytes each) the filter is not broadcast; the join alone decides.
+#: Up to so many blocks (24 bytes each) the filter is broadcast.
 MAX_BLOCKS = 4_000_000
 TRACKING = "utm_[a-z]+|gclid|fbclid|msclkid|ref"
 
@@ -93,22 +93,17 @@ def listed(df: DataFrame, url: str, listing: DataFrame, listed_url: str, name: s
     blocks = -(-entries // PER_BLOCK)
     columns = [quoted(c) for c in df.columns if c.lower() != name.lower()]
     found = wanted.withColumn("_found", F.lit(True))
-    if blocks > MAX_BLOCKS:
-        return _joined(keyed.where("_url IS NOT NULL"), found, columns, name).unionByName(
-            keyed.where("_url IS NULL").select(*columns, F.lit(False).alias(name))
-        )
     words = bloom_filter(wanted, "_url", blocks).withColumnsRenamed({"block": "_block", "word": "_word"})
-    # at most MAX_BLOCKS rows
-    tested = keyed.withColumn("_block", _block(F.col("_url"), blocks)).join(F.broadcast(words), "_block", "left")
+    if blocks <= MAX_BLOCKS:
+        words = F.broadcast(words)
+    known = keyed.where("_url IS NOT NULL")
+    tested = known.withColumn("_block", _block(F.col("_url"), blocks)).join(words, "_block", "left")
     bits = _bits(F.col("_url"))
-    passes = F.coalesce(F.col("_word").bitwiseAND(bits) == bits, F.lit(False)) & F.col("_url").isNotNull()
-    hits = _joined(tested.where(passes), found, columns, name)
-    return hits.unionByName(tested.where(~passes).select(*columns, F.lit(False).alias(name)))
-
-
-def _joined(rows: DataFrame, found: DataFrame, columns: list[Column], name: str) -> DataFrame:
-    joined = rows.join(found, "_url", "left")
-    return joined.select(*columns, F.coalesce("_found", F.lit(False)).alias(name))
+    passes = F.coalesce(F.col("_word").bitwiseAND(bits) == bits, F.lit(False))
+    hits = tested.where(passes).join(found, "_url", "left").select(*columns, F.coalesce("_found", F.lit(False)).alias(name))
+    missed = tested.where(~passes).select(*columns, F.lit(False).alias(name))
+    # only possible hits are moved to the exact join; the others stay where they are
+    return hits.unionByName(missed).unionByName(keyed.where("_url IS NULL").select(*columns, F.lit(False).alias(name)))
 
 
 def filter_urls(

@@ -7,8 +7,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from compare import connect, differences
 from metricweave.llm import urls
-from metricweave.llm.catalog import LLM_QUERIES
+from metricweave.llm.catalog import LISTED_LINKS, LLM_ORACLES, LLM_QUERIES, URL_RULES
 from metricweave.llm.decontaminate import find_contamination
 from metricweave.llm.licenses import TEMPLATES, Templates, normal_words, scan_licenses, units
 from metricweave.llm.quality import METRICS, quality_rules
@@ -169,6 +170,35 @@ def test_quality_edges(spark):
     assert quality_rules(df.limit(0)).isEmpty()
 
 
+def test_line_ends_that_are_words(spark, tmp_path):
+    """U+0085, U+2028 and U+2029 are no white space here: lines of them count, in the operator and in its SQL."""
+    ends = ["\u0085", "\u2028", "\u2029"]
+    rows = [(i, f"{e}\nword\n{e}", "en", "s", 9) for i, e in enumerate(ends)]
+    rows += [(3, "\u0085", "en", "s", 1), (4, "a...\u0085\nb... \n \n", "en", "s", 1), (5, "- a\u2028\n\u2029- b", "en", "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r["doc_id"]: (r["n_words"], r["n_dup_lines"], r["n_lines"], r["n_ellipsis_lines"], r["n_bullet_lines"]) for r in quality_rules(df).collect()}
+    assert got == {0: (3, 1, 3, 0, 0), 1: (3, 1, 3, 0, 0), 2: (3, 1, 3, 0, 0), 3: (1, 0, 1, 0, 0), 4: (2, 0, 2, 1, 0), 5: (4, 0, 2, 0, 1)}
+    df.toPandas().to_parquet(tmp_path / "documents.parquet")
+    assert differences(LLM_QUERIES["op10_quality_rules"](spark, str(tmp_path)), connect(str(tmp_path)), LLM_ORACLES["op10_quality_rules"]) == []
+
+
+def test_the_list_decides_verdicts(spark, sf_dir):
+    """Where no rule fits, the verdict is the list's, also for another spelling of a listed URL."""
+    got = LLM_QUERIES["op9_url_filters"](spark, sf_dir).collect()
+    open_ = [r["verdict"] for r in got if r["rule"] is None]
+    assert 0 < open_.count("block") < len(open_) and "allow" in open_
+    df = spark.createDataFrame([("http://m.x.org/a?id=1&utm_source=feed",), ("https://M.x.org:443/a/?id=1#top",), ("http://m.x.org/a?id=2",)], "url string")
+    out = filter_urls(df, URL_RULES, df.where(F.col("url").rlike(LISTED_LINKS)))
+    assert sorted((r["url"], r["verdict"]) for r in out.collect()) == sorted(zip([r["url"] for r in df.collect()], ["block", "block", "allow"]))
+
+
+def test_very_long_urls(spark):
+    long = "http://h.org/" + "a/" * 200_000 + "?" + "&".join(f"k{i}=1" for i in range(5000)) + "&utm_source=x"
+    df = spark.createDataFrame([(long,), (long.replace("&utm_source=x", "#f"),), ("h" * 300_000,)], "url string")
+    out = filter_urls(df, URL_RULES, df.where(F.col("url").rlike(LISTED_LINKS))).collect()
+    assert [r["verdict"] for r in sorted(out, key=lambda r: r["url"])] == ["allow", "block", "block"]
+
+
 def test_canonical_urls(spark):
     given = {"HTTP://www.X.de:443/a//?ref=b&k=1&&utm_term=z": "x.de/a?k=1", "x://y": "y", "x://": None, "y": None}
     df = spark.createDataFrame([(u,) for u in given], "url string")
