@@ -6,7 +6,6 @@ predecessor kept; its result is written as Parquet and read again.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from metricweave.llm.columns import with_columns
@@ -43,6 +42,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 4096 tokens."""
+    import public_tokenizers  # only this stage needs the vocabulary files
+
     return pack(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
