@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from metricweave.session import store
+from metricweave.session import drop_scratch, store
 
 # monotonically_increasing_id: partition number above 33 bits of place
 PLACE_BITS = 33
@@ -33,9 +33,10 @@ def number_rows(
     in one partition. Tables of every size take the same way: one range sort
     and one written table.
     """
-    columns, keys = df.columns, list(order)
+    columns, keys, written = df.columns, list(order), None
     if not unique:
-        df = store(df, "rows").withColumn("_tie", F.monotonically_increasing_id())
+        written = store(df, "rows")
+        df = written.withColumn("_tie", F.monotonically_increasing_id())
         keys.append("_tie")
     placed = store(
         df.repartitionByRange(*keys).sortWithinPartitions(*keys).select(
@@ -43,6 +44,8 @@ def number_rows(
         ),
         "ordered",
     )
+    if written is not None:
+        drop_scratch(written)
     part = F.shiftright("_place", PLACE_BITS).cast("int").alias("_part")
     local = F.col("_place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)) + 1
     # one row per sort partition, whose number is a setting and not the data's

@@ -36,13 +36,24 @@ def build_session(app: str = "metricweave", master: str | None = None, **conf: s
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``, or one in the warehouse.
 
-    One rule for laptop and cluster. The warehouse is shared wherever tables can
-    be written, so it stands in where no checkpoint folder is named.
+    The warehouse is shared wherever tables can be written, so it stands in where no
+    checkpoint folder is named. A warehouse on the machine's own disk is shared with
+    executors in the driver's process only; on a cluster it is refused, since each
+    executor would write where no other one reads.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return folder_for(warehouse, spark.sparkContext.master, spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///"))
+
+
+def folder_for(warehouse: str, master: str, default_store: str) -> str:
+    """The scratch folder of a warehouse, if executors under ``master`` share it."""
+    scheme = warehouse.partition(":")[0] if re.match(r"[a-zA-Z][\w+.-]*:", warehouse) else default_store.partition(":")[0]
+    if scheme == "file" and not re.fullmatch(r"local(\[[^]]*\])?", master):
+        raise ValueError(f"executors do not share {warehouse}: set spark.checkpoint.dir to a folder of a common store")
+    return f"{warehouse}/_scratch"
 
 
 def drop_scratch(df: DataFrame) -> None:

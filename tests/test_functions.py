@@ -111,3 +111,14 @@ def test_metric_names(spark):
     assert got[0]["tags"] == {"Context": "jvm", "ProcessName": "NodeManager", "Hostname": "vagrant"}
     assert (got[1]["prefix"], got[1]["tags"], got[1]["leaf"]) == ("", {}, "plain")
     assert got[2]["tags"] == {"k": "1"} and got[3]["tags"] == {"empty": ""}
+
+
+def test_scratch_folder_is_one_that_executors_share():
+    from metricweave.session import folder_for
+
+    assert folder_for("file:/home/x/wh", "local[4]", "file:///") == "file:/home/x/wh/_scratch"
+    assert folder_for("hdfs://n/wh", "yarn", "file:///") == "hdfs://n/wh/_scratch"
+    assert folder_for("/wh", "spark://h:7077", "hdfs://n") == "/wh/_scratch"
+    for warehouse, master in (("file:/wh", "yarn"), ("/wh", "spark://h:7077"), ("file:///wh", "local-cluster[2,1,1024]")):
+        with pytest.raises(ValueError):
+            folder_for(warehouse, master, "file:///")
