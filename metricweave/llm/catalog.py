@@ -240,7 +240,7 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_html_extraction")
 def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
-    pages = extract_articles(table(spark, folder, "pages"))
+    pages = extract_articles(table(spark, folder, "pages").select("page_id", "url", "html"), keep_html=False)
     return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 

@@ -10,11 +10,14 @@ import pytest
 
 from metricweave.llm.catalog import LLM_QUERIES
 from metricweave.llm.dom import blocks, parse
-from metricweave.llm.wrappers import align, article_blocks, extract_articles, match, merge, skeleton
+from metricweave.llm.wrappers import (
+    GOES, MAY_GO, align, article_blocks, extract_articles, match, merge, read_tree, skeleton, write_tree,
+)
 
 
 def text_of(html: str) -> str:
-    return "\n".join(t for _, t, _ in article_blocks(parse(html)))
+    """The article of a page whose site has no other."""
+    return "\n".join(t for _, t, m in article_blocks(parse(html))[0] if not m & (MAY_GO | GOES))
 
 
 @pytest.mark.parametrize("html, expected", [
@@ -68,12 +71,77 @@ def test_all_parts_of_the_article_stay(page, expected):
     assert text_of(page) == expected
 
 
+LONG = "<p>A paragraph of the article that is long enough to be one.</p>"
+TOLD = "A paragraph of the article that is long enough to be one."
+
+
+@pytest.mark.parametrize("page, expected", [
+    # a main with the article's text, and one other article announced in it
+    (f"<main><h1>Title</h1>{LONG}{LONG}<article><h3><a href=x>Other</a></h3><p>Teaser</p></article></main>", ["Title", TOLD, TOLD]),
+    (f"<main><h1>Title</h1>{LONG}{LONG}<article class=teaser><p>Teaser</p></article></main>", ["Title", TOLD, TOLD]),
+    # other articles in a part beside
+    (f"<article><h1>T</h1>{LONG}</article><section class=related><article><h2>Other</h2>{LONG}{LONG}</article></section>", ["T", TOLD]),
+    (f"<article><h1>T</h1>{LONG}</article><div class=sidebar><article>{LONG}{LONG}</article></div>", ["T", TOLD]),
+    (f"<main><article><h1>T</h1>{LONG}</article><section class=related><article>{LONG}{LONG}</article></section></main>", ["T", TOLD]),
+    (f"<div class='page has-sidebar'><article><h1>T</h1>{LONG}</article><div class=sidebar><article>{LONG}{LONG}</article></div></div>", ["T", TOLD]),
+    # comments, one in the other, longer than the article
+    (f"<article><h1>T</h1><p>Short.</p></article><article class=comment>{LONG}<article class=comment>{LONG}</article></article>", ["T", "Short."]),
+    (f"<article><h1>T</h1><p>Short.</p><article class=comment>{LONG}<article class=comment>{LONG}</article></article></article>", ["T", "Short."]),
+    # names inside an article that say nothing against a part
+    *[(f"<article><h1>T</h1>{LONG}<{tag} {name}>{LONG}</{tag}></article>", ["T", TOLD, TOLD]) for tag, name in (
+        ("div", "class=form"), ("div", "class=text-share"), ("p", "class=alert"), ("section", "class=skip"),
+        ("section", "class=related-work"), ("section", "id=discussion"))],
+    (f"<article class=alert>{LONG}</article>", [TOLD]),
+    # those that do
+    (f"<article><h1>T</h1>{LONG}<div class=share><a>Mail</a> <a>Print</a></div><div class=related-posts><ul><li><a>Other post</a></ul></div>"
+     f"<div class='ad-box'>Buy</div><form><p>Name</p></form><div class=newsletter>Sign up</div><div class=notice>Terms</div></article>", ["T", TOLD]),
+])
+def test_measured_layouts(page, expected):
+    assert text_of(page) == "\n".join(expected)
+
+
+def test_template_decides_what_names_leave_open(spark):
+    """Parts named for notices stay where their text varies and go where it does not; a constant heading stays."""
+    page = (
+        "<body><article><h1>Title {0}</h1><h2>Summary</h2><p>In short {0}.</p><p>All of it {0}.</p>"
+        "<div class=notice>Note {0} of the author.</div><div class=related-note>Read our terms.</div><h2>About us</h2><p>We write.</p></article></body>"
+    )
+    rows = [(i, "http://a.example/", page.format(i)) for i in range(9)] + [(100, "http://b.example/", page.format(100))]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in extract_articles(df, keep_html=False).collect()}
+    told = "Title {0}\nSummary\nIn short {0}.\nAll of it {0}."
+    assert got == {i: told.format(i) + f"\nNote {i} of the author." for i in range(9)} | {
+        # one page alone: the lists decide, and nothing is constant
+        100: told.format(100) + "\nRead our terms.\nAbout us\nWe write.",
+    }
+
+
+def test_deep_and_long_pages(spark):
+    """A page of very deep elements, alone and among others of its host, costs no other page its text."""
+    deep = "<body>" + "<div class=share>" * 10_000 + "<p>Deep text</p>" + "</div>" * 10_000
+    long = "<article>" + "".join(f"<p>Paragraph {i}.</p>" for i in range(30_000)) + "</article>"
+    rows = [(i, "http://a.example/", deep.replace("text", f"text {i}")) for i in range(6)]
+    rows += [(10, "http://a.example/", "<article><p>Plain</p></article>"), (11, "http://b.example/", long)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string").repartition(2)
+    got = {r["page_id"]: r["text"] for r in extract_articles(df, keep_html=False).collect()}
+    assert got[10] == "Plain" and got[11] == "\n".join(f"Paragraph {i}." for i in range(30_000)) and len(got) == 8
+    assert {got[i] for i in range(6)} <= {"", *(f"Deep text {i}" for i in range(6))}
+
+
+def test_trees_as_text():
+    for html in ("", "<p>a", "<div><p>a</p><ul><li>1</ul></div><div class=x3>b</div>", "<div>" * 5000):
+        t = tree(html)
+        assert write_tree(read_tree(write_tree(t))) == write_tree(t)
+    deep = tree("<div>" * 5000)
+    assert match(deep, tree("<div>" * 5000))[0] == size(deep) and size(merge(deep, deep)) == size(deep)
+
+
 def tree(html: str):
     return skeleton(parse(html))
 
 
 def size(t) -> int:
-    return 1 + sum(size(c) for c in t[2])
+    return write_tree(t).count("[") - 1
 
 
 def plain_match(a, b) -> int:
