@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -11,7 +13,7 @@ from compare import connect, differences
 from metricweave.llm import urls
 from metricweave.llm.catalog import LISTED_LINKS, LLM_ORACLES, LLM_QUERIES, URL_RULES
 from metricweave.llm.decontaminate import find_contamination
-from metricweave.llm.licenses import TEMPLATES, Templates, normal_words, scan_licenses, units
+from metricweave.llm.licenses import TEMPLATES, Templates, scan_licenses
 from metricweave.llm.quality import METRICS, quality_rules
 from metricweave.llm.secrets import FEATURES, find_secrets, fit_forest, label_findings
 from metricweave.llm.urls import canonical_url, filter_urls, listed
@@ -31,27 +33,55 @@ def test_native_plans_hold_no_python(spark, sf_dir, name):
 
 
 def plain_scores(text: str, threshold: float = 0.8) -> dict[str, float]:
-    """Every unit against every template."""
-    best: dict[str, float] = {}
+    """Every window and every unit against every template, cut and counted without the operator's own steps."""
+    told = lambda t: re.findall(r"[^\W_]+", t.lower())
     count = lambda words: Counter(zip(words, words[1:]))
-    for unit in units(text):
-        own = count(normal_words(unit))
-        for name, texts in TEMPLATES.items():
-            for theirs in map(lambda t: count(normal_words(t)), texts):
-                total = own.total() + theirs.total()
-                score = 2 * (own & theirs).total() / total if total else 0.0
-                if score >= threshold:
-                    best[name] = max(score, best.get(name, 0.0))
+    parts = [text, *re.split(r"\n\s*\n", text), *text.split("\n")]
+    parts += [sentence for line in text.split("\n") for sentence in re.split(r"(?<=[.!?])\s+", line)]
+    # a paragraph break may hold white space that is no line break
+    parts += [line for p in re.split(r"\n\s*\n", text) for line in p.split("\n")]
+    parts += [x for p in re.split(r"\n\s*\n", text) for line in p.split("\n") for x in re.split(r"(?<=[.!?])\s+", line)]
+    words, units_ = told(text), [count(told(p)) for p in set(parts)]
+    best: dict[str, float] = {}
+    for name, texts in TEMPLATES.items():
+        for theirs in map(lambda t: count(told(t)), texts):
+            size = theirs.total()
+            shared = [(2 * (own & theirs).total(), own.total() + size) for own in units_]
+            if set(zip(words, words[1:])) & set(theirs):
+                shared += [(2 * (count(words[i : i + size + 1]) & theirs).total(), 2 * size) for i in range(len(words) - size)]
+            score = max((a / b for a, b in shared if b), default=0.0)
+            if score >= threshold:
+                best[name] = max(score, best.get(name, 0.0))
     return best
 
 
 def test_pruned_scores_are_those_of_all_templates(spark, sf_dir):
     texts = [t for own in TEMPLATES.values() for t in own]
     texts += [" ".join(w for i, w in enumerate(t.split()) if i % 9) for t in texts]
-    texts += [f"Intro.\n\n{t}\n\nrest of the page" for t in texts]
-    texts += [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(300).collect()]
+    texts += [f"Intro.\n\n{t}\n \nrest of the page" for t in texts]
+    texts += [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(200).collect()]
+    templates = Templates(TEMPLATES, 0.8)
+    for t in texts:
+        assert templates.scores(t or "") == pytest.approx(plain_scores(t or ""))
+
+
+WHOLE = {
+    "MIT": TEMPLATES["MIT"][2], "Apache-2.0": TEMPLATES["Apache-2.0"][1], "ISC": TEMPLATES["ISC"][1], "GPL-3.0": TEMPLATES["GPL-3.0"][1],
+    "BSD-2-Clause": TEMPLATES["BSD-2-Clause"][0], "BSD-3-Clause": TEMPLATES["BSD-3-Clause"][0], "Zlib": TEMPLATES["Zlib"][0],
+}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_whole_licences_inside_long_texts(name):
+    """With blank lines between sentences, lines wrapped at 60 characters, and a word changed here and there."""
     templates = Templates(TEMPLATES, 0.8)
-    assert [templates.scores(t or "") for t in texts] == [plain_scores(t or "") for t in texts]
+    prose = " ".join(f"w{i * 7919 % 4001}" for i in range(2500))
+    sentences = re.split(r"(?<=[.:;]) ", WHOLE[name])
+    broken = "\n\n".join(textwrap.fill(s, 60) for s in sentences)
+    for told in (broken, textwrap.fill(WHOLE[name], 60), " * " + WHOLE[name].replace(". ", ".\n * "), broken.replace("SOFTWARE", "PROGRAM")):
+        found = templates.scores(f"{prose}\n\nCopyright 2020\n{told}\n{prose}")
+        assert name in found and found[name] == max(found.values())
+    assert templates.scores(f"{prose} {' '.join(sorted(WHOLE[name].split()))} {prose}") == {}
 
 
 def test_license_edges(spark):
