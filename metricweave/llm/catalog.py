@@ -14,7 +14,7 @@ from metricweave.llm.packing import pack
 from metricweave.llm.pii import BASE_KINDS, find_pii
 from metricweave.llm.quality import quality_rules
 from metricweave.llm.repeats import remove_repeats
-from metricweave.llm.secrets import find_secrets, fit_forest, label_findings
+from metricweave.llm.secrets import find_secrets, fit_forest, reviewed_findings
 from metricweave.llm.sharding import record_size, shuffle_into_shards, text_crc32
 from metricweave.llm.simhash import near_duplicates
 from metricweave.llm.urls import TRACKING, filter_urls
@@ -227,9 +227,9 @@ def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op3_secrets")
 def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    """Secrets in every document, by a forest fitted to findings labelled by rule."""
+    """Secrets in every document, by a forest fitted to findings labelled by hand."""
     docs = table(spark, folder, "documents")
-    forest = fit_forest(label_findings(docs, path="source"))
+    forest = fit_forest(reviewed_findings(spark))
     found = find_secrets(docs.select("doc_id", "text", "source"), forest, path="source")
     places = F.transform("secrets", lambda s: F.concat_ws(":", s["start"], s["end"]))
     return found.select(

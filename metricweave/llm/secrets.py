@@ -1,10 +1,11 @@
 """Secret scans: candidates from one pattern, false positives removed by a random forest.
 
-Candidates are long runs of key-like characters. Length, changes of character
-class, dictionary coverage, path and neighbouring words describe them; a forest
-fitted to labelled findings decides. Its trees are compiled into one column
-expression, so that every text is scanned and judged where it lies: no Python
-runs on the executors and nothing is shuffled.
+Candidates are long runs of key-like characters, and shorter values that are assigned
+to a name for secrets. Length, changes of character class, dictionary coverage, path
+and neighbouring words describe them; a forest fitted to labelled findings decides. The
+findings are lines set by hand (``findings.py``), or any others with a label. The trees
+are compiled into one column expression, so that every text is scanned once and judged
+where it lies: no Python runs on the executors and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -14,20 +15,29 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from metricweave.llm.columns import let, quoted, whole, with_columns
+from metricweave.llm.findings import labelled_lines
 from metricweave.llm.pii import find_spans
 from metricweave.session import store
 
-#: Shortest candidate, and the characters it consists of.
-SHORTEST = 16
-CANDIDATE = rf"[A-Za-z0-9+/_=.-]{{{SHORTEST},}}+"
-BEFORE, AFTER = 32, 8
+#: Shortest candidate by its characters alone, and shortest one that is assigned to a name for secrets.
+SHORTEST, ASSIGNED = 16, 8
+#: Names that a short value may be assigned to, and what may stand between.
+NAMED = "(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key)[\"'`]?[ \\t]{0,3}[:=][ \\t]{0,3}[\"'`]?"
+VALUE = "[^\\s\"'`,;&<>]"
+#: A key ends its name at the first equals sign, which is part of a run only as padding at its end.
+CANDIDATE = f"{NAMED}{VALUE}{{{ASSIGNED},}}+|[A-Za-z0-9+/_.-]{{{SHORTEST},}}+={{0,2}}+"
+BEFORE, AFTER = 40, 12
 #: Labelled findings per class that the forest is fitted on, at most; trees and depth.
-SAMPLE, TREES, DEPTH = 10_000, 15, 5
-SECRET_WORDS = "token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer"
-HARMLESS_WORDS = "example|sample|dummy|test|placeholder|changeme|checksum|sha1|sha256|md5|commit|digest|uuid|hash"
+SAMPLE, TREES, DEPTH = 10_000, 25, 8
+SECRET_WORDS = "token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer"
+HARMLESS_WORDS = "example|sample|dummy|test|placeholder|changeme|checksum|sha1|sha256|sha384|md5|commit|digest|uuid|hash|etag|integrity|index|base64"
+#: How well-known issuers begin their keys.
+ISSUED = "^(?:gh[opsu]_|AKIA|ASIA|sk_live_|rk_live_|xox[abprs]-|glpat-|AIza|npm_|eyJ[A-Za-z0-9_-]+[.]|SG[.])"
+#: What stands where a key is to be filled in.
+FILLER = "your|here|change|replace|insert|example|sample|dummy|placeholder|test|xxx|[*]{3}"
 #: Words and word parts of running text; what they cover of a candidate speaks against it.
 DICTIONARY = (
     "the|and|ing|ion|tion|ent|that|with|for|this|from|her|ere|ted|able|ough|ver|ein|sch|ung|heit|keit|lich|"
@@ -36,8 +46,8 @@ DICTIONARY = (
 )
 TEST_PATH = "(?i)test|spec|example|sample|fixture|mock|doc"
 FEATURES = (
-    "length", "digits", "letters_between", "class_changes", "distinct", "covered", "upper", "hex",
-    "secret_word", "harmless_word", "assigned", "quoted", "test_path",
+    "length", "digits", "letters_between", "class_changes", "distinct", "covered", "upper", "vowels", "hex", "uuid", "slashes",
+    "separators", "issued", "filler", "secret_word", "harmless_word", "named", "assigned", "quoted", "asked", "in_address", "test_path",
 )
 
 
@@ -55,46 +65,65 @@ def _features(match: Column, before: Column, after: Column, path: Column) -> Col
         (F.size(F.array_distinct(F.split(F.lower(match), ""))) / size).alias("distinct"),
         (1 - F.length(F.regexp_replace(F.lower(match), DICTIONARY, "")) / size).alias("covered"),
         share("[A-Z]").alias("upper"),
+        share("[aeiouAEIOU]").alias("vowels"),
         flag(match.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")).alias("hex"),
+        flag(match.rlike("^[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$")).alias("uuid"),
+        share("[/]").alias("slashes"),
+        share("[._/-]").alias("separators"),
+        flag(match.rlike(ISSUED)).alias("issued"),
+        flag(F.lower(match).rlike(FILLER)).alias("filler"),
         flag(words.rlike(SECRET_WORDS)).alias("secret_word"),
         flag(words.rlike(HARMLESS_WORDS) | F.lower(after).rlike(HARMLESS_WORDS)).alias("harmless_word"),
+        flag(words.rlike(f"(?:{SECRET_WORDS})[\"'`]?[\\s]*(?:[:=]|value=)?[\\s\"'`(]*$")).alias("named"),
         flag(before.rlike("[=:][\\s\"'`]*$")).alias("assigned"),
         flag(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")).alias("quoted"),
+        flag(before.rlike("[?&][^?&=\\s]*=$")).alias("asked"),
+        flag(before.rlike("://[^\\s/]*$")).alias("in_address"),
         flag(path.rlike(TEST_PATH)).alias("test_path"),
     )
 
 
 def candidates(text: Column, path: Column) -> Column:
-    """``array<struct<start, end, match, features>>`` of a text, in order."""
+    """``array<struct<start, end, match, features>>`` of a text, in order.
+
+    A value that is assigned to a name for secrets begins after the assignment.
+    """
 
     def described(span: Column) -> Column:
-        start, end = span["start"].cast("int"), span["end"].cast("int")
+        named = F.length(F.regexp_extract(span["match"], f"^{NAMED}(?={VALUE})", 0))
+        start, end = (span["start"] + named).cast("int"), span["end"].cast("int")
         before = F.substring(text, F.greatest(start - BEFORE, F.lit(0)) + 1, F.least(start, F.lit(BEFORE)))
-        after = F.substring(text, end + 1, F.lit(AFTER))
+        after = F.substring_index(F.substring(text, end + 1, F.lit(AFTER)), "\n", 1)
+        match = F.substring(span["match"], named + 1, F.length(span["match"]))
         return F.struct(
-            span["start"].alias("start"), span["end"].alias("end"), span["match"].alias("match"),
-            _features(span["match"], before, after, path).alias("features"),
+            start.cast("bigint").alias("start"), span["end"].alias("end"), match.alias("match"),
+            _features(match, F.substring_index(before, "\n", -1), after, path).alias("features"),
         )
 
     return F.transform(find_spans(text, CANDIDATE), described)
 
 
-def label_findings(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """Labelled findings by rule, where no reviewed ones are at hand: features and ``label``.
+def label_findings(lines: DataFrame, text: str = "text", value: str = "value", path: str | None = None) -> DataFrame:
+    """Findings in labelled lines: ``match``, the features and ``label``.
 
-    A finding counts as real if it is a quoted or assigned value next to a word
-    for secrets and mixes digits with letters; every other is a false positive.
+    The candidate that holds the line's ``value``, or is held by it, has the line's ``label``;
+    any other candidate on the line, such as the name of a key, is a false positive.
     """
     where = quoted(path).cast("string") if path else F.lit(None).cast("string")
-    rows = df.select(F.explode(candidates(whole(quoted(text)), where)).alias("c")).select("c.match", "c.features.*")
-    real = (F.col("secret_word") == 1) & (F.col("assigned") == 1) & (F.col("digits") > 0.1) & (F.col("harmless_word") == 0)
-    return rows.withColumn("label", real.cast("double"))
+    rows = lines.select(F.explode(candidates(whole(quoted(text)), where)).alias("c"), quoted(value).alias("v"), F.col("label").alias("l"))
+    own = F.contains("c.match", F.col("v")) | F.contains("v", F.col("c.match"))
+    return rows.select("c.match", "c.features.*", F.when(own, F.col("l").cast("double")).otherwise(0.0).alias("label"))
+
+
+def reviewed_findings(spark: SparkSession) -> DataFrame:
+    """The findings of the lines set by hand."""
+    return label_findings(spark.createDataFrame(labelled_lines(), "text string, value string, label double"))
 
 
 def fit_forest(findings: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH) -> list[str]:
     """A random forest as SQL conditions on FEATURES, one expression per tree.
 
-    ``findings`` holds FEATURES and ``label``; of each label at most ``sample``
+    The fit sees at most ``2 * sample`` rows, which one task holds. ``findings`` holds FEATURES and ``label``; of each label at most ``sample``
     rows are used, those with the smallest hash of their features, whatever the
     order of the rows. Without findings of both labels a single tree says the
     one that there is, or no.
@@ -102,7 +131,7 @@ def fit_forest(findings: DataFrame, sample: int = SAMPLE, trees: int = TREES, de
     key = F.xxhash64(*[quoted(c) for c in (*FEATURES, *(["match"] if "match" in findings.columns else []))])
     keyed = findings.select(*FEATURES, "label", key.alias("_key"))
     of = lambda label: keyed.where(F.col("label") == label).orderBy("_key").limit(sample)
-    chosen = store(of(0.0).unionByName(of(1.0)).fillna(0.0).drop("_key"), "findings")
+    chosen = store(of(0.0).unionByName(of(1.0)).fillna(0.0).coalesce(1).sortWithinPartitions("_key").drop("_key"), "findings")
     labels = {r["label"] for r in chosen.select("label").distinct().collect()}
     if len(labels) < 2:
         return [repr(labels.pop() if labels else 0.0)]
