@@ -143,7 +143,7 @@ def op9_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_pii")
 def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and digests of personal data in every document."""
-    found = find_pii(table(spark, folder, "documents").select("doc_id", "text"))
+    found = find_pii(table(spark, folder, "documents").select("doc_id", "text"), keep_text=False)
     base = F.filter("pii", lambda s: s["base"])
     listing = lambda spans: F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
     of_kind = lambda kind: F.filter(base, lambda s: s["kind"] == kind)

@@ -2,13 +2,16 @@
 
 Strict patterns give the base spans, which always stay. Looser patterns give
 further candidates. On every candidate a regex, a gazetteer, a context and a
-format labeler vote; expectation-maximisation over the counts of vote patterns
-estimates how reliable each labeler is, and a logistic classifier, fitted to the
-resulting probabilities, decides the candidates that are not base spans.
-
-All work on rows is built-in column expressions. What reaches the driver is one
-row per distinct feature pattern, of which there are at most MAX_PATTERNS,
-whatever the table holds.
+format labeler vote, or abstain; expectation-maximisation over the counts of vote
+patterns estimates how reliable each labeler is, and a logistic classifier, fitted to
+the resulting probabilities, decides the candidates that are not base spans. It sees
+the votes and what no labeler looks at: length, separators, groups of digits, and the
+characters on either side.
+
+All work on rows is built-in column expressions. The texts are scanned once: the
+candidates with their votes are written, then counted for the fit and scored. What
+reaches the driver is one row per distinct feature pattern, of which there are at most
+MAX_PATTERNS, whatever the table holds.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from metricweave.llm.columns import let, quoted, whole, with_columns
+from metricweave.session import store
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 LOOSE_KINDS = ("email", "card", "phone", "ssn")
@@ -51,7 +55,7 @@ LOOSE = {
 TOP_LEVEL = "com|org|net|edu|gov|io|info|biz|de|fr|es|uk|eu|it|nl|ch|at|be|us|ca|mx|ar|br|jp|cn|in|au"
 ISSUERS = "4|5[1-5]|2[2-7]|3[47]|36|38|35|6011|65"
 CALLING = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
-#: Words before a span that speak for its kind, and words that speak against any.
+#: Words on either side of a span that speak for its kind, and words before it that speak against any.
 CUES = {
     "email": r"e-?mail|mail|contact|write|reach|address|correo|adresse",
     "ip": r"\bip\b|host|server|address|login|client|from",
@@ -60,22 +64,27 @@ CUES = {
     "ssn": r"\bssn\b|social|security|insurance",
 }
 COUNTER_CUES = r"version|order|invoice|isbn|sku|serial|model|build|page|chapter|ticket|tracking"
-CONTEXT, LENGTHS = 40, 4
+#: Characters before and after a span that are looked at; classes of length and of digit groups.
+CONTEXT, BEHIND, LENGTHS, GROUPS = 40, 24, 4, 5
 LABELERS = ("regex", "gazetteer", "context", "format")
-MAX_PATTERNS = len(KINDS) * 3 ** len(LABELERS) * LENGTHS * 2
+#: What the classifier sees beside kind and votes.
+SHAPES = ("size", "cut", "groups", "joined", "ended")
+MAX_PATTERNS = len(KINDS) * 3 ** len(LABELERS) * LENGTHS * 2 * GROUPS * 2 * 2
 #: A prefix sum over so many matches is formed at once.
 CHUNK = 128
 
 
 def find_spans(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as ``array<struct<start, end, match>>``.
+    """Leftmost non-overlapping matches as ``array<struct<start, end, match, before, after>>``.
 
     Positions are code points, the end exclusive. The text is split at its
-    matches and lengths are summed, so no match is searched for again.
+    matches and lengths are summed, so no match is searched for again. ``before`` and
+    ``after`` are the last CONTEXT and first BEHIND characters of what lies between a
+    match and its second neighbour, so the text is not walked again either.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    none = F.array().cast("array<struct<start:bigint,end:bigint,match:string>>")
+    none = F.array().cast("array<struct<start:bigint,end:bigint,match:string,before:string,after:string>>")
     return let(found, lambda m: F.when(F.size(m) == 0, none).otherwise(let(gaps, lambda g: _placed(m, g))))
 
 
@@ -96,7 +105,12 @@ def _placed(found: Column, gaps: Column) -> Column:
         def one(m: Column, i: Column) -> Column:
             chunk = F.call_function("div", i, F.lit(CHUNK)).cast("int")
             start = F.get(b, chunk) + part(s, chunk, i % CHUNK) + F.length(F.get(gaps, i))
-            return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("match"))
+            other = lambda k: F.coalesce(F.get(found, k), F.lit(""))
+            before = F.right(F.concat(other(i - 1), F.get(gaps, i)), F.lit(CONTEXT))
+            after = F.left(F.concat(F.get(gaps, i + 1), other(i + 1)), F.lit(BEHIND))
+            return F.struct(
+                start.alias("start"), (start + F.length(m)).alias("end"), m.alias("match"), before.alias("before"), after.alias("after")
+            )
 
         return F.transform(found, one)
 
@@ -117,67 +131,82 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _of_kind(text: Column, kind: str, pattern: str, keep=None) -> Column:
+    spans = find_spans(text, pattern)
+    return F.filter(spans, lambda s: keep(kind, s["match"])) if keep else spans
+
+
 def base_spans(text: Column) -> Column:
-    """Strict spans of all BASE_KINDS, by kind as listed, then by place."""
-    return F.concat(*[_of_kind(text, kind, BASE_FAST[kind], _valid) for kind in BASE_KINDS])
+    """Strict spans as a struct of one array per kind, each in order."""
+    return F.struct(*[_of_kind(text, kind, BASE_FAST[kind], _valid).alias(kind) for kind in BASE_KINDS])
 
 
-def _of_kind(text: Column, kind: str, pattern: str, keep=None) -> Column:
-    spans = find_spans(text, pattern)
-    if keep:
-        spans = F.filter(spans, lambda s: keep(kind, s["match"]))
-    return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match")))
+def _covered(spans: Column) -> Column:
+    """One byte per code point up to the last span's end: ``1`` inside a span, ``0`` outside."""
+    gap = lambda s, i: (s["start"] - F.coalesce(F.get(spans, i - 1)["end"], F.lit(0).cast("bigint"))).cast("int")
+    parts = F.transform(spans, lambda s, i: F.concat(F.repeat(F.lit("0"), gap(s, i)), F.repeat(F.lit("1"), (s["end"] - s["start"]).cast("int"))))
+    return F.array_join(parts, "").cast("binary")
 
 
 def candidates(text: Column) -> Column:
     """Base and loose spans with their votes: one array of structs.
 
-    A loose span that shares a character with a base span is not a candidate.
+    A loose span that shares a character with a base span is not a candidate; that is
+    read off the covered characters, so dense texts cost no comparison of all pairs.
     """
+    loose = F.struct(*[_of_kind(text, kind, LOOSE[kind]).alias(kind) for kind in LOOSE_KINDS])
 
-    def both(base: Column) -> Column:
-        clear = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        loose = F.concat(*[_of_kind(text, kind, LOOSE[kind]) for kind in LOOSE_KINDS])
-        return F.concat(
-            F.transform(base, lambda s: _voted(text, s, True)),
-            F.transform(F.filter(loose, clear), lambda s: _voted(text, s, False)),
-        )
+    def clear(spans: Column, covers: Column) -> Column:
+        part = lambda c, s: F.substring(c, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+        return F.filter(spans, lambda s: ~F.exists(covers, lambda c: F.contains(part(c, s), F.lit(b"1"))))
+
+    def both(found: Column) -> Column:
+        base, more = found["base"], found["loose"]
+        judged = lambda kind, strict: lambda s: _voted(kind, s, strict)
+        strict = F.concat(*[F.transform(base[k], judged(k, True)) for k in BASE_KINDS])
+        any_loose = sum((F.size(more[k]) for k in LOOSE_KINDS[1:]), F.size(more[LOOSE_KINDS[0]])) > 0
+        covers = F.array(*[_covered(base[k]) for k in BASE_KINDS])
+        voted = lambda c: F.concat(*[F.transform(clear(more[k], c), judged(k, False)) for k in LOOSE_KINDS])
+        return F.when(any_loose, F.concat(strict, let(covers, voted))).otherwise(strict)
 
-    return let(base_spans(text), both)
+    return let(F.struct(base_spans(text).alias("base"), loose.alias("loose")), both)
 
 
-def _voted(text: Column, span: Column, strict: bool) -> Column:
-    kind, match, start = span["kind"], span["match"], span["start"]
+def _voted(kind: str, span: Column, strict: bool) -> Column:
+    match, before, after = span["match"], F.lower(span["before"]), F.lower(span["after"])
     digits = _digits(match)
     vote = lambda good, bad=None: (
         F.when(good, 1).when(bad, -1).otherwise(0) if bad is not None else F.when(good, 1).otherwise(-1)
     )
-    by_kind = lambda table: F.coalesce(*[F.when(kind == k, v) for k, v in table.items()])
     tail = F.lower(F.regexp_extract(match, r"([A-Za-z0-9-]+)$", 1))
-    gazetteer = by_kind({
-        "email": vote(tail.rlike(f"^(?:{TOP_LEVEL})$")),
-        "ip": vote(~match.rlike(r"^(?:0|127|255|22[4-9]|2[34][0-9])\.")),
-        "card": vote(digits.rlike(f"^(?:{ISSUERS})")),
-        "phone": vote(match.rlike(rf"^\+(?:{CALLING})"), match.startswith("+")),
-        "ssn": vote(~match.rlike("^(?:000|666|9)")),
-    })
-    shape = by_kind({
-        "email": vote(~match.rlike(r"\.\.|^\.|-\.")),
-        "ip": vote(match.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")),
-        "card": vote(F.call_function("luhn_check", digits)),
-        "phone": vote(F.length(digits).between(10, 13)),
-        "ssn": vote(~match.rlike("-00-|-0000$")),
-    })
-    ahead = F.lower(F.substring(text, F.greatest(start - CONTEXT, F.lit(0)).cast("int") + 1, F.least(start, F.lit(CONTEXT)).cast("int")))
-    cue = by_kind({k: ahead.rlike(v) for k, v in CUES.items()})
+    gazetteer = {
+        "email": lambda: vote(tail.rlike(f"^(?:{TOP_LEVEL})$")),
+        "ip": lambda: vote(~match.rlike(r"^(?:0|127|255|22[4-9]|2[34][0-9])\.")),
+        "card": lambda: vote(digits.rlike(f"^(?:{ISSUERS})")),
+        "phone": lambda: vote(match.rlike(rf"^\+(?:{CALLING})"), match.startswith("+")),
+        "ssn": lambda: vote(~match.rlike("^(?:000|666|9)")),
+    }
+    shape = {
+        "email": lambda: vote(~match.rlike(r"\.\.|^\.|-\.")),
+        "ip": lambda: vote(match.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")),
+        "card": lambda: vote(F.call_function("luhn_check", digits)),
+        "phone": lambda: vote(F.length(digits).between(10, 13)),
+        "ssn": lambda: vote(~match.rlike("-00-|-0000$")),
+    }
+    cue = before.rlike(CUES[kind]) | after.rlike(rf"^\W{{0,4}}(?:is (?:my|the|our|your) |\()?(?:{CUES[kind]})")
+    # another number next to it, as in a list or table of numbers
+    row_of_numbers = (before.rlike(r"[0-9][0-9.-]{3,}[\s,;|]+$") | after.rlike(r"^[\s,;|]+[0-9][0-9.-]{3,}")) if kind != "email" else F.lit(False)
     return F.struct(
-        kind.alias("kind"), start.alias("start"), span["end"].alias("end"), F.lit(strict).alias("base"),
+        F.lit(kind).alias("kind"), span["start"].alias("start"), span["end"].alias("end"), F.lit(strict).alias("base"),
         F.lit(1 if strict else 0).alias("regex"),
-        gazetteer.alias("gazetteer"),
-        vote(cue, ahead.rlike(COUNTER_CUES)).alias("context"),
-        shape.alias("format"),
+        gazetteer[kind]().alias("gazetteer"),
+        vote(cue, before.rlike(COUNTER_CUES) | row_of_numbers).alias("context"),
+        shape[kind]().alias("format"),
         F.least(F.call_function("div", F.length(match), F.lit(6)), F.lit(LENGTHS - 1)).cast("int").alias("size"),
         match.rlike(r"[\x20().-]").cast("int").alias("cut"),
+        F.least(F.regexp_count(match, F.lit("[0-9]+")), F.lit(GROUPS - 1)).cast("int").alias("groups"),
+        before.rlike(r"[\w.#/=-]$").cast("int").alias("joined"),
+        after.rlike(r"^(?:[.,;:!?)]?(?:\s|$))").cast("int").alias("ended"),
     )
 
 
@@ -192,7 +221,7 @@ class SpanModel:
         total = F.lit(self.weights.get("bias", 0.0))
         for kind in KINDS:
             total = total + F.when(span["kind"] == kind, self.weights.get(kind, 0.0)).otherwise(0.0)
-        for name in (*LABELERS, "size", "cut"):
+        for name in (*LABELERS, *SHAPES):
             total = total + span[name] * F.lit(self.weights.get(name, 0.0))
         return total
 
@@ -204,9 +233,13 @@ def fit_span_model(df: DataFrame, text: str = "text", rounds: int = 50) -> SpanM
     rows, before anything leaves Spark. Without a candidate the model keeps
     base spans only.
     """
+    return _fitted(df.select(candidates(whole(quoted(text))).alias("spotted")), "spotted", rounds)
+
+
+def _fitted(df: DataFrame, spotted: str, rounds: int = 50) -> SpanModel:
     rows = (
-        df.select(F.explode(candidates(whole(quoted(text)))).alias("c"))
-        .groupBy("c.kind", *[f"c.{x}" for x in (*LABELERS, "size", "cut")])
+        df.select(F.explode(quoted(spotted)).alias("c"))
+        .groupBy("c.kind", *[f"c.{x}" for x in (*LABELERS, *SHAPES)])
         .agg(F.count(F.lit(1)).alias("n"))
         .collect()
     )
@@ -218,17 +251,18 @@ def fit_span_model(df: DataFrame, text: str = "text", rounds: int = 50) -> SpanM
     votes = np.array([[r[x] + 1 for x in LABELERS] for r in rows])
     likely, right = _em(kinds, votes, weight, rounds)
     features = np.column_stack([
-        np.ones(len(rows)), np.eye(len(KINDS))[kinds], votes - 1, [[r["size"], r["cut"]] for r in rows],
+        np.ones(len(rows)), np.eye(len(KINDS))[kinds], votes - 1, [[r[x] for x in SHAPES] for r in rows],
     ])
-    names = ("bias", *KINDS, *LABELERS, "size", "cut")
+    names = ("bias", *KINDS, *LABELERS, *SHAPES)
     return SpanModel(dict(zip(names, _logistic(features, likely, weight))), dict(zip(LABELERS, right)))
 
 
 def _em(kinds: np.ndarray, votes: np.ndarray, weight: np.ndarray, rounds: int):
     """P(personal | votes) per pattern, and each labeler's share of right votes.
 
-    Two classes; a labeler says no, nothing or yes with its own probabilities in
-    each. Counts are smoothed by one, and the start is the mean vote.
+    Two classes; a labeler that votes says no or yes with its own probabilities in
+    each, and one that abstains says nothing about the class. Counts are smoothed by
+    one, and the start is the mean vote.
     """
     likely = np.clip(0.5 + (votes - 1).mean(axis=1) / 2, 0.05, 0.95)
     for _ in range(rounds):
@@ -239,10 +273,11 @@ def _em(kinds: np.ndarray, votes: np.ndarray, weight: np.ndarray, rounds: int):
         log = np.log(prior[:, kinds])
         right = []
         for j in range(votes.shape[1]):
-            seen = np.stack([np.bincount(votes[:, j], m, 3) for m in mass]) + 1
+            cast = votes[:, j] != 1
+            seen = np.stack([np.bincount(votes[cast, j] // 2, m[cast], 2) for m in mass]) + 1
             share = seen / seen.sum(axis=1, keepdims=True)
-            log += np.log(share[:, votes[:, j]])
-            right.append(float((share[0, 0] + share[1, 2]) / 2))
+            log[:, cast] += np.log(share[:, votes[cast, j] // 2])
+            right.append(float((share[0, 0] + share[1, 1]) / 2))
         likely = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
     return likely, right
 
@@ -258,23 +293,31 @@ def _logistic(x: np.ndarray, likely: np.ndarray, weight: np.ndarray, ridge: floa
     return [float(v) for v in w]
 
 
-def find_pii(df: DataFrame, text: str = "text", model: SpanModel | None = None) -> DataFrame:
+def find_pii(df: DataFrame, text: str = "text", model: SpanModel | None = None, keep_text: bool = True) -> DataFrame:
     """Append ``pii``: ``array<struct<kind, start, end, base>>`` by kind as listed, then place.
 
     Base spans are always in it; other candidates if the classifier scores them
     above even. No row is dropped, repeated rows get equal spans, a null or
     empty text gives an empty array, an empty table an empty table; an input
-    column named ``pii`` is replaced.
+    column named ``pii`` is replaced. Without ``keep_text`` the text is left out.
+
+    Without a ``model`` two jobs run while the query is being defined: the rows are
+    written with their candidates, and the model is fitted to counts of those.
     """
-    model = model or fit_span_model(df, text)
-    kept = F.filter(candidates(whole(quoted(text))), lambda c: c["base"] | (model.score(c) > 0))
+    spotted = with_columns(df, {"__spotted": candidates(whole(quoted(text)))})
+    if not keep_text:
+        spotted = spotted.drop(quoted(text))
+    if model is None:
+        spotted = store(spotted, "candidates")
+        model = _fitted(spotted, "__spotted")
+    kept = F.filter("__spotted", lambda c: c["base"] | (model.score(c) > 0))
     place = lambda s: F.struct(
         F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"]).alias("at"), s["start"].alias("start"),
         s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base"),
     )
     sorted_spans = F.array_sort(F.transform(kept, place))
     plain = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"))
-    return with_columns(df, {"pii": F.transform(sorted_spans, plain)})
+    return with_columns(spotted, {"pii": F.transform(sorted_spans, plain)}).drop("__spotted")
 
 
 def mask_pii(df: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:

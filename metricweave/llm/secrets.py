@@ -91,12 +91,11 @@ def candidates(text: Column, path: Column) -> Column:
 
     def described(span: Column) -> Column:
         named = F.length(F.regexp_extract(span["match"], f"^{NAMED}(?={VALUE})", 0))
-        start, end = (span["start"] + named).cast("int"), span["end"].cast("int")
-        before = F.substring(text, F.greatest(start - BEFORE, F.lit(0)) + 1, F.least(start, F.lit(BEFORE)))
-        after = F.substring_index(F.substring(text, end + 1, F.lit(AFTER)), "\n", 1)
+        before = F.right(F.concat(span["before"], F.left(span["match"], named)), F.lit(BEFORE))
+        after = F.substring_index(F.left(span["after"], F.lit(AFTER)), "\n", 1)
         match = F.substring(span["match"], named + 1, F.length(span["match"]))
         return F.struct(
-            start.cast("bigint").alias("start"), span["end"].alias("end"), match.alias("match"),
+            (span["start"] + named).alias("start"), span["end"].alias("end"), match.alias("match"),
             _features(match, F.substring_index(before, "\n", -1), after, path).alias("features"),
         )
 

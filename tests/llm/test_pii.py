@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from metricweave.llm.catalog import LLM_QUERIES
-from metricweave.llm.pii import BASE_PLAIN, find_pii, fit_span_model, mask_pii
+from metricweave.llm.pii import BASE_PLAIN, LOOSE, candidates, find_pii, fit_span_model, mask_pii
 
 TEXTS = [
     None,
@@ -76,6 +77,64 @@ def test_labelers_learn_what_to_add(spark):
     assert all(kinds[i] == {"email", "phone"} for i, _ in good)
 
 
+def test_context_has_a_say(spark):
+    """Loose forms are found where cues stand before or after them, and are not in rows of numbers."""
+    rows, at = [], 0
+    for i in range(60):
+        told = [
+            (f"reach us: support (at) mail{i}.org today", "email", f"support (at) mail{i}.org"),
+            (f"please call (415) 555-{1000 + i} now", "phone", f"(415) 555-{1000 + i}"),
+            (f"(415) 555-{2000 + i} is my phone", "phone", f"(415) 555-{2000 + i}"),
+            (f"his ssn 219-09-{5000 + i} was", "ssn", f"219-09-{5000 + i}"),
+            (f"order 415-555-{3000 + i} of page 3", None, None),
+            (f"serial 4000 1234 5678 {1000 + i} and model", None, None),
+            (f"row 204-555-{4000 + i}, 3021-9987, 7712", None, None),
+            (f"write to a{i}@b.org or call +1 (984) 555-{5000 + i}", None, None),
+        ]
+        rows += [(at + k, *t) for k, t in enumerate(told)]
+        at += len(told)
+    df = spark.createDataFrame(rows, "doc_id int, text string, kind string, value string")
+    model = fit_span_model(df)
+    assert abs(model.weights["context"]) > 0.2 and model.reliability["context"] > 0.5
+    wrong = []
+    for r in find_pii(df, model=model).collect():
+        loose = [(s["kind"], r["text"][s["start"] : s["end"]]) for s in r["pii"] if not s["base"]]
+        if loose != ([(r["kind"], r["value"])] if r["kind"] else []):
+            wrong.append((r["text"], loose))
+    assert len(wrong) <= 0.05 * len(rows), wrong[:5]
+
+
+def test_loose_spans_clear_of_base_spans(spark):
+    """Against a comparison of all pairs, on texts where both kinds meet."""
+    texts = [
+        "call +1 (415) 555-5227 and (415) 555-5227, 4111 1111 1111 1111 or 4000 1234 5678 9010x",
+        "é\U0001F600 a (at) b.de a@b.de (415) 555-5227 \U0001F600 +1 (984) 555-5227 219-09-9999",
+        " ".join(f"+1 (984) 555-{i:04d} (984) 555-{i:04d} u{i} (at) h.org u@h{i}.org" for i in range(200)),
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for row in df.select("text", candidates(F.col("text")).alias("c")).collect():
+        base = [(s["start"], s["end"]) for s in row["c"] if s["base"]]
+        wanted = []
+        for kind in ("email", "card", "phone", "ssn"):
+            pattern = LOOSE[kind].replace("(?i)", "")
+            for m in re.finditer(pattern, row["text"], re.I if kind == "email" else 0):
+                if not any(a < m.end() and m.start() < b for a, b in base):
+                    wanted.append((kind, m.start(), m.end()))
+        assert [(s["kind"], s["start"], s["end"]) for s in row["c"] if not s["base"]] == wanted
+
+
+def test_dense_long_text(spark):
+    """A megabyte of spans, strict and loose, in one text."""
+    part = "u{0}@h{0}.org (415) 555-{1:04d} 10.0.0.{2} 219-09-{1:04d} "
+    text = "".join(part.format(i, i % 10_000, i % 256) for i in range(19_000))
+    assert len(text) > 1_000_000
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    begin = time.perf_counter()
+    found = find_pii(df, keep_text=False).first()["pii"]
+    assert time.perf_counter() - begin < 40
+    assert sum(s["base"] for s in found) == 38_000 and len(found) >= 38_000
+
+
 def test_masks_replace_overlaps_once(spark):
     spans = "array<struct<kind:string,start:bigint,end:bigint,base:boolean>>"
     rows = [
