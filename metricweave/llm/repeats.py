@@ -45,14 +45,13 @@ def reach(span: int) -> int:
     return span - max(GRAM, span // 4)
 
 
-def anchors(text: bytes, ends: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``anchor, first, last``: runs of window starts with one anchor.
+def anchors(text: bytes, ends: np.ndarray, span: int = SPAN) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``anchor, first, last``: runs of window starts with one anchor, STARTS window starts at a time.
 
     ``text`` is a run of documents that end at ``ends``; a window crosses no end.
     The anchor is the leftmost smallest gram of a window's first ``reach + 1`` places.
     """
-    none = np.empty(0, dtype=np.int64)
-    found, wide = [], reach(span) + 1
+    wide = reach(span) + 1
     for begin in range(0, max(0, len(text) - span + 1), STARTS):
         part = text[begin : begin + STARTS + span - 1]
         starts = len(part) - span + 1
@@ -70,8 +69,7 @@ def anchors(text: bytes, ends: np.ndarray, span: int = SPAN) -> tuple[np.ndarray
         first = np.flatnonzero(np.diff(place, prepend=-2) != 0)
         last = np.append(first[1:], starts) - 1
         kept = place[first] >= 0
-        found.append((place[first][kept], at[first][kept], at[last][kept]))
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else (none, none, none)
+        yield place[first][kept], at[first][kept], at[last][kept]
 
 
 def _smallest(values: np.ndarray, wide: int) -> np.ndarray:
@@ -84,7 +82,8 @@ def _smallest(values: np.ndarray, wide: int) -> np.ndarray:
     return np.minimum(back[: len(values) - wide + 1], ahead[wide - 1 : len(values)])
 
 
-_ANCHORS = "text_id bigint, place bigint, root bigint, whole bigint"
+#: ``run``: so many anchors, each one byte after the other, that agree in all identifiers and distances.
+_ANCHORS = "text_id bigint, place bigint, root bigint, whole bigint, run bigint"
 
 
 def _signed(text: bytes, seed: int = 0) -> int:
@@ -106,15 +105,24 @@ def _anchor_rows(span: int):
             sizes = np.array([len(t) for t in texts], dtype=np.int64)
             ends = np.cumsum(sizes)
             text = b"".join(texts)
-            place, first, last = anchors(text, ends, span)
-            doc = np.searchsorted(ends, first, side="right")
-            low, high = place - last, place - first
-            roots = [_signed(text[p : p + root]) for p in place.tolist()]
-            wholes = [_whole(text, *x, span) for x in zip(place.tolist(), low.tolist(), high.tolist())]
-            packed = ((place - (ends - sizes)[doc]) << 32) | (low << 16) | high
-            columns = [batch.column(0).to_numpy()[doc], packed, roots, wholes]
-            made = [pa.array(np.asarray(c, dtype=np.int64)) for c in columns]
-            yield pa.RecordBatch.from_arrays(made, names=["text_id", "place", "root", "whole"])
+            ids = batch.column(0).to_numpy()
+            for place, first, last in anchors(text, ends, span):
+                doc = np.searchsorted(ends, first, side="right")
+                low, high = place - last, place - first
+                roots = np.array([_signed(text[p : p + root]) for p in place.tolist()], dtype=np.int64)
+                wholes = [_whole(text, *x, span) for x in zip(place.tolist(), low.tolist(), high.tolist())]
+                wholes = np.array(wholes, dtype=np.int64)
+                # a text of few letters has an anchor per byte, most of them alike
+                new = np.ones(len(place), dtype=bool)
+                new[1:] = np.diff(place) != 1
+                for values in (doc, low, high, roots, wholes):
+                    new[1:] |= values[1:] != values[:-1]
+                begins = np.flatnonzero(new)
+                runs = np.diff(np.append(begins, len(place)))
+                packed = ((place - (ends - sizes)[doc]) << 32) | (low << 16) | high
+                columns = [ids[doc][begins], packed[begins], roots[begins], wholes[begins], runs]
+                made = [pa.array(np.asarray(c, dtype=np.int64)) for c in columns]
+                yield pa.RecordBatch.from_arrays(made, names=["text_id", "place", "root", "whole", "run"])
 
     return run
 
@@ -209,18 +217,18 @@ def _levels(span: int) -> list[list[tuple[int, int]]]:
 
 def repeated_windows(texts: DataFrame, span: int = SPAN) -> DataFrame:
     """``text_id, found``: for each text with repeated windows, a list of
-    ``struct<place, whole, lo, hi>``, at most one per anchor and level.
+    ``struct<place, run, whole, lo, hi>``, at most one per run of anchors and level.
 
     ``texts`` has ``text_id, text`` (binary); equal texts have equal ids. Ids
     need not be free of collisions, since a reader forms ``whole`` again.
     """
     scan = lambda: texts.select("text_id", "text").mapInArrow(_anchor_rows(span), _ANCHORS)
-    twice = store(scan().groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root"), "roots")
+    twice = store(scan().groupBy("root").agg(F.sum("run").alias("n")).where("n > 1").select("root"), "roots")
     _settle(twice)
     alive = store(scan().join(twice, "root", "left_semi"), "anchors")
     _settle(alive, twice)
     one = F.min(F.struct("text_id", "place")).alias("one")
-    contexts = store(alive.groupBy("root", "whole").agg(F.count(F.lit(1)).alias("n"), one), "contexts")
+    contexts = store(alive.groupBy("root", "whole").agg(F.sum("run").alias("n"), one), "contexts")
     several = contexts.groupBy("root").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("rarest"))
     several = several.where("kinds > 1 AND rarest = 1").select("root")
     # a string that occurs once, next to others of its bucket, is open; one of each kind is its partner
@@ -242,7 +250,7 @@ def repeated_windows(texts: DataFrame, span: int = SPAN) -> DataFrame:
         decided, level = _refine(level, nodes, span)
         _settle(level, before)
         ranges = ranges.unionByName(decided)
-    found = alive.join(ranges, ["root", "whole"]).select("text_id", F.struct("place", "whole", "lo", "hi").alias("f")).distinct()
+    found = alive.join(ranges, ["root", "whole"]).select("text_id", F.struct("place", "run", "whole", "lo", "hi").alias("f")).distinct()
     return store(found.groupBy("text_id").agg(F.collect_list("f").alias("found")), "repeats")
 
 
@@ -287,7 +295,7 @@ def _removed(text: bytes, found: list[dict] | None, span: int) -> tuple[int, int
     for f in found or ():
         at, low, high = _unpacked(f["place"])
         if _whole(text, at, low, high, span) == f["whole"]:
-            ranges.append((at - (high if f["hi"] is None else f["hi"]), at - (low if f["lo"] is None else f["lo"]) + span))
+            ranges.append((at - (high if f["hi"] is None else f["hi"]), at - (low if f["lo"] is None else f["lo"]) + span + f["run"] - 1))
     parts, at, runs = [], 0, 0
     for a, b in sorted(ranges):
         if a > at or not runs:

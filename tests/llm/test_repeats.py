@@ -11,6 +11,7 @@ import pytest
 
 from metricweave.llm import repeats
 from metricweave.llm.catalog import LLM_QUERIES
+from metricweave.llm.refinement import repeated_starts
 from metricweave.llm.repeats import anchors, reach, remove_repeats
 
 
@@ -68,13 +69,35 @@ def test_query_against_all_windows(spark, sf_dir):
 
 def test_anchors_depend_on_content_only():
     text = random.Random(3).randbytes(5000)
-    place, first, last = anchors(text + b"xyz" + text, np.array([5003, 10003]), 200)
+    blocks = anchors(text + b"xyz" + text, np.array([5003, 10003]), 200)
+    place, first, last = (np.concatenate(x) for x in zip(*blocks))
     serves = {i: p for p, a, b in zip(place, first, last) for i in range(a, b + 1)}
     assert set(serves) == {*range(5003 - 199), *range(5003, 10003 - 199)}
     assert all(0 <= p - i <= reach(200) for i, p in serves.items())
     assert all(serves[i] + 5003 == serves[i + 5003] for i in range(5000 - 199))
 
 
+@pytest.mark.parametrize("span", [8, 11, 40])
+def test_refinement_of_all_suffixes(spark, span):
+    made = [t.encode() for t in texts(random.Random(5))]
+    seen = Counter(t[i : i + span] for t in made for i in range(len(t) - span + 1))
+    expected = sorted((k, i) for k, t in enumerate(made) for i in range(len(t) - span + 1) if seen[t[i : i + span]] > 1)
+    df = spark.createDataFrame(list(enumerate(made)), "text_id bigint, text binary")
+    assert sorted(map(tuple, repeated_starts(df, span).collect())) == expected
+
+
+def test_few_letters_make_few_rows(spark):
+    """Twenty megabytes of one byte, and a text of a short period: anchors that agree are one row."""
+    long = "a" * 20_000_000
+    rows = [(1, long), (2, "ab" * 300_000), (3, "a" * 199 + "b"), (4, "b" + "a" * 300)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    kept = df.selectExpr("doc_id AS text_id", "CAST(text AS BINARY) AS text").mapInArrow(repeats._anchor_rows(200), repeats._ANCHORS)
+    assert kept.count() < 600_000
+    out = got(df, 200)
+    assert out[1][:3] == (20_000_000, 20_000_000, 1) and out[2][:3] == (600_000, 600_000, 1)
+    assert out[3][:3] == (200, 0, 0) and out[4][:3] == (301, 300, 1)
+
+
 def test_edges(spark):
     rows = [(None, None, 1), (1, "", 2), (2, "x" * 199, 3), (2, "x" * 199, 3), (3, "y" * 200, 4), (3, "y" * 200, 4)]
     df = spark.createDataFrame(rows, "doc_id int, text string, n_bytes int")
