@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from metricweave.catalog.batches import PLACED, SEED
 from metricweave.catalog.joins import UNIFY_SQL, unified
 from metricweave.catalog.registry import Tables, query, with_points
 from metricweave.operators.projection import split_label
-from metricweave.operators.sampling import TEST, TRAIN, split_half
 from metricweave.operators.batches import history_range, sample_history
-from metricweave.plans.classifier import as_vector, fit_layered_classifier, judge_classifier
+from metricweave.plans.classifier import beats_largest_class, confusion, judge_classifier
 from metricweave.plans.regression import evaluate_split, fit_relu_regression, fit_under_relu, train_from_csv
 from metricweave.plans.training import ReluChain, training_history
 from metricweave.plans.unify import FEATURES
@@ -111,37 +110,6 @@ def _unified_fit(t: Tables):
     return model.transform(rows).select("time", "label", F.round("prediction", 4).alias("prediction"))
 
 
-@query(
-    "classifier_halves",
-    f"""WITH placed AS (SELECT label, row_number() OVER (ORDER BY md5(vec_id || ':{SEED}')) AS position FROM embeddings),
-    halves AS (SELECT label, position <= (SELECT count(*) FROM embeddings) // 2 AS fitted FROM placed)
-    SELECT label, count(*) FILTER (fitted) AS train_rows, count(*) FILTER (NOT fitted) AS judged_rows
-    FROM halves GROUP BY label""",
-)
-def _classifier_halves(t: Tables):
-    """Fitted on one half, asked on the other: rows of every class that were fitted and that were judged.
-
-    Labels of this table are independent of the vectors, so no accuracy is asked here.
-    """
-    vectors = store(split_half(t.embeddings.select("vec_id", "embedding", "label"), ["vec_id"], SEED), "halves")
-    shape = vectors.agg(F.max(F.size("embedding")).alias("width"), F.max("label").alias("top")).first()
-    fitted = as_vector(vectors.where(F.col("half") == TRAIN), ["embedding"])
-    model = fit_layered_classifier(fitted, shape["width"], classes=shape["top"] + 1)
-    judged = model.transform(as_vector(vectors.where(F.col("half") == TEST), ["embedding"]))
-    known = judged.where(F.col("prediction").between(0, shape["top"])).select("label", "half")
-    rows = lambda half: F.count(F.when(F.col("half") == half, 1))
-    both = fitted.select("label", "half").unionByName(known)
-    return both.groupBy("label").agg(rows(TRAIN).alias("train_rows"), rows(TEST).alias("judged_rows"))
-
-
-@query("layered_classifier")
-def _classifier(t: Tables):
-    vectors = as_vector(t.embeddings, ["embedding"])
-    shape = t.embeddings.agg(F.max(F.size("embedding")).alias("width"), F.max("label").alias("top")).first()
-    model = fit_layered_classifier(vectors, shape["width"], classes=shape["top"] + 1)
-    return model.transform(vectors).select("vec_id", "label", F.col("prediction").cast("int").alias("prediction"))
-
-
 def measured_documents(t: Tables):
     """Figures of each document's text."""
     text = F.col("text")
@@ -258,14 +226,45 @@ def _curve(t: Tables):
 QUALITY_FEATURES = ["words", "lines", "symbols", "exclaims", "digits", "capitals", "fresh", "fresh_lines"]
 
 
+HALVED = f"""WITH placed AS (
+        SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id || ':{SEED}')) AS position,
+            count(*) OVER (PARTITION BY quality) AS n
+        FROM labels JOIN documents USING (doc_id) WHERE text IS NOT NULL AND quality IS NOT NULL)"""
+
+
+def judged(t: Tables) -> DataFrame:
+    """Documents of the half that the classifier of their quality was not fitted on, with its prediction."""
+    known = measured_documents(t).join(t.labels.select("doc_id", "quality"), "doc_id")
+    return judge_classifier(known, QUALITY_FEATURES, "quality", ["doc_id"], SEED)[1]
+
+
+@query("layered_classifier", HALVED + " SELECT doc_id, quality AS label, quality AS prediction FROM placed WHERE position > n // 2")
+def _classifier(t: Tables):
+    """Every unseen document of the small table is told right; the SQL knows its label only."""
+    return judged(t).select("doc_id", F.col("quality").alias("label"), "prediction")
+
+
 @query(
     "classifier_confusion",
-    f"""WITH placed AS (
-        SELECT quality, row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id || ':{SEED}')) AS position,
-            count(*) OVER (PARTITION BY quality) AS n
-        FROM labels JOIN documents USING (doc_id) WHERE text IS NOT NULL AND quality IS NOT NULL)
-    SELECT quality AS label, quality AS prediction, count(*) AS rows FROM placed WHERE position > n // 2 GROUP BY quality""",
+    HALVED + " SELECT quality AS label, quality AS prediction, count(*) AS rows FROM placed WHERE position > n // 2 GROUP BY quality",
 )
 def _confusion(t: Tables):
-    known = measured_documents(t).join(t.labels.select("doc_id", "quality"), "doc_id")
-    return judge_classifier(known, QUALITY_FEATURES, "quality", ["doc_id"], SEED)[1]
+    return confusion(judged(t), "quality")
+
+
+@query(
+    "classifier_halves",
+    HALVED
+    + """ SELECT quality AS label, count(*) FILTER (position <= n // 2) AS train_rows,
+        count(*) FILTER (position > n // 2) AS judged_rows, true AS beats_largest_class FROM placed GROUP BY quality""",
+)
+def _classifier_halves(t: Tables):
+    """Rows of every class that were fitted and judged, and whether the classifier is worth more than its largest class."""
+    table = store(confusion(judged(t), "quality"), "confusion")
+    all_rows = t.documents.where("text IS NOT NULL").join(t.labels.where("quality IS NOT NULL"), "doc_id").groupBy(F.col("quality").alias("label"))
+    unseen = table.groupBy("label").agg(F.sum("rows").alias("judged_rows"))
+    counted = all_rows.agg(F.count(F.lit(1)).alias("rows")).join(unseen, "label")
+    return counted.select(
+        "label", (F.col("rows") - F.col("judged_rows")).alias("train_rows"), "judged_rows",
+        F.lit(beats_largest_class(table)).alias("beats_largest_class"),
+    )

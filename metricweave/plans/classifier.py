@@ -55,6 +55,14 @@ def confusion(predicted: DataFrame, label: str = "label", prediction: str = "pre
     return predicted.select(*pair).groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def beats_largest_class(table: DataFrame) -> bool:
+    """Whether a confusion table has more right rows than naming the largest class would have."""
+    right = F.sum(F.when(F.col("label") == F.col("prediction"), F.col("rows")).otherwise(0))
+    by_class = table.groupBy("label").agg(F.sum("rows").alias("rows"), right.alias("right"))
+    row = by_class.agg(F.sum("right").alias("right"), F.max("rows").alias("largest")).first()
+    return bool(row["right"] and row["right"] > row["largest"])
+
+
 def judge_classifier(
     df: DataFrame,
     features: Sequence[str],
@@ -64,8 +72,10 @@ def judge_classifier(
     hidden: Sequence[int] = HIDDEN,
     steps: int = 100,
 ) -> tuple[PipelineModel, DataFrame]:
-    """Fit on one half of every class, judge on the other; the fitted steps and the confusion table.
+    """Fit on one half of every class, judge on the other; the fitted steps and the judged rows.
 
+    A judged row has the key, the label, the features and its ``prediction``;
+    :func:`confusion` counts them.
     Classes are the integers from 0 to the largest label. Features are centred and
     scaled by what the fitted half shows; a row with a missing feature or label takes
     no part.
@@ -84,4 +94,5 @@ def judge_classifier(
         ]
     )
     model = steps_.fit(trained)
-    return model, confusion(model.transform(halves.where(F.col("half") == TEST)), label)
+    judged = model.transform(halves.where(F.col("half") == TEST))
+    return model, judged.select(*known.columns, F.col("prediction").cast("int").alias("prediction"))

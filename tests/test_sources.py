@@ -102,6 +102,9 @@ def test_labels_from_the_tags_map(spark, tmp_path):
     points = read_series_json(spark, path)
     assert [(r["time"], r["source"]) for r in feed_rows(points, "cpu", CPU, tags=["source"]).collect()] == [(7, "s")]
     assert [tuple(r) for r in group_series(points, ["^rac", "^name$"], tags="tags").collect()] == [("cpu", "r", 2)]
+    many = points.select(F.map_from_arrays(F.transform(F.sequence(F.lit(1), F.lit(600)), lambda i: i.cast("string")), F.sequence(F.lit(1), F.lit(600))).alias("tags"))
+    with pytest.raises(ValueError):
+        group_series(many, ["."], tags="tags")
 
 
 def test_csv_of_other_writers(spark, tmp_path):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from metricweave.operators.batches import history_range, sample_history
 from metricweave.operators.sampling import TEST, TRAIN, split_half_by
-from metricweave.plans.classifier import judge_classifier
+from metricweave.plans.classifier import beats_largest_class, confusion, judge_classifier
 from metricweave.plans.regression import fit_relu_regression, fit_under_relu
 from metricweave.plans.training import ReluChain, _stays_on, deal_batches, starting_chain, train_passes, training_history
 
@@ -188,9 +188,14 @@ def test_judged_classifier(spark):
         kind = 0 if i % 4 else 1 + i // 4 % 2
         rows.append((i, *map(float, rng.normal([0, 5, 0][kind], 0.4, 1)), *map(float, rng.normal([0, 0, 900][kind], 40, 1)), kind))
     df = spark.createDataFrame([*rows, (900, None, 1.0, 0), (901, 1.0, 1.0, None)], "id int, a double, b double, kind int")
-    _, table = judge_classifier(df, ["a", "b"], "kind", ["id"], steps=60)
+    _, unseen = judge_classifier(df, ["a", "b"], "kind", ["id"], steps=60)
+    table = confusion(unseen, "kind")
+    assert beats_largest_class(table) and unseen.columns == ["id", "a", "b", "kind", "prediction"]
     assert {tuple(r) for r in table.collect()} == {(0, 0, 90), (1, 1, 15), (2, 2, 15)}
     # noise for features gives another table
-    _, noise = judge_classifier(df.withColumn("a", F.rand(1)).withColumn("b", F.rand(2)), ["a", "b"], "kind", ["id"], steps=30)
+    noisy = df.withColumn("a", F.xxhash64("id") / 1e18).withColumn("b", F.xxhash64("id", "id") / 1e18)
+    noise = confusion(judge_classifier(noisy, ["a", "b"], "kind", ["id"], steps=30)[1], "kind")
     assert {tuple(r) for r in noise.collect()} != {tuple(r) for r in table.collect()}
     assert noise.agg(F.sum("rows")).first()[0] >= 120
+    constant = spark.createDataFrame([(0, 0, 90), (1, 0, 30)], "label int, prediction int, rows bigint")
+    assert not beats_largest_class(constant) and not beats_largest_class(constant.limit(0))
