@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from metricweave.llm.columns import quoted
 from metricweave.operators.numbering import number_rows
-from metricweave.session import store
+from metricweave.session import drop_scratch, store
 
 PROOF = "array<struct<left:string,right:string>>"
 
@@ -150,6 +150,8 @@ def build_manifest(df: DataFrame, group: str, order: Sequence[str], leaf: str =
         ),
         "leaves",
     )
+    # what has been written on is not read again
+    drop_scratch(numbered)
     levels, roots = climb(leaves.drop("record"), arity)
     subroots = number_rows(roots, ["tree"], "place")
     count = F.lit(trees.count()).cast("bigint")

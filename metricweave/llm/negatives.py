@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from metricweave.llm.columns import quoted
 from metricweave.operators.numbering import number_rows
-from metricweave.session import store
+from metricweave.session import drop_scratch, store
 
 #: Candidates per block, on average, and anchors per tile, at most.
 BLOCK_ROWS, TILE_ANCHORS = 8192, 4096
@@ -71,7 +71,9 @@ def tile_anchors(anchors: DataFrame, seed: int, tile_rows: int) -> DataFrame:
     model = KMeans(k=clusters, seed=seed, maxIter=CLUSTER_PASSES, predictionCol="cluster").fit(unit.select("features"))
     named = model.transform(unit).drop("raw", "features")
     numbered = number_rows(named, ["cluster", "row"], "place")
-    return store(numbered.withColumn("tile", ((F.col("place") - 1) / tile_rows).cast("int")).drop("place"), "tiles")
+    tiles = store(numbered.withColumn("tile", ((F.col("place") - 1) / tile_rows).cast("int")).drop("place"), "tiles")
+    drop_scratch(numbered)
+    return tiles
 
 
 def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
@@ -207,7 +209,9 @@ def search(anchors: DataFrame, candidates: DataFrame, blocks: int, tiles: int, s
     floored = floored.withColumn("lows", F.when(F.col("full").isNull(), F.col("lows")).otherwise(raised)).drop("full")
     rest = floored.withColumn("block", F.explode(F.sequence(F.lit(1), F.lit(blocks - 1))))
     more = _walk_cells(rest, copies.where("block > 0"), same, keep)
-    return store(_first(begun.drop("rank").unionByName(more), keep), "walked")
+    walked = store(_first(begun.drop("rank").unionByName(more), keep), "walked")
+    drop_scratch(begun)
+    return walked
 
 
 def mine_negatives(

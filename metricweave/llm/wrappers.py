@@ -32,7 +32,7 @@ from metricweave.llm.arrow import pieces
 from metricweave.llm.columns import quoted
 from metricweave.llm.dom import BLOCK, Node, blocks, parse
 from metricweave.llm.urls import host_of
-from metricweave.session import store
+from metricweave.session import drop_scratch, store
 
 #: Templates merged by one task at once.
 FAN_IN = 32
@@ -516,7 +516,8 @@ def induce_templates(shapes: DataFrame) -> DataFrame:
         group = F.call_function("div", "part", F.lit(FAN_IN)).cast("int")
         dealt = made.select("site", "template", group.alias("group"))
         merged = dealt.groupBy("site", "group").applyInArrow(_merge_group, "site string, template string, part int")
-        made = store(merged, "templates")
+        before, made = made, store(merged, "templates")
+        drop_scratch(before)
     return made.select("site", "template")
 
 
@@ -615,13 +616,15 @@ def extract_articles(df: DataFrame, html: str = "html", url: str = "url", keep_h
     pages = store(read_pages(df, html, url, kept), "pages")
     renamed = {f"__{c}": c for c in ("site", "shape", "places", "keys", "marks")}
     plain = pages.select(*renamed).withColumnsRenamed(renamed)
-    templates = store(induce_templates(plain.groupBy("site", "shape").agg(F.count(F.lit(1)).alias("pages"))), "templates")
+    templates = induce_templates(plain.groupBy("site", "shape").agg(F.count(F.lit(1)).alias("pages")))
     placed = plain.join(templates, "site", "left").select("site", "shape", "places", "keys", "marks", "template")
     texts = store(place_texts(placed), "texts")
     known = templates.join(constant_texts(texts), "site", "left").join(settled_slots(texts), "site", "left")
     # where nothing is constant and nothing in doubt is settled, a page needs no template
     known = known.where("constants IS NOT NULL OR settled IS NOT NULL")
     wrappers = store(known.toDF("__site", "__template", "__constants", "__settled"), "wrappers")
+    # templates, texts and counts have served
+    drop_scratch(known)
     wanted = pages.join(wrappers, "__site", "left").select(
         *map(quoted, kept), "__shape", "__places", "__keys", "__marks", "__texts", "__template", "__constants", "__settled"
     )
