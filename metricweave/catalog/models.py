@@ -172,7 +172,7 @@ def _relu_fit(t: Tables):
 
 
 # Weights the training starts from, its rate and passes.
-BEGIN, PACE, ROUNDS = (0.1, 0.0), 0.05, 60
+BEGIN, PACE, ROUNDS = (0.1, 0.0), 0.05, 50
 HISTORY_SQL = f"""WITH RECURSIVE {WORDS_SQL},
 placed AS (SELECT *, row_number() OVER (ORDER BY md5(doc_id || ':{SEED}')) AS position FROM measured),
 halves AS (SELECT *, CASE WHEN position <= (SELECT count(*) FROM measured) // 2 THEN 'train' ELSE 'test' END AS half FROM placed),
@@ -202,7 +202,7 @@ history AS (
 
 
 def trained(t: Tables):
-    """Sixty passes over the documents: their length in thousands of characters by their words."""
+    """Fifty passes over the documents: their length in thousands of characters by their words."""
     docs = measured_documents(t).select("doc_id", "words", (F.col("chars") / 1000).alias("label"))
     start = ReluChain(("words",), BEGIN[:1], (), BEGIN[1:])
     _, history = training_history(

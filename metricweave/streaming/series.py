@@ -11,6 +11,7 @@ from metricweave.sources.series import judged_result
 POINT, REJECTED = "point", "rejected"
 BAD_LINE = "line is no query result"
 _UNREAD = "_unread"
+_ROW = "name string, tags map<string,string>, columns array<string>, values array<string>, line string, error string, kind string"
 _ENTRY = "array<struct<name:string,tags:map<string,string>,columns:array<string>,values:array<string>>>"
 
 
@@ -65,8 +66,8 @@ def store_series(stream: DataFrame, path: str, progress: str, every: str | None
 
 def stored_points(spark: SparkSession, path: str) -> DataFrame:
     """``name, tags, columns, values``, as the stored read of the results gives them."""
-    return spark.read.parquet(path).where(F.col("kind") == POINT).select("name", "tags", "columns", "values")
+    return spark.read.schema(_ROW).parquet(path).where(F.col("kind") == POINT).select("name", "tags", "columns", "values")
 
 
 def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).where(F.col("kind") == REJECTED).select("line", "error")
+    return spark.read.schema(_ROW).parquet(path).where(F.col("kind") == REJECTED).select("line", "error")

@@ -66,6 +66,16 @@ def test_restart_goes_on_where_it_stopped(spark):
     assert len(folder.points()) == 5 and len(folder.rejected()) == 1
 
 
+def test_only_rejected_lines_and_only_empty_ones(spark):
+    folder = Folder(spark)
+    folder.drop("", " ")
+    folder.run()
+    assert folder.points() == [] == folder.rejected()
+    folder.drop("no json")
+    folder.run()
+    assert folder.points() == [] and folder.rejected() == [("no json", BAD_LINE)]
+
+
 def test_same_points_as_the_stored_read(spark):
     folder = Folder(spark)
     folder.drop(GOOD, GOOD, EMPTY)
