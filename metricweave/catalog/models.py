@@ -110,8 +110,9 @@ def _unified_fit(t: Tables):
     return model.transform(rows).select("time", "label", F.round("prediction", 4).alias("prediction"))
 
 
-def measured_documents(t: Tables):
-    """Figures of each document's text."""
+def measured_documents(t: Tables, documents: DataFrame | None = None) -> DataFrame:
+    """Figures of each document's text, and the other columns of ``documents``."""
+    documents = t.documents.select("doc_id", "text") if documents is None else documents
     text = F.col("text")
     chars, words = F.length(text).cast("double"), F.size(F.split(text, "[ \\n]"))
     share = lambda pattern: F.length(F.regexp_replace(text, pattern, "")) / F.greatest(chars, F.lit(1.0))
@@ -126,7 +127,8 @@ def measured_documents(t: Tables):
         "fresh": F.size(F.array_distinct(F.split(text, "[ \\n]"))) / words,
         "fresh_lines": F.size(F.array_distinct(F.split(text, "\n"))) / F.size(F.split(text, "\n")),
     }
-    return t.documents.where(text.isNotNull()).select("doc_id", *[v.cast("double").alias(c) for c, v in figures.items()])
+    kept = [c for c in documents.columns if c != "text"]
+    return documents.where(text.isNotNull()).select(*kept, *[v.cast("double").alias(c) for c, v in figures.items()])
 
 
 WORDS_SQL = """
@@ -234,8 +236,9 @@ HALVED = f"""WITH placed AS (
 
 def judged(t: Tables) -> DataFrame:
     """Documents of the half that the classifier of their quality was not fitted on, with its prediction."""
-    known = measured_documents(t).join(t.labels.select("doc_id", "quality"), "doc_id")
-    return judge_classifier(known, QUALITY_FEATURES, "quality", ["doc_id"], SEED)[1]
+    labelled = t.documents.select("doc_id", "text").join(t.labels.select("doc_id", "quality"), "doc_id")
+    known = measured_documents(t, labelled)
+    return judge_classifier(known, QUALITY_FEATURES, "quality", ["doc_id"], SEED, steps=50)[1]
 
 
 @query("layered_classifier", HALVED + " SELECT doc_id, quality AS label, quality AS prediction FROM placed WHERE position > n // 2")

@@ -80,7 +80,8 @@ def judge_classifier(
     scaled by what the fitted half shows; a row with a missing feature or label takes
     no part.
     """
-    known = df.select(*dict.fromkeys([*key, *features, label])).dropna(subset=[*features, label])
+    # written once: the halves are found in several passes
+    known = store(df.select(*dict.fromkeys([*key, *features, label])).dropna(subset=[*features, label]), "known")
     halves = store(split_half_by(known, key, seed, label), "halves")
     classes = (halves.agg(F.max(label)).first()[0] or 0) + 1
     trained = halves.where(F.col("half") == TRAIN)
